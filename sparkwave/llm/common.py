@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from sparkwave.session import importable
+
 #: Rows of one Arrow batch. Long texts make a batch large, so few rows.
 BATCH_ROWS = 512
 #: A task hands on its rows after so many bytes of text.
@@ -18,8 +20,8 @@ FLUSH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a Python worker holds one at a time, whatever the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Workers that can import this package, and small Arrow batches: a worker holds one at a time, whatever the length of texts."""
+    importable(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
