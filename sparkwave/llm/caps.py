@@ -3,8 +3,8 @@
 Vectors are rotated at random and cut into ``blocks`` parts; each part has a codebook of ``codewords`` random unit
 vectors, and every combination of one codeword per part is a filter direction. A vector is list-decoded to all
 directions whose inner product exceeds the threshold, which is calibrated on random unit vectors so that a list has
-``list_size`` entries on average. Near vectors share a filter with high probability; they are joined on filters and
-verified by cosine in double precision.
+``list_size`` entries on average. Several such codes are used, since one code leaves a few vectors with short lists.
+Near vectors share a filter with high probability; they are joined on filters and verified by cosine in double precision.
 
 Equal vectors are one class from the start. Filters with a single class are dropped before vectors are moved. In a
 filter's group each linked pair counts only under the pair's first common filter, so counts need no list of pairs: a
@@ -25,14 +25,15 @@ from .components import components
 
 
 class Filters:
-    """The product code for vectors of ``dim`` components."""
+    """The product code number ``code`` for vectors of ``dim`` components."""
 
-    def __init__(self, dim: int, blocks: int, codewords: int, list_size: float, seed: int = 7):
-        rng = np.random.default_rng([seed, dim])
+    def __init__(self, dim: int, blocks: int, codewords: int, list_size: float, code: int = 0, seed: int = 7):
+        rng = np.random.default_rng([seed, code, dim])
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.array_split(np.arange(dim), max(1, min(blocks, dim // 4)))
         m = len(self.cuts)
-        self.words = codewords if m > 1 else codewords**2
+        self.words = codewords if m > 1 else 4 * codewords
+        self.first = code * self.words**m
         books = [rng.standard_normal((self.words, len(c))) for c in self.cuts]
         self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) for b in books]
         trial = rng.standard_normal((64, dim))
@@ -62,18 +63,18 @@ class Filters:
         """Numbers of the directions that exceed the threshold, ascending."""
         i, j = np.flatnonzero(a >= self.least - b.max()), np.flatnonzero(b >= self.least - a.max())
         x, y = np.nonzero(a[i][:, None] + b[j][None, :] >= self.least)
-        return np.sort(i[x] * len(b) + j[y])
+        return self.first + np.sort(i[x] * len(b) + j[y])
 
     def lists(self, unit: np.ndarray) -> list[np.ndarray]:
         return [self.over(*p) for at in range(0, len(unit), 64) for p in zip(*self.halves(unit[at : at + 64]))]
 
 
-@lru_cache(maxsize=8)
-def filters(dim: int, blocks: int, codewords: int, list_size: float) -> Filters:
-    return Filters(dim, blocks, codewords, list_size)
+@lru_cache(maxsize=32)
+def filters(dim: int, blocks: int, codewords: int, list_size: float, code: int) -> Filters:
+    return Filters(dim, blocks, codewords, list_size, code)
 
 
-def _decoded(blocks, codewords, list_size):
+def _decoded(codes, blocks, codewords, list_size):
     def make():
         def run(rows):
             held: dict[int, list] = {}
@@ -90,8 +91,9 @@ def _decoded(blocks, codewords, list_size):
             with np.errstate(over="ignore"):
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for row, found in zip(same, filters(x.shape[1], blocks, codewords, list_size).lists(x)):
-                yield (*row, found.tolist())
+            of_code = [filters(x.shape[1], blocks, codewords, list_size, c).lists(x) for c in range(codes)]
+            for row, *found in zip(same, *of_code):
+                yield (*row, np.concatenate(found).tolist())
 
         return run
 
@@ -120,10 +122,6 @@ def _compared(least: float):
             x = np.array([h[3] for h in held], float)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            width = max(len(h[4]) for h in held)
-            lists = np.full((len(held), width), -1, np.int64)
-            for r, h in enumerate(held):
-                lists[r, : len(h[4])] = h[4]
             counts, label = np.zeros(len(held), np.int64), np.arange(len(held))
             pairs = []
             for at in range(0, len(held), 256):
@@ -135,13 +133,11 @@ def _compared(least: float):
                     ok &= chunk[a] != chunk[b]  # within a chunk another group looks
                 pairs.append((a[ok], b[ok]))
             a, b = (np.concatenate(p) for p in zip(*pairs))
-            for at in range(0, len(a), 4096):
-                i, j = a[at : at + 4096], b[at : at + 4096]
-                earlier = lists[i]
-                earlier = np.where((earlier >= 0) & (earlier < this), earlier, -2)
-                first = ~(earlier[:, :, None] == lists[j][:, None, :]).any(axis=(1, 2))
-                np.add.at(counts, i[first], n[j[first]])
-                np.add.at(counts, j[first], n[i[first]])
+            # A pair counts here if it shares no filter before this one.
+            earlier = [frozenset(f for f in h[4] if f < this) for h in held] if len(a) else []
+            first = np.fromiter((earlier[i].isdisjoint(earlier[j]) for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
+            np.add.at(counts, a[first], n[b[first]])
+            np.add.at(counts, b[first], n[a[first]])
             while len(a):  # the smallest place reachable
                 was = label.copy()
                 np.minimum.at(label, a, label[b])
@@ -159,7 +155,7 @@ def _compared(least: float):
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.95, blocks: int = 4, codewords: int = 48, list_size: float = 24.0, group_limit: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, least: float = 0.95, codes: int = 4, blocks: int = 2, codewords: int = 1024, list_size: float = 15.0, group_limit: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -179,7 +175,7 @@ def near_vectors(
     plain = F.transform(vec, lambda x: x + F.lit(0.0))
     grouped = rows.where("usable").select("vec_id", plain.alias("vec")).groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     named = scratch.save(grouped.select(F.monotonically_increasing_id().alias("id"), "vec", "n", "low"), "classes")
-    classes = scratch.save(map_rows(named.select("id", "vec", "n"), "id long, vec array<double>, n long, list array<long>", _decoded(blocks, codewords, list_size)), "decoded")
+    classes = scratch.save(map_rows(named.select("id", "vec", "n"), "id long, vec array<double>, n long, list array<long>", _decoded(codes, blocks, codewords, list_size)), "decoded")
     each = classes.select("id", F.size("vec").alias("dim"), F.explode("list").alias("filter"))
     shared = each.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1")
     shared = scratch.save(shared, "filters")

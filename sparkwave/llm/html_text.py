@@ -37,6 +37,7 @@ FURNITURE = frozenset(
     "sidebar aside widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar masthead header footer comment comments disqus replies respond reactions share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login search skip".split()
 )
+NEIGHBOUR = frozenset("has with without no".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 WORDS = re.compile(r"[a-z]+")
 CONTAINERS = frozenset("article main body".split())
@@ -59,11 +60,19 @@ def is_furniture(tag: str, attrs, parent: Node | None) -> bool:
             return True
         if name == "role" and (value or "").strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and value and not inner and FURNITURE.intersection(WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if name in ("class", "id") and value and not inner and any(FURNITURE.intersection(named) for named in names_of(value)):
             return True
     return False
 
 
+def names_of(value: str):
+    """Words of each name in a class or id; a name such as has-sidebar tells of a neighbour and is left out."""
+    for name in value.split():
+        words = WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if words and words[0] not in NEIGHBOUR:
+            yield words
+
+
 class Tree(HTMLParser):
     """A forgiving tree: implied ends, unknown ends and missing ends as browsers treat them, in outline."""
 
@@ -198,12 +207,12 @@ def main_nodes(root: Node) -> list[Node]:
     best = within or best
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * final.get(id(best), 0.0))
+    least = 0.2 * final.get(id(best), 0.0)
     out = []
     for x in best.parent.inside:
         if isinstance(x, Node) and not x.removed:
-            like = final.get(id(x), 0.0) >= least
-            reads = x.tag == "p" and (x.chars > 80 and density(x) < 0.25 or x.chars > 0 and density(x) == 0)
+            like = final.get(id(x), 0.0) >= least > 0 and density(x) < 0.5
+            reads = (x.tag == "p" or x.tag in HEADINGS) and (x.chars > 80 and density(x) < 0.25 or x.chars > 0 and density(x) == 0)
             if x is best or like or reads:
                 out.append(x)
     return out

@@ -69,16 +69,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-     e AS (SELECT r, source, unnest(list_distinct(list_transform(ls, x -> trim(x, ' ')))) AS line FROM d),
+     e AS (SELECT r, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS raw, trim(unnest(ls), ' ') AS line FROM d),
      n AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1),
-     b AS (SELECT e.source, list(e.line) AS bad
-           FROM (SELECT source, line, count(*) AS c FROM e WHERE line <> '' GROUP BY 1, 2) e
-           JOIN n ON e.source IS NOT DISTINCT FROM n.source WHERE c >= 5 AND c > 0.1 * pages GROUP BY 1),
-     k AS (SELECT d.*, bad IS NULL AS clean, list_filter(ls, x -> trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))) AS kept
-           FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, source,
-       CASE WHEN clean OR text IS NULL THEN text ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
-       coalesce(len(ls), 0)::BIGINT AS n_lines,
-       CASE WHEN clean OR text IS NULL THEN 0 ELSE len(ls) - len(kept) END::BIGINT AS n_dropped
-FROM k""",
+     b AS (SELECT o.source, line
+           FROM (SELECT source, line, count(DISTINCT r) AS c FROM e WHERE line <> '' GROUP BY 1, 2) o
+           JOIN n ON o.source IS NOT DISTINCT FROM n.source WHERE c >= 5 AND c > 0.1 * pages),
+     k AS (SELECT r, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS lines
+           FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM e.source AND b.line = e.line) GROUP BY 1)
+SELECT doc_id, source, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+       coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - coalesce(lines, 0), 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN k USING (r)""",
     }
