@@ -99,3 +99,17 @@ def paired(raw: DataFrame, processed: DataFrame) -> DataFrame:
 
 def clamp(samples: DataFrame, low: float = -5.0, high: float = 5.0) -> DataFrame:
     return samples.withColumn("x", F.greatest(F.lit(low), F.least(F.lit(high), F.col("x"))))
+
+
+def lengths(samples: DataFrame, rate: float = 1000.0) -> DataFrame:
+    """Of each signal: channels, samples, samples of its longest channel and their duration."""
+    per = samples.groupBy(*KEY).agg(F.count("*").alias("n"))
+    return per.groupBy("signal_id").agg(F.count("*").alias("channels"), F.sum("n").alias("samples"), F.max("n").alias("samples_per_channel"), (F.max("n") / F.lit(rate)).alias("duration"))
+
+
+def violations(samples: DataFrame, channels: int = 16) -> DataFrame:
+    """Channels of a table that breaks the rules of samples tables: number out of range, idx null, repeated or with gaps."""
+    per = samples.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_distinct("idx").alias("distinct"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    dense = (F.col("n") == F.col("distinct")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    valid = F.col("channel").between(0, channels - 1)
+    return per.where(~F.coalesce(dense & valid, F.lit(False)))

@@ -161,6 +161,8 @@ def oracle_sql() -> dict[str, str]:
         "buffer_stats": plain(f"SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')} FROM samples"),
         "chunk_start_times": plain(f"SELECT idx // 100 AS chunk_seq, {r('count(*) / 1000.0::DOUBLE', 'duration')}, {r('min(idx) / 1000.0::DOUBLE', 'start_time')} FROM samples WHERE channel = 0 GROUP BY 1"),
         "processing_stats": plain("SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, 1.0::DOUBLE AS success_rate FROM samples"),
+        "signal_lengths": plain(f"SELECT count(*) AS channels, sum(n)::BIGINT AS samples, max(n) AS samples_per_channel, {r('max(n) / 1000.0::DOUBLE', 'duration')} FROM (SELECT channel, count(*) AS n FROM samples GROUP BY 1)"),
+        "sample_violations": "SELECT (user_id % 20)::INT AS channel, count(*) AS n, count(DISTINCT event_id) AS distinct, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1 HAVING NOT (count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AND (any_value(user_id) % 20) BETWEEN 0 AND 15)",
         "latest_chunk": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 = (SELECT max(idx) // 100 FROM samples)"),
         "buffer_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 > (SELECT max(idx) // 100 FROM samples) - 3"),
         "plot_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples QUALIFY row_number() OVER (PARTITION BY channel ORDER BY idx DESC) <= 50"),

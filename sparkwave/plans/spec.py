@@ -155,6 +155,18 @@ class Pipeline:
         if not self.stages:
             raise ValueError("a pipeline needs a stage")
 
+    def export(self) -> dict:
+        """Everything that makes the pipeline, for JSON."""
+        stages = [{"name": s.name, "kind": s.kind, "params": dict(s.params), "enabled": s.enabled} for s in self.stages]
+        rest = {k: getattr(self, k) for k in ("name", "bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")}
+        return rest | {"stages": stages, "latency_us": self.latency_us()}
+
+    @staticmethod
+    def restore(d: dict) -> Pipeline:
+        """The pipeline that ``export`` described."""
+        stages = tuple(Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"]) for s in d["stages"])
+        return Pipeline(d["name"], stages, *(d[k] for k in ("bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")))
+
     # running
     def normalised(self, rate: float) -> tuple[list[Stage | list[Stage]], list[str]]:
         """Steps of the plan, neighbouring recursive filters as a list, and warnings."""

@@ -208,6 +208,17 @@ def processing_stats(spark, d):
     return rounded(live.chunk_metrics(spec.realtime().apply(events(spark, d), RATE).samples))
 
 
+def signal_lengths(spark, d):
+    return rounded(reshape.lengths(events(spark, d), RATE))
+
+
+def sample_violations(spark, d):
+    """Events that aren't numbered yet break the rules; their channels are listed."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    raw = e.select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(20)).cast("int").alias("channel"), F.col("event_id").alias("idx"), F.col("value").alias("x"))
+    return reshape.violations(raw).drop("signal_id")
+
+
 def latest_chunk(spark, d):
     return rounded(reshape.latest_chunk(events(spark, d)).select("channel", "idx", "x"))
 
@@ -246,7 +257,7 @@ def queries() -> dict:
     plain = [
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, median_filter_5, raw_vs_processed, sliding_windows_64, time_features,
         stat_features, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
-        chunk_stats, buffer_stats, chunk_start_times, processing_stats, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
+        chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10)}

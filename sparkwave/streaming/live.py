@@ -142,3 +142,8 @@ class Live:
         seen = list(self.query.recentProgress) if self.query is not None else []
         rows = sum(p["numInputRows"] for p in seen)
         return {"running": self.running, "batches": len(seen), "rows": rows, "rows_per_second": seen[-1]["processedRowsPerSecond"] if seen else 0.0}
+
+    def slow_batches(self, limit_ms: float) -> list[str]:
+        """Advice, not an error: micro-batches that took more than twice the limit."""
+        seen = list(self.query.recentProgress) if self.query is not None else []
+        return [f"batch {p['batchId']} took {p['batchDuration']} ms, more than twice {limit_ms} ms" for p in seen if p["batchDuration"] > 2 * limit_ms]

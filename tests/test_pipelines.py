@@ -35,6 +35,13 @@ def test_neighbours_are_one_cascade(spark):
     assert [v.x_raw for v in r.samples.orderBy("idx").collect()] == X.tolist()
 
 
+def test_export_and_restore():
+    import json
+
+    p = spec.research().enable("lowpass", False)
+    assert spec.Pipeline.restore(json.loads(json.dumps(p.export()))) == p
+
+
 def test_bypass_on_error(spark):
     p = spec.pipeline("p").add("highpass", cutoff=10_000.0)
     with pytest.raises(DesignError):
@@ -153,6 +160,7 @@ def test_control(spark, tmp_path):
     control = live.Live(make, spec.realtime(), lambda df, n: seen.append(df.count()), str(tmp_path / "c"), {"availableNow": True})
     control.start().awaitTermination()
     assert sum(seen) == 1000 and control.stats()["rows"] == 1000 and not control.running
+    assert control.slow_batches(0.0) and control.slow_batches(1e9) == []
     control.resume().awaitTermination()  # nothing new
     assert sum(seen) == 1000
     control.update(spec.research().enable("features", False))

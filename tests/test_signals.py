@@ -109,3 +109,13 @@ def test_patterns_survive_json_and_have_descriptions(spark):
 def test_metadata_counts_samples(spark):
     r = Emg(channels=2).metadata(spark, 0.251).head()
     assert r.expected_samples == 502 and r.channel_count == 2
+
+
+def test_violations(spark):
+    good = table(spark, range(5))
+    gap = table(spark, range(5), channel=1).where("idx <> 2")
+    twice = table(spark, range(3), channel=2).union(table(spark, range(3), channel=2).where("idx = 0"))
+    outside = table(spark, range(3), channel=16)
+    got = reshape.violations(good.union(gap).union(twice).union(outside)).collect()
+    assert sorted(r.channel for r in got) == [1, 2, 16]
+    assert reshape.lengths(good.union(gap)).head()[1:] == (2, 9, 5, 0.005)
