@@ -23,13 +23,13 @@ def shard_of(key, shards: int, seed: int):
     return F.array_max(ranked)["s"]
 
 
-def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", broadcast_buckets: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """Rows of ``docs`` with shard, slot and grown_shard, read from the written shards.
 
     Columns of ``docs`` stay, but for earlier columns of those three names. ``size`` of a record is the UTF-8 bytes of
     its text (null: none) plus 1; the number of buckets follows from their sum over ``bucket_bytes``. Null ids are one
     key; ties and repeated rows keep a slot each; an empty table gives an empty result. A record longer than
-    a bucket makes that bucket as long.
+    a bucket makes that bucket as long. Offsets of at most ``broadcast_buckets`` buckets are sent to all executors; more are joined.
     """
     spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession)
     docs = docs.drop("shard", "slot", "grown_shard")
@@ -52,7 +52,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, buc
     written = spark.read.schema(f"_shard int, _bucket int, _at int, _grown int, _record {docs.schema.simpleString()}").parquet(path)
     counts = written.groupBy("_shard", "_bucket").count()
     before = counts.select("_shard", "_bucket", (F.sum("count").over(Window.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_before"))
-    placed = written.join(before, ["_shard", "_bucket"])
+    placed = written.join(F.broadcast(before) if per_shard * shards <= broadcast_buckets else before, ["_shard", "_bucket"])
     return placed.select(
         *[F.col(f"_record.`{c}`").alias(c) for c in docs.columns], F.col("_shard").alias("shard"), (F.col("_before") + F.col("_at")).cast("long").alias("slot"), F.col("_grown").alias("grown_shard")
     )
