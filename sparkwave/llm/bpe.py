@@ -6,8 +6,8 @@ queued is stale and skipped. Decoding concatenates vocabulary strings the way a
 does, one space between tokens.
 
 Texts are cut at white space first. No pre-token crosses white space, normalisation never composes across it,
-and the special strings contain none, so a text's ids are its chunks' ids in order; chunks repeat, hence
-``ChunkMemo``. The memo is a bounded cache of two generations: it affects speed only.
+and the special strings contain none, so a text's ids are its chunks' ids in order; chunks repeat, and so do the
+pre-tokens of those that are new, hence ``ChunkMemo``. The memos are bounded: they affect speed only.
 """
 
 from __future__ import annotations
@@ -81,47 +81,62 @@ class BytePairs:
                 heappush(queue, q * n + h)
         return [s for s in sym if s >= 0]
 
-    def plain(self, text: str, memo: dict | None = None) -> list[int]:
-        """Ids of a text without special strings."""
-        # One character at a time, as the library does: a final sigma is no special case.
-        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        out: list[int] = []
-        for piece in self.pieces.findall(low):
-            ids = memo.get(piece) if memo is not None else None
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if memo is not None and len(piece) <= 40:
-                    memo[piece] = ids
-            out += ids
-        return out
-
-    def encode(self, text: str, memo: dict | None = None) -> list[int]:
-        """Ids of any text, special strings included."""
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        if not text.isascii():
+            # One character at a time, as the library does: a final sigma is no special case.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        low = text.lower()
+        return [low] if low.isalpha() else self.pieces.findall(low)
+
+    def ids(self, text: str, pieces) -> bytes:
+        """Packed ids of any text, special strings included; ``pieces`` maps a pre-token to its packed ids."""
         if self.cut is None or "<" not in text:
-            return self.plain(text, memo)
+            return b"".join([pieces[p] for p in self.split(text)])
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += self.plain(text[at : m.start()], memo)
-            out.append(self.special[m.group()])
+            out += [pieces[p] for p in self.split(text[at : m.start()])]
+            out.append(packed([self.special[m.group()]]))
             at = m.end()
-        return out + self.plain(text[at:], memo)
+        return b"".join([*out, *[pieces[p] for p in self.split(text[at:])]])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of any text."""
+        return array("I", self.ids(text, PieceMemo(lambda p: self.merge(p.encode())))).tolist()
 
     def decode(self, ids) -> str:
         """Vocabulary strings of the ids, concatenated with one space between; unknown ids are left out."""
         return " ".join([s for s in map(self.names.get, ids) if s is not None])
 
 
+class PieceMemo(dict):
+    """pre-token -> its packed ids, by ``merge`` if it isn't there. At most ``most`` short ones stay."""
+
+    def __init__(self, merge, most: int = 400_000):
+        super().__init__()
+        self.merge, self.most = merge, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = packed(self.merge(piece))
+        if len(piece) <= 40:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ChunkMemo(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers. At most twice ``most`` chunks stay."""
 
-    def __init__(self, bpe: BytePairs, most: int = 250_000):
+    def __init__(self, bpe: BytePairs, merge=None, most: int = 400_000):
         super().__init__()
-        self.bpe, self.most, self.old, self.pieces = bpe, most, {}, {}
+        self.bpe, self.most, self.old = bpe, most, {}
+        self.pieces = PieceMemo(merge or (lambda p: bpe.merge(p.encode())), most)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = packed(self.bpe.encode(chunk, self.pieces))
+            ids = self.bpe.ids(chunk, self.pieces)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
@@ -131,8 +146,6 @@ class ChunkMemo(dict):
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         return b"".join(map(self.__getitem__, chunks(text))) if text else b""
 
 

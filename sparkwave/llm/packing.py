@@ -57,11 +57,11 @@ def pieces(docs: DataFrame, vocab: str, size: int = 2048, id_col: str = "doc_id"
     """doc_id, piece, start, length, ids_crc32 (and ids, packed 4-byte little-endian, if asked for) of every row's tokens and a closing 0."""
 
     def make():
-        encode = text_ids(vocab)
+        ids_of = text_ids(vocab).ids
 
         def run(rows):
-            for (i, _), ids in encode.blocks(rows, 1):
-                ids += END
+            for i, text in rows:
+                ids = ids_of(text) + END
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     yield (i, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if keep_ids else ())

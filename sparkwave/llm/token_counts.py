@@ -44,13 +44,14 @@ def count_tokens(docs: DataFrame, cache_path: str, vocab: str | None = None, lim
         texts = source.withColumn("content_digest", content_digest(F.col("text"))).alias("t").join(side.alias("m"), (F.col("t.content_digest") == F.col("m.content_digest")) & F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi")
 
         def make():
-            encode = text_ids(vocab)
+            ids_of = text_ids(vocab).ids
 
             def run(rows):
                 seen = set()  # repeated rows of a partition are encoded once
-                fresh = ((t, d) for t, d in rows if d not in seen and not seen.add(d))
-                for (_, d), ids in encode.blocks(fresh, 0):
-                    yield d, tokenizer, len(ids) // 4
+                for text, d in rows:
+                    if d not in seen:
+                        seen.add(d)
+                        yield d, tokenizer, len(ids_of(text)) // 4
 
             return run
 

@@ -1,8 +1,7 @@
-"""Ids of whole texts as the tokenizers library gives them, with a memo of chunks.
+"""Ids of whole texts by the tokenizers library's model, with memos of what repeats.
 
-The library spends microseconds a word on normalising and matching; words repeat, so each worker asks it for a chunk
-once while the memo holds it. Chunks are white-space separated (``bpe.chunks``), across which neither normalisation
-nor pre-tokens reach, so a text's ids are those of its chunks in order. Special strings contain no white space.
+The library spends most of its time on normalising, matching and building results; words repeat, so each worker asks
+its model for a pre-token once while the memo holds it (``bpe.ChunkMemo``). Tests hold the ids against the library's own.
 """
 
 from __future__ import annotations
@@ -11,62 +10,22 @@ import os
 from functools import lru_cache
 from hashlib import sha256
 
-from .bpe import chunks, packed
+from .bpe import ChunkMemo, byte_chars, byte_pairs
 
-#: Texts are taken in blocks of so many characters, so that the library is asked in bulk.
-BLOCK_CHARS = 1 << 18
 
+@lru_cache(maxsize=2)
+def text_ids(path: str) -> ChunkMemo:
+    """One memo for a worker process; it outlives tasks. ``.ids(text)``: 4-byte unsigned little-endian integers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
+    from tokenizers import Tokenizer
 
-class TextIds:
-    """``blocks(rows, at)``: each row with the ids of its text in column ``at``, packed as 4-byte unsigned little-endian integers."""
-
-    def __init__(self, path: str, most: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.most, self.memo, self.old = most, {}, {}
-
-    def learn(self, missing: set[str]) -> None:
-        known = {c: self.old[c] for c in missing if c in self.old}
-        fresh = [c for c in missing if c not in known]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            known.update((c, packed(e.ids)) for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        self.memo.update(known)
-
-    def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        cut = [chunks(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        missing = wanted.difference(self.memo)
-        if missing:
-            if len(self.memo) > self.most:  # the generation ends: what this block needs moves over
-                self.memo, self.old, missing = {}, self.memo, wanted
-            self.learn(missing)
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        for c in [c for c in missing if len(c) > 64]:
-            del self.memo[c]
-        return out
-
-    def blocks(self, rows, at: int):
-        held, size = [], 0
-        for row in rows:
-            held.append(row)
-            size += len(row[at]) if row[at] else 0
-            if size >= BLOCK_CHARS or len(held) >= 256:
-                yield from zip(held, self.ids_of([r[at] for r in held]))
-                held, size = [], 0
-        if held:
-            yield from zip(held, self.ids_of([r[at] for r in held]))
+    library = Tokenizer.from_file(path)
+    model, shown = library.model, dict(enumerate(byte_chars()))
 
+    def merge(piece: str) -> list[int]:
+        return [t.id for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(shown))]
 
-@lru_cache(maxsize=2)
-def text_ids(path: str) -> TextIds:
-    """One memo for a worker process; it outlives tasks."""
-    return TextIds(path)
+    return ChunkMemo(byte_pairs(path), merge)
 
 
 @lru_cache(maxsize=4)
