@@ -28,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that clash with none of ``df``, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[Iterable[tuple]], Iterable[tuple]]]) -> DataFrame:
     """A narrow step in Python: ``make()`` runs once a task and gives a function from rows to rows (tuples).
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 
 def line_key(line):
@@ -45,14 +45,15 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 5,
     scratch = scratch or Scratch(pages.sparkSession)
     pages = pages.drop("n_lines", "n_dropped")
     found = scratch.save(boilerplate(pages, ratio, least_pages, host_col, text_col), "boilerplate")
-    by_host = found.groupBy("host").agg(F.collect_list("line").alias("_lines")).select(F.col("host").alias("_host"), "_lines")
+    host, bad = fresh(pages, "_host", "_lines")
+    by_host = found.groupBy("host").agg(F.collect_list("line").alias(bad)).select(F.col("host").alias(host), bad)
     side = F.broadcast(by_host) if found.limit(broadcast_lines + 1).count() <= broadcast_lines else by_host
-    joined = pages.join(side, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    joined = pages.join(side, F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), line_key(x)))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), line_key(x)))
+    text = F.when(F.col(bad).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), lines)), F.lit(0))
-    left = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept))
+    left = F.when(F.col(bad).isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept))
     return joined.select(
         *[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in pages.columns], F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n - left, F.lit(0)).cast("long").alias("n_dropped")
     )

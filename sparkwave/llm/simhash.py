@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, map_rows
+from .common import Scratch, fresh, map_rows
 from .components import components
 
 ALL = (1 << 64) - 1
@@ -166,9 +166,10 @@ def retain_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id only stays where the component has no other; of repeated rows one stays.
     """
     scratch, names = Scratch(docs.sparkSession), docs.columns
+    fp, low, best_fp = fresh(docs, "_fp", "_id", "_best")
     fps = scratch.save(fingerprints(docs, id_col, text_col, words), "fingerprints")
     placed = placed_fingerprints(scratch, fps, most_bits, blocks, group_limit)
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("best")).select(F.col("best.low").alias("_id"), F.col("best.fp").alias("_best"))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("best")).select(F.col("best.low").alias(low), F.col("best.fp").alias(best_fp))
     chosen = scratch.save(best, "chosen")
     at, schema = names.index(text_col), docs.schema
 
@@ -190,6 +191,6 @@ def retain_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    with_fp = map_rows(docs, StructType([*schema.fields, StructField("_fp", LongType())]), marked)
-    kept = with_fp.join(chosen.hint("shuffle_hash"), with_fp[id_col].eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_best")), "left_semi")
+    with_fp = map_rows(docs, StructType([*schema.fields, StructField(fp, LongType())]), marked)
+    kept = with_fp.join(chosen.hint("shuffle_hash"), with_fp[id_col].eqNullSafe(F.col(low)) & (F.col(fp) == F.col(best_fp)), "left_semi")
     return map_rows(kept, schema, once)

@@ -88,6 +88,16 @@ def test_awkward_and_empty_documents(spark, awkward, docs, sf):
             now = scratch.save(stage(spark, now, sf), name)
 
 
+def test_helper_names_do_not_clash(docs):
+    from pyspark.sql import functions as F
+
+    from sparkwave.llm import line_dedup, simhash as op
+
+    odd = docs.limit(20).withColumns({c: F.lit(c) for c in ("_fp", "_ID", "_best", "_host", "_lines", "text_", "line", "host")})
+    assert op.retain_one(odd).columns == odd.columns and op.retain_one(odd).count() > 0
+    assert line_dedup.drop_boilerplate(odd).count() == 20
+
+
 def test_every_query_runs(spark, sf):
     assert len(queries.queries()) == 10
     for name, query in queries.queries().items():
