@@ -4,6 +4,7 @@ Vectors are rotated at random and cut into ``blocks`` parts; each part has a cod
 vectors, and every combination of one codeword per part is a filter direction. A vector is list-decoded to all
 directions whose inner product exceeds the threshold, which is calibrated on random unit vectors so that a list has
 ``list_size`` entries on average. Several such codes are used, since one code leaves a few vectors with short lists.
+The codebooks grow with the number of vectors once they must for unrelated ones to meet as rarely as ``load`` says.
 Near vectors share a filter with high probability; they are joined on filters and verified by cosine in double precision.
 
 Equal vectors are one class from the start. Filters with a single class are dropped before vectors are moved. In a
@@ -29,31 +30,32 @@ class Filters:
 
     def __init__(self, dim: int, blocks: int, codewords: int, list_size: float, code: int = 0, seed: int = 7):
         rng = np.random.default_rng([seed, code, dim])
-        self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
         self.cuts = np.array_split(np.arange(dim), max(1, min(blocks, dim // 4)))
         m = len(self.cuts)
-        self.words = codewords if m > 1 else 4 * codewords
+        self.words = codewords
         self.first = code * self.words**m
         books = [rng.standard_normal((self.words, len(c))) for c in self.cuts]
-        self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) for b in books]
+        self.books = [(b / np.linalg.norm(b, axis=1, keepdims=True)).astype(np.float32) for b in books]
         trial = rng.standard_normal((64, dim))
         trial /= np.linalg.norm(trial, axis=1, keepdims=True)
-        low, high = 0.0, float(np.sqrt(m))
+        # Scores spread by sqrt(m / dim); the threshold is where about list_size of all directions are left.
+        low, high = min(2.5 * np.sqrt(m / dim), 0.6 * np.sqrt(m)), float(np.sqrt(m))
         parts = self.halves(trial)
-        for _ in range(24):
+        for _ in range(20):
             self.least = (low + high) / 2
-            lists = np.mean([len(self.over(*p)) for p in zip(*parts)]) if self.least > 0.3 * np.sqrt(m) else np.inf
+            lists = np.mean([len(self.over(*p)) for p in zip(*parts)])
             low, high = (self.least, high) if lists > list_size else (low, self.least)
         self.least = low
 
     def halves(self, unit: np.ndarray) -> list[np.ndarray]:
         """Scores of all combinations within the first and within the second half of the parts."""
-        turned = unit @ self.rotation
+        turned = unit.astype(np.float32) @ self.rotation
         scores = [turned[:, c] @ b.T for c, b in zip(self.cuts, self.books)]
         k = (len(scores) + 1) // 2
         out = []
         for group in (scores[:k], scores[k:]):
-            total = np.zeros((len(unit), 1))
+            total = np.zeros((len(unit), 1), np.float32)
             for s in group:
                 total = (total[:, :, None] + s[:, None, :]).reshape(len(unit), -1)
             out.append(total)
@@ -155,7 +157,7 @@ def _compared(least: float):
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.95, codes: int = 4, blocks: int = 2, codewords: int = 1024, list_size: float = 15.0, group_limit: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, least: float = 0.95, codes: int = 4, blocks: int = 2, list_size: float = 15.0, load: float = 0.1, codewords: tuple[int, int] = (4096, 16_384), group_limit: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -175,7 +177,9 @@ def near_vectors(
     plain = F.transform(vec, lambda x: x + F.lit(0.0))
     grouped = rows.where("usable").select("vec_id", plain.alias("vec")).groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     named = scratch.save(grouped.select(F.monotonically_increasing_id().alias("id"), "vec", "n", "low"), "classes")
-    classes = scratch.save(map_rows(named.select("id", "vec", "n"), "id long, vec array<double>, n long, list array<long>", _decoded(codes, blocks, codewords, list_size)), "decoded")
+    # At least so many directions that a filter holds ``load`` unrelated vectors on average, as far as codebooks may grow.
+    words = int(min(codewords[1], max(codewords[0], np.ceil((named.count() * list_size / load) ** (1 / blocks)))))
+    classes = scratch.save(map_rows(named.select("id", "vec", "n"), "id long, vec array<double>, n long, list array<long>", _decoded(codes, blocks, words, list_size)), "decoded")
     each = classes.select("id", F.size("vec").alias("dim"), F.explode("list").alias("filter"))
     shared = each.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1")
     shared = scratch.save(shared, "filters")
