@@ -67,6 +67,17 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+       SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+       WHERE len(embedding) > 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda c: CASE WHEN c IS NULL OR NOT isfinite(c) THEN 1 ELSE 0 END)) = 0
+         AND list_sum(list_transform(embedding::DOUBLE[], lambda c: abs(c))) > 0),
+     e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+     r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+     c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+     n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
         "op7_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
      e AS (SELECT r, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS raw, trim(unnest(ls), ' ') AS line FROM d),

@@ -121,6 +121,7 @@ def test_table_embeddings(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
     assert sum(r.n_links for r in caps.near_vectors(df).collect()) == truth(x).sum()
+    assert difference(queries.op6_embedding_near_dedup(spark, sf), queries.oracle_sql()["op6_embedding_near_dedup"], duck(sf)) == ""
 
 
 # 7: lines
