@@ -22,7 +22,7 @@ def content_digest(text) -> F.Column:
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " ")), 256)
 
 
-def count_tokens(docs: DataFrame, cache_path: str, vocab: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", broadcast_misses: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, cache_path: str, vocab: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", broadcast_misses: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, content_digest.
 
     Null texts are empty: 0 bytes, 0 tokens. Null ids and repeated rows give a row each; an empty table gives an empty
