@@ -89,58 +89,53 @@ class BytePairs:
         low = text.lower()
         return [low] if low.isalpha() else self.pieces.findall(low)
 
-    def ids(self, text: str, pieces) -> bytes:
-        """Packed ids of any text, special strings included; ``pieces`` maps a pre-token to its packed ids."""
+    def ids(self, text: str, of_piece) -> bytes:
+        """Packed ids of any text, special strings included; ``of_piece`` gives those of a pre-token."""
         if self.cut is None or "<" not in text:
-            return b"".join([pieces[p] for p in self.split(text)])
+            return b"".join(map(of_piece, self.split(text)))
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [pieces[p] for p in self.split(text[at : m.start()])]
+            out += map(of_piece, self.split(text[at : m.start()]))
             out.append(packed([self.special[m.group()]]))
             at = m.end()
-        return b"".join([*out, *[pieces[p] for p in self.split(text[at:])]])
+        return b"".join([*out, *map(of_piece, self.split(text[at:]))])
 
     def encode(self, text: str) -> list[int]:
         """Ids of any text."""
-        return array("I", self.ids(text, PieceMemo(lambda p: self.merge(p.encode())))).tolist()
+        return array("I", self.ids(text, lambda p: packed(self.merge(p.encode())))).tolist()
 
     def decode(self, ids) -> str:
         """Vocabulary strings of the ids, concatenated with one space between; unknown ids are left out."""
         return " ".join([s for s in map(self.names.get, ids) if s is not None])
 
 
-class PieceMemo(dict):
-    """pre-token -> its packed ids, by ``merge`` if it isn't there. At most ``most`` short ones stay."""
-
-    def __init__(self, merge, most: int = 400_000):
-        super().__init__()
-        self.merge, self.most = merge, most
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = packed(self.merge(piece))
-        if len(piece) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class ChunkMemo(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit integers. At most twice ``most`` chunks stay."""
+    """chunk -> its ids as little-endian unsigned 32-bit integers. At most twice ``most`` chunks stay.
 
-    def __init__(self, bpe: BytePairs, merge=None, most: int = 400_000):
+    A pre-token is kept like a chunk: as a chunk it would be that one pre-token.
+    """
+
+    def __init__(self, bpe: BytePairs, merge=None, most: int = 700_000):
         super().__init__()
         self.bpe, self.most, self.old = bpe, most, {}
-        self.pieces = PieceMemo(merge or (lambda p: bpe.merge(p.encode())), most)
+        self.merge = merge or (lambda p: bpe.merge(p.encode()))
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.bpe.ids(chunk, self.pieces)
+            ids = self.bpe.ids(chunk, self.of_piece)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
+    def of_piece(self, piece: str) -> bytes:
+        ids = self.get(piece) or self.old.get(piece)
+        if ids is None:
+            ids = packed(self.merge(piece))
+            if len(piece) <= 64:
+                self[piece] = ids
+        return ids
+
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text (None: none), 4 bytes each."""
         if len(self) > self.most:
