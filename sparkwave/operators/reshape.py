@@ -86,10 +86,17 @@ def by_time(samples: DataFrame, channels: int) -> DataFrame:
     return samples.groupBy("signal_id", "idx", "t").agg(*held)
 
 
-def rebased(chunks: DataFrame) -> DataFrame:
-    """Chunks (signal_id, chunk_seq, duration, …) with start_time, the sum of the durations of earlier ones."""
-    w = Window.partitionBy("signal_id").orderBy("chunk_seq")
-    return chunks.withColumn("start_time", F.sum("duration").over(w) - F.col("duration"))
+def rebased(chunks: DataFrame, run: int = 4096) -> DataFrame:
+    """Chunks (signal_id, chunk_seq, duration, …) with start_time, the sum of the durations of earlier ones.
+
+    Sums are taken within runs of chunks and shifted by those of earlier runs: no task holds a whole signal.
+    """
+    rows = chunks.withColumn("_run", F.expr(f"chunk_seq div {int(run)}"))
+    total = rows.groupBy("signal_id", "_run").agg(F.sum("duration").alias("_total"))
+    before = total.select("signal_id", "_run", (F.sum("_total").over(Window.partitionBy("signal_id").orderBy("_run")) - F.col("_total")).alias("_before"))
+    within = F.sum("duration").over(Window.partitionBy("signal_id", "_run").orderBy("chunk_seq")) - F.col("duration")
+    placed = rows.withColumn("_within", within).join(before, ["signal_id", "_run"])
+    return placed.select(*chunks.columns, (F.col("_before") + F.col("_within")).alias("start_time"))
 
 
 def paired(raw: DataFrame, processed: DataFrame) -> DataFrame:

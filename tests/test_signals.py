@@ -119,3 +119,9 @@ def test_violations(spark):
     got = reshape.violations(good.union(gap).union(twice).union(outside)).collect()
     assert sorted(r.channel for r in got) == [1, 2, 16]
     assert reshape.lengths(good.union(gap)).head()[1:] == (2, 9, 5, 0.005)
+
+
+def test_chunks_are_placed_in_time_across_runs(spark):
+    chunks = spark.createDataFrame([("s", i, 0.5 + i % 3) for i in range(50)], "signal_id string, chunk_seq long, duration double")
+    got = reshape.rebased(chunks, run=7).orderBy("chunk_seq").collect()
+    assert [r.start_time for r in got] == [sum(0.5 + j % 3 for j in range(i)) for i in range(50)]
