@@ -3,8 +3,8 @@
 Every task packs the pieces of its own partition: no shuffle, and at most one set of open bins is left part-filled
 per partition. A piece goes to the open bin that it fits most tightly; bit f of the bitset says that an open bin has
 f tokens free, so that bin is the lowest set bit from the piece's length on. When too many bins are open, the fullest
-closes first. The stream is fed longest first within a partition (a sort by Spark that spills), which lets the online
-rule come close to best-fit decreasing.
+closes first. Pieces wait in a bounded buffer and leave it longest first, which lets the online rule come close to
+best-fit decreasing; open bins stay from one buffer to the next.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_rows
 from .token_ids import text_ids, vocabulary
@@ -53,55 +54,59 @@ class Bins:
         return b
 
 
-def pieces(docs: DataFrame, vocab: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, packed 4-byte little-endian, if asked for) of every row's tokens and a closing 0."""
-
-    def make():
-        ids_of = text_ids(vocab).ids
-
-        def run(rows):
-            for i, text in rows:
-                ids = ids_of(text) + END
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    yield (i, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if keep_ids else ())
-
-        return run
-
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), schema, make)
+def fed(rows, at: int, size: int, open_bins: int, ahead: int, ahead_bytes: int = 64 << 20):
+    """Rows with (sequence, offset) added; ``at`` is the place of the length. Needs the rows' task."""
+    from pyspark import TaskContext
 
+    first, bins, held, weight = TaskContext.get().partitionId() << 40, Bins(size, open_bins), [], 0
 
-def pack(parts: DataFrame, size: int = 2048, open_bins: int = 4096) -> DataFrame:
-    """``parts`` with sequence_id and offset: bins of the partition the row is in. Needs length, 1 to ``size``."""
-    if "sequence_id" in parts.columns or "offset" in parts.columns:
-        parts = parts.drop("sequence_id", "offset")
-    names = parts.columns
-    at = names.index("length")
-    fed = parts.sortWithinPartitions(F.col("length").desc(), *[c for c in ("doc_id", "piece") if c in names])
+    def put():
+        held.sort(key=lambda r: -r[at])
+        for row in held:
+            b, offset = bins.put(row[at])
+            yield (*row, first + b, offset)
 
-    def make():
-        from pyspark import TaskContext
-
-        first, bins = TaskContext.get().partitionId() << 40, Bins(size, open_bins)
+    for row in rows:
+        held.append(row)
+        weight += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) >= ahead or weight >= ahead_bytes:
+            yield from put()
+            held, weight = [], 0
+    yield from put()
 
-        def run(rows):
-            for row in rows:
-                b, offset = bins.put(row[at])
-                yield (*row, first + b, offset)
 
-        return run
+def cut(rows, ids_of, size: int, keep_ids: bool):
+    """(id, piece, start, length, crc32 of the ids, and the ids if they are kept) of (id, text): whole ids and a closing 0 in pieces."""
+    for i, text in rows:
+        ids = ids_of(text) + END
+        for k, at in enumerate(range(0, len(ids), 4 * size)):
+            part = ids[at : at + 4 * size]
+            yield (i, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if keep_ids else ())
 
-    from pyspark.sql.types import LongType, StructField, StructType
 
-    return map_rows(fed, StructType([*fed.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]), make)
+def pack(parts: DataFrame, size: int = 2048, open_bins: int = 4096, ahead: int = 100_000) -> DataFrame:
+    """``parts`` with sequence_id and offset (earlier ones are replaced): bins of the partition the row is in. Needs length, 1 to ``size``."""
+    parts = parts.drop("sequence_id", "offset")
+    at = parts.columns.index("length")
+    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return map_rows(parts, schema, lambda: lambda rows: fed(rows, at, size, open_bins, ahead))
 
 
-def pack_documents(docs: DataFrame, vocab: str | None = None, size: int = 2048, open_bins: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocab: str | None = None, size: int = 2048, open_bins: int = 4096, ahead: int = 100_000, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+) -> DataFrame:
     """Documents as pieces in sequences of at most ``size`` tokens.
 
-    One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is empty and makes one
-    piece, its closing 0. Null ids, repeated rows and ties are packed like any other row; an empty table gives an
-    empty result. Extra columns are left out. Only documents longer than a sequence are cut.
+    One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids (packed 4-byte
+    little-endian) before these two if asked for. A null text is empty and makes one piece, its closing 0. Null ids,
+    repeated rows and ties are packed like any other row; an empty table gives an empty result. Extra columns are left
+    out. Only documents longer than a sequence are cut. ``ahead`` pieces at most wait to be put longest first.
     """
-    return pack(pieces(docs, vocab or vocabulary(), size, id_col, text_col, keep_ids), size, open_bins)
+    vocab = vocab or vocabulary()
+
+    def make():
+        ids_of = text_ids(vocab).ids
+        return lambda rows: fed(cut(rows, ids_of, size, keep_ids), 3, size, open_bins, ahead)
+
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
+    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), schema, make)

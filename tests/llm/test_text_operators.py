@@ -185,6 +185,14 @@ def test_pieces_and_sequences(which, request, library):
     assert packing.pack_documents(rows.limit(0)).count() == 0
 
 
+def test_small_buffers_and_kept_ids(docs, library):
+    whole, small = packing.pack_documents(docs, keep_ids=True).collect(), packing.pack_documents(docs, ahead=7)
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in whole} == {(r.doc_id, r.piece): r.ids_crc32 for r in small.collect()}
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in whole)
+    again = packing.pack(small, open_bins=1)
+    assert again.columns == small.columns and again.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
 def test_bins_take_the_tightest_fit_and_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert [bins.put(n) for n in (6, 8)] == [(0, 0), (1, 0)]  # free: 4 and 2
