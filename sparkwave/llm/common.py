@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from sparkwave.session import importable
 
-#: Rows of one Arrow batch. Long texts make a batch large, so few rows.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch. Long texts make a batch large, so few rows.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: A task hands on its rows after so many bytes of text.
 FLUSH_BYTES = 8 << 20
 
@@ -22,6 +22,7 @@ FLUSH_BYTES = 8 << 20
 def prepare(spark: SparkSession) -> None:
     """Workers that can import this package, and small Arrow batches: a worker holds one at a time, whatever the length of texts."""
     importable(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
