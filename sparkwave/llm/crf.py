@@ -50,29 +50,35 @@ def train(prior: Chain, masks: list[np.ndarray], labels: list[np.ndarray], round
     if not kept:
         return prior
     n, longest, k = len(kept), max(len(masks[i]) for i in kept), len(prior.weights)
-    on, gold, real = np.zeros((n, longest, k), np.float32), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    # Time comes first: (steps, sequences).
+    held, gold, real = np.zeros((longest, n), np.int64), np.zeros((longest, n), int), np.zeros((longest, n, 1), bool)
     for r, i in enumerate(kept):
-        m = np.asarray(masks[i], np.int64)
-        on[r, : len(m)] = m[:, None] >> np.arange(k) & 1
-        gold[r, : len(m)], real[r, : len(m)] = labels[i], True
-    pairs = real[:, 1:]
-    one = np.eye(2)[gold] * real[..., None]
-    seen_w, seen_m = np.einsum("ntk,nty->ky", on, one, optimize=True), np.einsum("nta,ntb->ab", one[:, :-1], one[:, 1:] * pairs[..., None])
+        held[: len(masks[i]), r] = masks[i]
+        gold[: len(masks[i]), r], real[: len(masks[i]), r] = labels[i], True
+    # Lines share few masks: scores and slopes are those of masks.
+    different, place = np.unique(held, return_inverse=True)
+    place = place.reshape(longest, n)
+    on = (different[:, None] >> np.arange(k) & 1).astype(float)
+    of_mask = lambda v: on.T @ np.stack([np.bincount(place.ravel(), v[..., y].ravel(), len(different)) for y in (0, 1)], axis=1)
+    one = np.eye(2)[gold] * real
+    seen_w, seen_m = of_mask(one), one[:-1].reshape(-1, 2).T @ one[1:].reshape(-1, 2)
     theta = np.concatenate([prior.weights.ravel(), prior.moves.ravel()])
     centre, m1, m2 = theta.copy(), np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w, moves = theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2)
-        s = on @ w
-        ahead, behind = np.empty((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = s[:, 0]
-        for j in range(1, longest):
-            ahead[:, j] = np.where(real[:, j, None], s[:, j] + np.logaddexp.reduce(ahead[:, j - 1, :, None] + moves, axis=1), ahead[:, j - 1])
+        s = (on @ w)[place]
+        step_e, step_m = np.exp(s - s.max(axis=2, keepdims=True)), np.exp(moves)
+        ahead, behind, scale = np.empty((longest, n, 2)), np.ones((longest, n, 2)), np.ones((longest, n, 1))
+        for j in range(longest):  # each step's probabilities sum to 1; after a sequence's end they stay
+            now = step_e[0] if j == 0 else (ahead[j - 1] @ step_m) * step_e[j]
+            scale[j] = now[:, :1] + now[:, 1:]
+            ahead[j] = now / scale[j] if j == 0 else np.where(real[j], now / scale[j], ahead[j - 1])
+        after = np.zeros((longest, n, 2))
         for j in range(longest - 2, -1, -1):
-            behind[:, j] = np.where(real[:, j + 1, None], np.logaddexp.reduce(moves + (s[:, j + 1] + behind[:, j + 1])[:, None, :], axis=2), 0)
-        z = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        node = np.exp(ahead + behind - z[:, None, None]) * real[..., None]
-        edge = np.exp(ahead[:, :-1, :, None] + moves + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-        slope = np.concatenate([(seen_w - np.einsum("ntk,nty->ky", on, node, optimize=True)).ravel(), (seen_m - edge.sum(axis=(0, 1))).ravel()]) - pull * (theta - centre)
+            after[j] = step_e[j + 1] * behind[j + 1] / scale[j + 1]
+            behind[j] = np.where(real[j + 1], after[j] @ step_m.T, behind[j + 1])
+        edge = step_m * (ahead[:-1].reshape(-1, 2).T @ (after[:-1] * real[1:]).reshape(-1, 2))
+        slope = np.concatenate([(seen_w - of_mask(ahead * behind * real)).ravel(), (seen_m - edge).ravel()]) - pull * (theta - centre)
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope**2
         theta = theta + step * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return Chain(theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2))
