@@ -125,3 +125,15 @@ def test_chunks_are_placed_in_time_across_runs(spark):
     chunks = spark.createDataFrame([("s", i, 0.5 + i % 3) for i in range(50)], "signal_id string, chunk_seq long, duration double")
     got = reshape.rebased(chunks, run=7).orderBy("chunk_seq").collect()
     assert [r.start_time for r in got] == [sum(0.5 + j % 3 for j in range(i)) for i in range(50)]
+
+
+def test_numbering_ignores_the_sessions_zone(spark):
+    """02:30 doesn't exist in New York on 10 March 2024; rows without a zone keep their order all the same."""
+    rows = [(i, f"2024-03-10 0{1 + i // 4}:{15 * (i % 4):02d}:00", 7, float(i)) for i in range(16)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sources.from_events(events, bucket_seconds=1800).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r.x for r in got] == [float(i) for i in range(16)] and [r.idx for r in got] == list(range(16))
