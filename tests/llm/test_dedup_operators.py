@@ -8,7 +8,7 @@ from support import classes, close_fingerprints, simhash
 
 from sparkwave.llm import caps, html_text, line_dedup, queries, simhash as op
 from sparkwave.llm.common import Scratch
-from sparkwave.llm.components import components
+from sparkwave.llm.components import _state, components
 
 
 # 4: SimHash
@@ -72,6 +72,13 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_state_of_many_edges(spark):
+    edges = spark.range(20_000_000, numPartitions=8).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    state = _state(edges)
+    assert state[0] == 20_000_000 and state == _state(edges.repartition(3))
+    assert state != _state(edges.withColumn("b", F.when(F.col("a") == 5, 7).otherwise(F.col("b"))))
+
+
 # 6: embeddings
 def clustered(n=600, dim=32, seed=0):
     rng = np.random.default_rng(seed)
