@@ -100,8 +100,18 @@ def recursive(samples: DataFrame, sections: list[Section], rate: float) -> DataF
 
     ``rate`` is the samples' rate, for which the sections were designed.
     """
-    if not sections:
-        return samples
+    return _scan(samples, sections, rate).select(*samples.columns) if sections else samples
+
+
+def carried(samples: DataFrame, sections: list[Section], rate: float, start: DataFrame) -> DataFrame:
+    """``recursive`` from the states in ``start`` (signal_id, channel, state array<double>); channels that it lacks start from rest.
+
+    With a further column ``state``: the cascade's after a block's last sample, null elsewhere. A channel's last row has one.
+    """
+    return _scan(samples, sections, rate, start).select(*samples.columns, "state")
+
+
+def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataFrame | None = None) -> DataFrame:
     spark, length = importable(samples.sparkSession), LENGTH
     system = Cascade(sections)
 
@@ -111,7 +121,7 @@ def recursive(samples: DataFrame, sections: list[Section], rate: float) -> DataF
     rows = samples.select("signal_id", "channel", F.expr(f"idx div {length}").alias("block"), sample.alias("s"))
     held = rows.groupBy("signal_id", "channel", "block").agg(F.array_sort(F.collect_list("s"), lambda a, b: (a["idx"] - b["idx"]).cast("int")).alias("s"))
     blocks = held.select("signal_id", "channel", "block", F.transform("s", lambda v: v["x"]).alias("x"), F.transform("s", lambda v: v["more"]).alias("more"))
-    more = dict(blocks.dtypes)["more"]
+    more, ending = dict(blocks.dtypes)["more"], start is not None
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,6 +138,8 @@ def recursive(samples: DataFrame, sections: list[Section], rate: float) -> DataF
         def run(pdf):
             pdf = pdf.sort_values(by)
             s, before = np.zeros(system.size), []
+            if "state" in pdf and pdf["state"].iloc[0] is not None:
+                s = np.array(pdf["state"].iloc[0], float)
             for e in pdf["e"]:
                 before.append(s)
                 s = power @ s + e
@@ -140,7 +152,10 @@ def recursive(samples: DataFrame, sections: list[Section], rate: float) -> DataF
 
     small = "signal_id string, channel int, block long, g long, e array<double>"
     first = blocks.drop("more").mapInArrow(ends, small).groupBy("signal_id", "channel", "g").applyInPandas(fold("block", system.p, True), "signal_id string, channel int, block long, s array<double>, g long, e array<double>")
-    second = first.where("e is not null").select("signal_id", "channel", "g", "e").groupBy("signal_id", "channel").applyInPandas(fold("g", system.group, False), "signal_id string, channel int, g long, s array<double>")
+    groups = first.where("e is not null").select("signal_id", "channel", "g", "e")
+    if ending:
+        groups = groups.join(start.select("signal_id", "channel", "state"), ["signal_id", "channel"], "left")
+    second = groups.groupBy("signal_id", "channel").applyInPandas(fold("g", system.group, False), "signal_id string, channel int, g long, s array<double>")
     states = first.select("signal_id", "channel", "block", "g", "s").join(second.withColumnRenamed("s", "gs"), ["signal_id", "channel", "g"]).select("signal_id", "channel", "block", "s", "gs")
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +167,19 @@ def recursive(samples: DataFrame, sections: list[Section], rate: float) -> DataF
             n = x.shape[1]
             y = x @ system.h[:n, :n].T + s @ system.z[:n].T
             sizes = np.diff(b.column("x").offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("signal_id"), b.column("channel"), b.column("block"), b.column("more"), pa.array([v[:m] for v, m in zip(y, sizes)], pa.list_(pa.float64()))],
-                names=["signal_id", "channel", "block", "more", "y"],
-            )
+            columns = [b.column("signal_id"), b.column("channel"), b.column("block"), b.column("more"), pa.array([v[:m] for v, m in zip(y, sizes)], pa.list_(pa.float64()))]
+            if ending:
+                after = np.empty_like(s)
+                for m in np.unique(sizes):
+                    at = sizes == m
+                    after[at] = s[at] @ np.linalg.matrix_power(system.a, int(m)).T + x[at, :m] @ system.e[:, length - m :].T
+                columns.append(pa.array(list(after), pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["signal_id", "channel", "block", "more", "y", "state"][: len(columns)])
 
     done = blocks.join(states, ["signal_id", "channel", "block"]).select("signal_id", "channel", "block", "x", "more", "s", "gs")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    filtered = done.mapInArrow(outputs, f"signal_id string, channel int, block long, more {more}, y array<double>")
-    each = filtered.select("signal_id", "channel", "block", F.posexplode(F.arrays_zip("y", "more")).alias("_at", "v"))
+    state = [F.when(F.col("_at") == F.col("_n") - 1, F.col("state")).alias("state")] if ending else []
+    filtered = done.mapInArrow(outputs, f"signal_id string, channel int, block long, more {more}, y array<double>" + (", state array<double>" if ending else ""))
+    each = filtered.select("signal_id", "channel", "block", *([F.size("y").alias("_n"), "state"] if ending else []), F.posexplode(F.arrays_zip("y", "more")).alias("_at", "v"))
     idx = (F.col("block") * length + F.col("_at")).cast("long")
-    return each.select("signal_id", "channel", idx.alias("idx"), (idx / F.lit(rate)).alias("t"), F.col("v.y").alias("x"), *[F.col(f"v.more.`{c}`").alias(c) for c in extra]).select(*samples.columns)
+    return each.select("signal_id", "channel", idx.alias("idx"), (idx / F.lit(rate)).alias("t"), F.col("v.y").alias("x"), *[F.col(f"v.more.`{c}`").alias(c) for c in extra], *state)

@@ -241,16 +241,22 @@ def config_unknown_processors(spark, d):
     return profiles.unknown_processors(*profiles.tables(spark, [broken, profiles.research()]))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def stream_filter_equals_batch(spark, d):
     """The real-time filters over a stream of the events' files; the rows it has written."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkwave-")
-    out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out, table = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", f"{d}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
+    # A stream reads folders: a table of part files is one, a single file is picked out of the folder that holds it.
+    stream = reader.parquet(table) if is_folder(spark, table) else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     rows = stream.where("user_id is not null and ts is not null").select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(16)).cast("int").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
-    done = live.stream_pipeline(rows, spec.realtime(), ["ts", "event_id"], RATE)
-    done.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(f"{out}/rows").select("channel", "idx", "x_raw", F.col("x").alias("y")))
+    sink = live.BlockSink(spec.realtime().sections(RATE), ["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / (6 * 3600)), out, RATE)
+    rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rounded(sink.rows(spark).select("channel", "idx", "x_raw", F.col("x").alias("y")))
 
 
 def queries() -> dict:

@@ -11,16 +11,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkwave.operators.design import Section
-from sparkwave.operators.filters import Cascade
+from sparkwave.operators.filters import Cascade, carried
 from sparkwave.plans.spec import Pipeline
 from sparkwave.session import importable
 from sparkwave.sources.emg import Emg
+from sparkwave.sources.samples import KEY, indexed
 
 OUT = "signal_id string, channel int, idx long, t double, x_raw double, x double"
 
@@ -36,7 +37,8 @@ def stream_cascade(stream: DataFrame, sections: list[Section], order: list[str],
     """Filters a stream of (signal_id, channel, x, ``order`` columns): each channel keeps the cascade's state and its sample count.
 
     Within a micro-batch samples are sorted by ``order``; across micro-batches the source's order holds. idx is counted
-    here. A channel that appears later starts from rest. Null samples count as 0.
+    here. A channel that appears later starts from rest. Null samples count as 0. One task has a channel's rows of a
+    micro-batch: for live signals. ``BlockSink`` spreads them.
     """
     importable(stream.sparkSession)
     system = Cascade(sections) if sections else None
@@ -58,6 +60,39 @@ def stream_cascade(stream: DataFrame, sections: list[Section], order: list[str],
     return stream.groupBy("signal_id", "channel").applyInPandasWithState(run, OUT, "seen long, s array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class BlockSink:
+    """For foreachBatch: filters micro-batches of any size as a block scan and writes them; no task has a whole channel.
+
+    ``out``, in shared storage, gets a folder of rows (OUT) for each micro-batch, and each channel's sample count and
+    cascade state after it. A micro-batch that is run again starts from the same states and replaces its folder.
+    Columns, sorting and idx are as in ``stream_cascade``; ``bucket`` is a column that rises with ``order``.
+    """
+
+    def __init__(self, sections: list[Section], order: list[str], bucket: Column, out: str, rate: float = 1000.0):
+        self.sections, self.order, self.bucket, self.out, self.rate = sections, order, bucket, out.rstrip("/"), rate
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """What has been written; empty if nothing was read."""
+        return spark.read.schema(OUT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{self.out}/rows")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        states = "signal_id string, channel int, seen long, state array<double>"
+        was = spark.read.schema(states).parquet(f"{self.out}/states/{number - 1}") if number else spark.createDataFrame([], states)
+        placed = indexed(batch, KEY, self.order, self.bucket).select("signal_id", "channel", "idx", (F.col("idx") / F.lit(self.rate)).alias("t"), F.col("x").cast("double").alias("x"))
+        raw = placed.withColumn("x_raw", F.col("x"))
+        done = carried(raw, self.sections, self.rate, was) if self.sections else raw.withColumn("state", F.array().cast("array<double>"))
+        # Few rows: one a channel that has ever been seen.
+        before = was.select(*KEY, F.col("seen").alias("_seen"))
+        idx = F.coalesce("_seen", F.lit(0)) + F.col("idx")
+        done = done.join(F.broadcast(before), KEY, "left").select("signal_id", "channel", idx.cast("long").alias("idx"), (idx / F.lit(self.rate)).alias("t"), "x_raw", "x", "state")
+        done.write.mode("overwrite").parquet(f"{self.out}/rows/{number}")
+        written = spark.read.schema(OUT + ", state array<double>").parquet(f"{self.out}/rows/{number}")
+        ends = written.where("state is not null").groupBy(*KEY).agg((F.max("idx") + 1).alias("seen"), F.max_by("state", "idx").alias("state"))
+        both = ends.unionByName(was.join(ends.select(*KEY), KEY, "left_anti").select(*ends.columns))
+        both.coalesce(1).write.mode("overwrite").parquet(f"{self.out}/states/{number}")
+
+
 def stream_pipeline(stream: DataFrame, pipeline: Pipeline, order: list[str], rate: float = 1000.0) -> DataFrame:
     """The recursive filters of a pipeline over a stream, as one cascade. Feature stages work on what has been written."""
     others = [s.name for s in pipeline.stages if s.enabled and s.kind in ("moving_average", "median")]

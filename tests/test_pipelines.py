@@ -2,7 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sparkwave import queries
+from sparkwave.operators import filters
 from sparkwave.operators.design import DesignError
 from sparkwave.plans import profiles, spec
 from sparkwave.streaming import live
@@ -153,6 +156,34 @@ def test_stream_in_chunks_equals_batch(spark, tmp_path):
     assert [r.idx for r in got] == list(range(900)) and np.allclose([r.x for r in got], recursion(sections, x), atol=1e-9)
 
 
+def test_blocks_of_a_stream_equal_batch(spark, tmp_path, monkeypatch):
+    """Micro-batches that end within blocks, several groups of blocks, and a channel that comes and goes."""
+    monkeypatch.setattr(filters, "GROUP", 2)
+    x = np.random.default_rng(6).normal(0, 1, 3000)
+    cuts = [(0, 700), (700, 701), (701, 3000)]
+    for i, (a, b) in enumerate(cuts):
+        rows = table(spark, x).unionByName(table(spark, x[:1500], 1)) if i != 1 else table(spark, x)
+        rows.where(f"idx >= {a} and idx < {b}").drop("t").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema("signal_id string, channel int, idx bigint, x double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    sections = spec.realtime().sections(1000.0)
+    sink = live.BlockSink(sections, ["at"], F.expr("at div 100"), str(tmp_path / "out"))
+    stream.withColumnRenamed("idx", "at").writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out" / "rows").iterdir()) == ["0", "1", "2"]
+    got = sink.rows(spark).orderBy("channel", "idx").collect()
+    for c, want in ((0, x), (1, np.delete(x[:1500], 700))):
+        rows = [r for r in got if r.channel == c]
+        assert [r.idx for r in rows] == list(range(len(want))) and [r.x_raw for r in rows] == want.tolist()
+        assert np.allclose([r.x for r in rows], recursion(sections, want), atol=1e-9) and rows[5].t == 0.005
+    sink(spark.read.parquet(str(tmp_path / "in" / "2")).withColumnRenamed("idx", "at"), 2)  # again
+    assert sink.rows(spark).count() == len(got)
+
+
+def test_a_table_of_part_files_is_streamed_whole(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = (sorted(queries.stream_filter_equals_batch(spark, d).collect()) for d in (str(tmp_path), sf))
+    assert len(got) > 0 and got == want
+
+
 def test_control(spark, tmp_path):
     table(spark, X).write.parquet(str(tmp_path / "in"))
     seen = []
