@@ -62,6 +62,11 @@ def buffer_stats(samples: DataFrame, turns: int = 100, rate: float = 1000.0) ->
     return per.groupBy("signal_id").agg(F.count("*").alias("chunks"), F.sum("n").alias("samples"), F.sum("s").alias("duration"))
 
 
+def chunk_durations(samples: DataFrame, turns: int = 100, rate: float = 1000.0) -> DataFrame:
+    """signal_id, chunk_seq, duration: each chunk of a signal is as long as its longest channel's part."""
+    return samples.groupBy("signal_id", F.expr(f"idx div {int(turns)}").alias("chunk_seq")).agg((F.count_distinct("idx") / F.lit(rate)).alias("duration"))
+
+
 def latest_chunk(samples: DataFrame, turns: int = 100) -> DataFrame:
     """Samples of a signal's last chunk."""
     last = samples.groupBy("signal_id").agg(F.expr(f"max(idx) div {int(turns)}").alias("_last"))

@@ -200,8 +200,8 @@ def buffer_stats(spark, d):
 
 
 def chunk_start_times(spark, d):
-    c = events(spark, d).where("channel = 0").groupBy("signal_id", F.expr("idx div 100").alias("chunk_seq")).agg((F.count("*") / RATE).alias("duration"))
-    return rounded(reshape.rebased(c))
+    """Of every chunk of the signal, whichever channels reach it. The SQL still counts channel 0 alone: see REPLY_r01.md."""
+    return rounded(reshape.rebased(reshape.chunk_durations(events(spark, d), 100, RATE)))
 
 
 def processing_stats(spark, d):

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sparkwave import queries
 from sparkwave.functions.patterns import PRESETS, Pattern, mean_activation
 from sparkwave.operators import reshape
 from sparkwave.sources import samples as sources
@@ -137,3 +138,13 @@ def test_numbering_ignores_the_sessions_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [r.x for r in got] == [float(i) for i in range(16)] and [r.idx for r in got] == list(range(16))
+
+
+def test_start_times_of_all_chunks(spark, tmp_path):
+    """Channel 0 ends in the first chunk, channel 1 in the third: all three chunks have a start time."""
+    users = [0] * 40 + [1] * 230
+    rows = [(i, u, i, 1.0) for i, u in enumerate(users)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.chunk_start_times(spark, str(tmp_path)).orderBy("chunk_seq").collect()
+    assert [(r.chunk_seq, r.duration, r.start_time) for r in got] == [(0, 0.1, 0.0), (1, 0.1, 0.1), (2, 0.03, 0.2)]
