@@ -2,7 +2,8 @@
 
 Paragraphs pass points for their length and commas to their ancestors (all to the parent, half to the grandparent, then
 ever less); containers are discounted by link density. The best container, or the article element around it, is kept
-with siblings that score or read like it. Page furniture is taken out beforehand, by element, role, class or id.
+with siblings that score or read like it. Page furniture is taken out beforehand, by element, role, class or id; classes
+and ids only tell of furniture, so what they name stays if it holds an article or most of the page's points.
 """
 
 from __future__ import annotations
@@ -41,28 +42,28 @@ NEIGHBOUR = frozenset("has with without no".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 WORDS = re.compile(r"[a-z]+")
 CONTAINERS = frozenset("article main body".split())
+PARAGRAPHS = frozenset("p pre blockquote".split())
 SCORED = frozenset("p pre td blockquote li dd figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "removed", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "inside", "removed", "named", "score", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, removed: bool):
-        self.tag, self.parent, self.inside, self.removed, self.score, self.chars, self.linked = tag, parent, [], removed, 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, removed: bool, named: int = 0):
+        self.tag, self.parent, self.inside, self.removed, self.named = tag, parent, [], removed, named
+        self.score, self.points, self.chars, self.linked = 0.0, 0.0, 0, 0
 
 
-def is_furniture(tag: str, attrs, parent: Node | None) -> bool:
-    if tag in REMOVED:
-        return True
-    inner = tag in CONTAINERS or tag == "html"
-    for name, value in attrs:
-        if name == "hidden":
-            return True
-        if name == "role" and (value or "").strip().lower() in ROLES:
-            return True
-        if name in ("class", "id") and value and not inner and any(FURNITURE.intersection(named) for named in names_of(value)):
-            return True
-    return False
+def is_furniture(tag: str, attrs) -> bool:
+    """By element or role."""
+    return tag in REMOVED or any(name == "hidden" or name == "role" and (value or "").strip().lower() in ROLES for name, value in attrs)
+
+
+def named_as(tag: str, attrs) -> int:
+    """By class or id: 2 if a name has words of furniture alone, 1 if it has one among others (of a paragraph that is 0: share-price)."""
+    found = [2 if FURNITURE.issuperset(words) else 1 for name, value in attrs if name in ("class", "id") and value for words in names_of(value) if FURNITURE.intersection(words)]
+    most = max(found, default=0)
+    return 0 if most == 1 and tag in PARAGRAPHS else most
 
 
 def names_of(value: str):
@@ -79,6 +80,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("html", None, False)
+        self.named: list[Node] = []  # may be taken out for a class or id
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -89,9 +91,11 @@ class Tree(HTMLParser):
             self.now = self.now.parent
         if tag in CLOSED_BY:
             self.end_implied(*CLOSED_BY[tag])
-        node = Node(tag, self.now, is_furniture(tag, attrs, self.now))
+        node = Node(tag, self.now, is_furniture(tag, attrs), named_as(tag, attrs))
         if tag == "header":  # of a page; an article's own header keeps its headings
             node.removed = True
+        if node.named and not node.removed and tag not in CONTAINERS:
+            self.named.append(node)
         self.now.inside.append(node)
         if tag not in VOID:
             self.now = node
@@ -172,12 +176,15 @@ def score(root: Node) -> list[Node]:
                 chars, commas = own.get(id(item), (0, 0))
                 if chars and (item.tag in SCORED or item.tag in BLOCKS and chars >= 25):
                     points, share, at = 1 + commas + min(chars / 100, 3), 1.0, item.parent if item.tag in SCORED else item
+                    item.points += points
                     level = 0
                     while at is not None:
                         at.score += points * share
                         found[id(at)] = at
                         level += 1
                         share, at = 1 / (2 if level == 1 else 3 * level), at.parent
+                if parent is not None:
+                    parent.points += item.points
         elif parent is not None:
             text = " ".join(item.split())
             parent.chars += len(text)
@@ -192,10 +199,63 @@ def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The nodes whose text is the article, in page order."""
+def clear(root: Node) -> None:
+    for item, _, entering in walk(root):
+        if entering and isinstance(item, Node):
+            item.score, item.points, item.chars, item.linked = 0.0, 0.0, 0, 0
+
+
+def beside(node: Node, held: list[Node]) -> bool:
+    """Whether one of ``held`` has text and isn't around ``node``, which holds none of them."""
+    around, at = set(), node.parent
+    while at is not None:
+        around.add(id(at))
+        at = at.parent
+    return any(x.chars and id(x) not in around for x in held)
+
+
+def take_out(root: Node, named: list[Node]) -> None:
+    """Removes ``named``, but none that holds a main element, an article or most of the page's paragraph points.
+
+    Articles inside articles, those that are named as furniture themselves, and those with under a fifth of the best
+    one's points (teasers) don't count. What a whole name tells of (ad, not ad-free) goes whatever its points are if an
+    article or main element with text stands beside it.
+    """
+    score(root)
+    articles, mains, depth = [], [], 0
+    for item, _, entering in walk(root):
+        if isinstance(item, Node) and item.tag == "article":
+            depth += 1 if entering else -1
+            if entering and depth == 1 and not item.named:
+                articles.append(item)
+        elif isinstance(item, Node) and item.tag == "main" and entering:
+            mains.append(item)
+    best, holding = max((x.points for x in articles), default=0.0), set()
+    held = [*mains, *(x for x in articles if x.points >= 0.2 * best)]
+    for at in held:
+        while at is not None and id(at) not in holding:
+            holding.add(id(at))
+            at = at.parent
+    out = [x for x in named if id(x) not in holding and (2 * x.points <= root.points or x.named == 2 and beside(x, held))]
+    clear(root)
+    for x in out:
+        x.removed = True
+
+
+def main_nodes(root: Node, named: list[Node]) -> list[Node]:
+    """The nodes whose text is the article, in page order; ``named`` ones are taken out unless nothing is left then."""
+    if named:
+        take_out(root, named)
     keep_headings(root)
     scored = score(root)
+    if not scored and (out := [x for x in named if x.removed]):
+        left = root.chars
+        for x in out:
+            x.removed = False
+        clear(root)
+        scored = score(root)
+        for x in out:
+            x.removed = not scored and left > 0
     if not scored:
         return [root]
     final = {id(n): n.score * (1 - density(n)) for n in scored}
@@ -246,7 +306,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return "\n\n".join(blocks(main_nodes(tree.root)))
+    return "\n\n".join(blocks(main_nodes(tree.root, tree.named)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -183,6 +183,25 @@ def test_pages(spark):
             assert r.text == PAGES[r.page_id][1], PAGES[r.page_id][0]
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<div class='layout sidebar-right'><article><p>{LONG}</p></article><div class=sidebar><p>{LONG}</p></div></div>", LONG),
+        (f"<div id='page-with-sidebar'><p>{LONG}</p><p>{LONG}</p></div><div class=comments><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+        (f"<div class='search-page'><main><p>{LONG}</p></main></div><div class=related><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><p class='share-price'>The price rose, by a tenth, in a day.</p><p class='share'>Share this, please, with all of your friends.</p></article>", f"{LONG}\n\nThe price rose, by a tenth, in a day."),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><div id=comments><article class=comment><p>{LONG}</p></article></div>", f"{LONG}\n\n{LONG}"),
+        (f"<div class='menu-left'><p>{LONG}</p></div><div class='menu-right'><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+        (f"<main><p>Short.</p></main><div class=related><p>{LONG}</p></div>", "Short."),
+        (f"<article><p>Lead.</p><div class='body sidebar-right'><p>{LONG}</p></div></article>", f"Lead.\n\n{LONG}"),
+        ("<div class='search-results'>Few words</div>", "Few words"),
+        ("<div class=ad>Buy</div>Few words", "Few words"),
+    ],
+)
+def test_names_do_not_take_the_article(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_long_and_deep_pages_end():
     assert html_text.main_text("<div>" * 3000 + f"<p>{LONG}</p>" + "</div>" * 3000) == LONG
     assert len(html_text.main_text(f"<article>{f'<p>{LONG}</p>' * 5000}</article>")) == 5000 * (len(LONG) + 2) - 2
