@@ -1,20 +1,22 @@
 """Quality rules by line labelling: a chain CRF marks lines as content or boilerplate; their share decides.
 
 Base figures and the share come from one narrow pass over whole texts. The model is trained on a bounded sample of
-labelled documents (lowest hashes of doc_id first); every line of a document takes its document's label there, and
-weights are pulled towards a documented prior, which also is the model if nothing is labelled.
+labelled documents (lowest hashes of doc_id first). Labels tell of documents, so the labels of lines are learnt: a
+document's label bounds the share of its words that lines marked as content may hold (``learn``). Weights are pulled
+towards a documented prior, which also is the model if nothing is labelled.
 """
 
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
-from .crf import Chain, train
+from .crf import Chain, label_within, train
 
 SYMBOLS = "#*$%&|<>"
 SYMBOL_BYTES = frozenset(SYMBOLS.encode())
@@ -37,7 +39,7 @@ FEATURES = [
     ("ends like a sentence", 0.7),
     ("ten words or more", 0.5),
     ("digits in many words", -1.0),
-    ("page furniture", -1.5),
+    ("page furniture in a short line", -5.0),
     ("odd word length", -0.5),
 ]
 PRIOR = Chain([(-w / 2, w / 2) for _, w in FEATURES], [(0.5, -0.5), (-0.5, 0.5)])
@@ -54,7 +56,7 @@ def line_mask(line: bytes, words: list[bytes], again: bool) -> int:
     digits = sum(48 <= w[0] <= 57 for w in words)
     flags = (
         True, 4 * symbols > n, 4 * bang > n, 6 * bars > n, 2 * upper > n, n >= 8 and 2 * len(set(words)) < n, again, n < 3,
-        ENDS.search(words[-1]) is not None, n >= 10, 4 * digits > n, FURNITURE.search(line.lower()) is not None, not 2 * n <= letters <= 16 * n,
+        ENDS.search(words[-1]) is not None, n >= 10, 4 * digits > n, n < 16 and FURNITURE.search(line.lower()) is not None, not 2 * n <= letters <= 16 * n,
     )
     return sum(1 << i for i, f in enumerate(flags) if f)
 
@@ -98,28 +100,51 @@ def read(text: str | None) -> tuple:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), dup, repeat_words(words), masks, sizes
 
 
-def _masks(most_lines: int):
+def _runs(most_lines: int):
     def make():
         def run(rows):
-            for label, text in rows:
-                masks = read(text)[5]
-                yield label, [masks[i] for i in np.linspace(0, len(masks) - 1, min(len(masks), most_lines)).astype(int)]
+            for i, label, text in rows:
+                *_, masks, sizes = read(text)
+                first = crc32((text or "").encode("utf-8", "surrogatepass")) % max(1, len(masks) - most_lines + 1)
+                at = slice(first, first + most_lines)
+                yield i, label, masks[at], sizes[at]
 
         return run
 
     return make
 
 
+def learn(runs: list[tuple[int, list[int], list[int]]], rounds: int = 3, steps: int = 50, good: float = 0.9, bad: float = 0.45) -> Chain:
+    """A chain from runs of lines (quality of the document, masks, words) whose own labels aren't known.
+
+    Expectation maximisation with best labellings: lines get the labels that the chain of the round before likes best,
+    within what the document's label says (quality 1: at least ``good`` of the words are content, quality 0: at most
+    ``bad``), and the weights are learnt from those. Weights of label pairs are held close to the prior's: documents are
+    mostly of one kind, and would teach that labels never change. Equal runs count once.
+    """
+    runs = sorted({(q, tuple(masks), tuple(words)) for q, masks, words in runs if masks})
+    if not runs:
+        return PRIOR
+    quality, masks, words = zip(*runs)
+    is_good, chain = np.array(quality) > 0, PRIOR
+    for _ in range(rounds):
+        labels = label_within(chain, masks, words, np.where(is_good, good, 0.0), np.where(is_good, 1.0, bad))
+        chain = train(PRIOR, masks, labels, rounds=steps, pull_moves=float(len(runs)), start=chain)
+    return chain
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: int = 100, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Trains on at most ``most_docs`` labelled documents; of one with more than ``most_lines`` lines, that many evenly spaced ones.
+    """``learn`` from at most ``most_docs`` labelled documents; of one with more than ``most_lines`` lines, a run of that many neighbouring ones.
 
-    The sample: labelled ids with the lowest hashes. Labels that are null or an id with both labels are left out.
+    The sample: labelled ids with the lowest hashes. Labels that are null or an id with both labels are left out; an id
+    with several texts gives one run.
     """
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r")
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = sorted(map_rows(texts.select("q", "text"), "q int, masks array<int>", _masks(most_lines)).limit(2 * most_docs).collect(), key=lambda r: (r.q, r.masks))
-    return train(PRIOR, [np.array(r.masks, int) for r in got], [np.full(len(r.masks), min(max(r.q, 0), 1)) for r in got])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text")
+    runs = map_rows(texts, f"doc_id {dict(texts.dtypes)['doc_id']}, q int, masks array<int>, sizes array<int>", _runs(most_lines))
+    got = runs.groupBy("doc_id").agg(F.min(F.struct("q", "masks", "sizes")).alias("run")).select("run.*").collect()
+    return learn([(min(max(r.q, 0), 1), r.masks, r.sizes) for r in got])
 
 
 def judge(docs: DataFrame, chain: Chain = PRIOR, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op1: the figures that its base rules go by."""
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 ALL = (
     op1_quality_rules, op2_best_fit_packing, op3_sharding, op4_simhash_near_dedup, op5_token_counts,
     op6_embedding_near_dedup, op7_line_dedup, op8_secret_scans, op9_bpe_encoding, op10_html_extraction,
@@ -62,11 +67,23 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, base_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "base_figures": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+     ws AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+     w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM ws),
+     g AS (SELECT r, p, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS g, lead(p, 4) OVER o AS last FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+     c AS (SELECT r, p FROM g WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+     rep AS (SELECT r, count(DISTINCT p + k) AS n FROM c, range(5) AS five(k) GROUP BY 1),
+     l AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+       coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed
+FROM d JOIN ws USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r)""",
         "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
        SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings

@@ -98,7 +98,14 @@ def test_helper_names_do_not_clash(docs):
     assert line_dedup.drop_boilerplate(odd).count() == 20
 
 
+@pytest.mark.parametrize("name", ["base_figures"])
+def test_reduced_queries_equal_sql(spark, sf, name):
+    from oracle import difference, duck
+
+    assert difference(queries.queries()[name](spark, sf), queries.oracle_sql()[name], duck(sf)) == ""
+
+
 def test_every_query_runs(spark, sf):
-    assert len(queries.queries()) == 10
+    assert len(queries.queries()) == 11
     for name, query in queries.queries().items():
         assert query(spark, sf).count() > 0, name

@@ -34,6 +34,58 @@ def test_labels_are_learnt(spark):
     assert len(got) > 150 and sum(r.kept == (r.quality == 1 and not r.base_failed) for r in got) / len(got) > 0.97
 
 
+MIXED = [
+    "A sentence that reads like prose, with enough words in it to be content.",
+    "Another sentence of ordinary prose follows here, and it ends with a full stop.",
+    "Home | About | Contact | Login | Help | More",
+    "Copyright 2020 Example Inc. All rights reserved.",
+    "Subscribe to our newsletter",
+    "The last sentence describes, in some detail, what happened after the meeting.",
+]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return quality.fit(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+
+
+def test_the_trained_chain_labels_lines(spark, trained):
+    rows = spark.createDataFrame([(1, "\n".join(MIXED)), (2, "\n".join([MIXED[0], *MIXED[2:5]]))], "doc_id long, text string")
+    got = quality.label_lines(rows, trained).orderBy("doc_id", "line").collect()
+    assert [int(r.is_content) for r in got] == [1, 1, 0, 0, 0, 1, 1, 0, 0, 0]
+    kept = {r.doc_id: (r.kept, r.n_lines, r.n_content_lines) for r in quality.judge(rows, trained).collect()}
+    assert kept == {1: (True, 6, 3), 2: (False, 4, 1)}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bars = [text for (text,) in docs.select("text").collect() if "|" not in (text or "|").split("\n")[0] and any(x.count(" | ") > 6 for x in text.split("\n"))]
+    prose = []
+    for text in bars:  # prose before and after menus
+        lines = [x for x in text.split("\n") if x.split()]
+        label = trained.viterbi(quality.read(text)[5])
+        assert not any(y for x, y in zip(lines, label) if x.count(" | ") > 2)
+        prose += [y for x, y in zip(lines, label) if "|" not in x]
+    assert np.mean(prose) > 0.8
+    assert len(bars) >= 5
+    share = quality.judge(docs, trained).where("content_share > 0 and content_share < 1").count()
+    assert share >= 0.01 * docs.count()
+
+
+def test_labels_within_bounds():
+    rng = np.random.default_rng(3)
+    chain = crf.Chain(rng.normal(size=(4, 2)), [(0.5, -0.5), (-0.5, 0.5)])
+    masks = [rng.integers(0, 16, n) for n in (1, 2, 7, 30)]
+    words = [np.ones(len(m), int) for m in masks]
+    free = crf.label_within(chain, masks, words, np.zeros(4), np.ones(4))
+    assert [list(y) for y in free] == [chain.viterbi(m) for m in masks]
+    high, low = (crf.label_within(chain, masks, words, np.full(4, a), np.full(4, b)) for a, b in ((0.75, 1.0), (0.0, 0.25)))
+    assert all(y.mean() >= 0.75 for y in high) and all(y.mean() <= 0.25 for y in low)
+
+
+def test_the_model_does_not_depend_on_order_or_repeats(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    a, b = quality.fit(docs, labels), quality.fit(docs.union(docs).repartition(5), labels.union(labels))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.moves, b.moves)
+
+
 def test_without_labels_the_prior_decides(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
     chain = quality.fit(docs, labels)
