@@ -8,6 +8,10 @@ does, one space between tokens.
 Texts are cut at white space first. No pre-token crosses white space, normalisation never composes across it,
 and the special strings contain none, so a text's ids are its chunks' ids in order; chunks repeat, and so do the
 pre-tokens of those that are new, hence ``ChunkMemo``. The memos are bounded: they affect speed only.
+
+Characters are letters, digits and cases by Unicode tables, and those of Python, of its ``regex`` module and of the
+library are of different versions. They agree on what Python's table assigns (tests ask the library for every code
+point); a chunk with any other character is normalised and split by the library itself.
 """
 
 from __future__ import annotations
@@ -54,6 +58,7 @@ class BytePairs:
         self.inner = [vocab[c] for c in byte_chars()]
         self.last = [vocab[c + suffix] for c in byte_chars()]
         self.pieces = regex.compile(PIECES)
+        self.path, self.library, self.byte_of = path, None, {c: b for b, c in enumerate(byte_chars())}
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def merge(self, piece: bytes) -> list[int]:
@@ -81,9 +86,21 @@ class BytePairs:
                 heappush(queue, q * n + h)
         return [s for s in sym if s >= 0]
 
+    def library_split(self, text: str) -> list[str]:
+        """Pre-tokens of a text by the library's normaliser and splitter, which gives each byte as a visible character."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        normal = self.library.normalizer.normalize_str(text)
+        shown = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in shown]
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
         if not text.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in text):
+                return self.library_split(text)
             # One character at a time, as the library does: a final sigma is no special case.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         low = text.lower()

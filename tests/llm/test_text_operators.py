@@ -178,6 +178,21 @@ def test_merges_of_random_strings(library):
         assert own.encode(text) == library[0](text), repr(text)
 
 
+def test_ids_of_every_code_point(library):
+    """Alone, and beside letters, digits, marks and capitals: own splitting and merging against the library's ids.
+
+    Of the planes without assigned characters every 101st.
+    """
+    import public_tokenizers
+
+    own = bpe.BytePairs(public_tokenizers.path("word_bpe_49k.json"))
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x33500), *range(0x33500, 0xE0000, 101), *range(0xE0000, 0xE0200), *range(0xE0200, 0x110000, 101)]]
+    for form in ("{}", "1{}Σ{}2\u0301-{}'s"):
+        for at in range(0, len(points), 20_000):
+            text = " ".join(form.replace("{}", c) for c in points[at : at + 20_000])
+            assert own.encode(text) == library[0](text), (form, at)
+
+
 # 8: secrets
 def test_base_spans(docs, awkward):
     for rows in (docs, awkward):
