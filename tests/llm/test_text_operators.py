@@ -248,10 +248,18 @@ def test_pieces_and_sequences(which, request, library):
             at += length
         assert at <= 2048
     total = sum(r.length for r in got)
-    assert len(sequences) <= total / 2048 * 1.02 + rows.rdd.getNumPartitions()
+    assert len(sequences) <= total / 2048 * 1.005 + 2
     assert packing.pack_documents(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 64, 200])
+def test_partitions_cost_no_sequences(spark, partitions):
+    parts = spark.range(6000).select("id", (F.col("id") * 7919 % 700 + F.when(F.col("id") % 9 == 0, 1200).otherwise(1)).alias("length")).repartition(partitions)
+    total, n = packing.pack(parts).agg(F.sum("length"), F.count_distinct("sequence_id")).head()
+    assert n <= -(-total // 2048) * 1.005 + 1
+    assert packing.pack(parts).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n > 2048 or n <> m").count() == 0
+
+
 def test_small_buffers_and_kept_ids(docs, library):
     whole, small = packing.pack_documents(docs, keep_ids=True).collect(), packing.pack_documents(docs, ahead=7)
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in whole} == {(r.doc_id, r.piece): r.ids_crc32 for r in small.collect()}
