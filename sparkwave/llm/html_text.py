@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors (all to the parent, half to the grandparent, then
-ever less); containers are discounted by link density. The best container, or the article element around it, is kept
-with siblings that score or read like it. Page furniture is taken out beforehand, by element, role, class or id; classes
-and ids only tell of furniture, so what they name stays if it holds an article or most of the page's points.
+Paragraphs pass points for their length and commas to their nearest ancestors (all to the parent, half to the
+grandparent, then ever less); containers are discounted by link density. The best container, or the article element
+around it, is kept with siblings that score or read like it. Page furniture is taken out beforehand, by element, role,
+class or id; classes, ids and forms only hint at furniture, so what they name stays if it holds an article or most of
+the page's points. All steps take time in proportion to the page, however deep or broken it is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-REMOVED = frozenset("script style noscript template nav footer aside form button select textarea input label fieldset iframe object embed svg canvas audio video head title dialog menu".split())
+REMOVED = frozenset("script style noscript template nav footer aside button select textarea input label fieldset iframe object embed svg canvas audio video head title dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = BLOCKS - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 #: An element that is implicitly closed by the start of another: which ones, and where the search for it ends.
@@ -43,6 +44,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = re.compile(r"[a-z]+")
 CONTAINERS = frozenset("article main body".split())
 PARAGRAPHS = frozenset("p pre blockquote".split())
+#: So many ancestors get points of a paragraph.
+LEVELS = 8
 SCORED = frozenset("p pre td blockquote li dd figcaption".split())
 
 
@@ -60,7 +63,9 @@ def is_furniture(tag: str, attrs) -> bool:
 
 
 def named_as(tag: str, attrs) -> int:
-    """By class or id: 2 if a name has words of furniture alone, 1 if it has one among others (of a paragraph that is 0: share-price)."""
+    """By class or id: 2 if a name has words of furniture alone, 1 if it has one among others (of a paragraph that is 0: share-price). A form: 2."""
+    if tag == "form":
+        return 2
     found = [2 if FURNITURE.issuperset(words) else 1 for name, value in attrs if name in ("class", "id") and value for words in names_of(value) if FURNITURE.intersection(words)]
     most = max(found, default=0)
     return 0 if most == 1 and tag in PARAGRAPHS else most
@@ -75,54 +80,65 @@ def names_of(value: str):
 
 
 class Tree(HTMLParser):
-    """A forgiving tree: implied ends, unknown ends and missing ends as browsers treat them, in outline."""
+    """A forgiving tree: implied ends, unknown ends and missing ends as browsers treat them, in outline.
+
+    ``path`` holds the open elements, ``depths`` where on it each name stands and where blocks do: an end finds its
+    element, or that there is none, without a walk.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.now = Node("html", None, False)
-        self.named: list[Node] = []  # may be taken out for a class or id
+        self.root = Node("html", None, False)
+        self.path, self.depths = [self.root], {}
+        self.named: list[Node] = []  # may be taken out for a class or id, or as a form
+
+    def deepest(self, names) -> int:
+        """Depth of the innermost open element of one of the names; 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def close_to(self, depth: int) -> None:
+        """Closes the open elements from ``depth`` on."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.depths[""].pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return
         if tag in ENDS_PARAGRAPH:
             self.end_implied({"p"}, {"table", "td", "th", "button", "object", "article", "section", "div", "li", "blockquote"})
-        if tag in HEADINGS and self.now.tag in HEADINGS:
-            self.now = self.now.parent
+        if tag in HEADINGS and self.path[-1].tag in HEADINGS:
+            self.close_to(len(self.path) - 1)
         if tag in CLOSED_BY:
             self.end_implied(*CLOSED_BY[tag])
-        node = Node(tag, self.now, is_furniture(tag, attrs), named_as(tag, attrs))
+        node = Node(tag, self.path[-1], is_furniture(tag, attrs), named_as(tag, attrs))
         if tag == "header":  # of a page; an article's own header keeps its headings
             node.removed = True
         if node.named and not node.removed and tag not in CONTAINERS:
             self.named.append(node)
-        self.now.inside.append(node)
+        self.path[-1].inside.append(node)
         if tag not in VOID:
-            self.now = node
+            for name in (tag, "") if tag in BLOCKS else (tag,):
+                self.depths.setdefault(name, []).append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
 
     def end_implied(self, tags, until):
-        node = self.now
-        while node.parent is not None and node.tag not in until:
-            if node.tag in tags:
-                self.now = node.parent
-                return
-            node = node.parent
+        depth = self.deepest(tags)
+        if depth > self.deepest(until):
+            self.close_to(depth)
 
     def handle_endtag(self, tag):
-        node = self.now
-        while node.parent is not None:
-            if node.tag == tag:
-                self.now = node.parent
-                return
-            if tag not in BLOCKS and node.tag in BLOCKS:
-                return  # the end of an inline element doesn't close a block
-            node = node.parent
+        depth = self.deepest((tag,))
+        if depth and (tag in BLOCKS or depth > self.deepest(("",))):  # the end of an inline element doesn't close a block
+            self.close_to(depth)
 
     def handle_data(self, data):
-        self.now.inside.append(data)
+        self.path[-1].inside.append(data)
 
     def unknown_decl(self, data):
         pass
@@ -178,7 +194,7 @@ def score(root: Node) -> list[Node]:
                     points, share, at = 1 + commas + min(chars / 100, 3), 1.0, item.parent if item.tag in SCORED else item
                     item.points += points
                     level = 0
-                    while at is not None:
+                    while at is not None and level < LEVELS:
                         at.score += points * share
                         found[id(at)] = at
                         level += 1
@@ -205,13 +221,16 @@ def clear(root: Node) -> None:
             item.score, item.points, item.chars, item.linked = 0.0, 0.0, 0, 0
 
 
-def beside(node: Node, held: list[Node]) -> bool:
-    """Whether one of ``held`` has text and isn't around ``node``, which holds none of them."""
-    around, at = set(), node.parent
-    while at is not None:
-        around.add(id(at))
-        at = at.parent
-    return any(x.chars and id(x) not in around for x in held)
+def beside(root: Node, held: list[Node]) -> set[int]:
+    """Nodes beside which one of ``held`` with text stands: not all of those are around the node."""
+    counted = {id(x) for x in held if x.chars}
+    out, around = set(), 0
+    for item, _, entering in walk(root):
+        if isinstance(item, Node):
+            if entering and around < len(counted):
+                out.add(id(item))
+            around += (1 if entering else -1) * (id(item) in counted)
+    return out
 
 
 def take_out(root: Node, named: list[Node]) -> None:
@@ -236,7 +255,8 @@ def take_out(root: Node, named: list[Node]) -> None:
         while at is not None and id(at) not in holding:
             holding.add(id(at))
             at = at.parent
-    out = [x for x in named if id(x) not in holding and (2 * x.points <= root.points or x.named == 2 and beside(x, held))]
+    aside = beside(root, held)
+    out = [x for x in named if id(x) not in holding and (2 * x.points <= root.points or x.named == 2 and id(x) in aside)]
     clear(root)
     for x in out:
         x.removed = True
@@ -312,8 +332,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
-    A null or empty page has an empty text. Null ids and urls stay null, repeated rows give a row each, ties between
-    containers go to the one that scored first in page order. An empty table gives an empty result; extra columns are left out.
+    A null or empty page has an empty text; long ones are read whole. Null ids and urls stay null, repeated rows give a
+    row each, ties between containers go to the one that scored first in page order. An empty table gives an empty
+    result; extra columns are left out.
     """
 
     def make():

@@ -196,6 +196,9 @@ def test_pages(spark):
         (f"<article><p>Lead.</p><div class='body sidebar-right'><p>{LONG}</p></div></article>", f"Lead.\n\n{LONG}"),
         ("<div class='search-results'>Few words</div>", "Few words"),
         ("<div class=ad>Buy</div>Few words", "Few words"),
+        (f"<form action=/x><input name=state><div class=wrap><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></form>", f"T\n\n{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><form><p>{LONG}</p></form></article>", LONG),
+        *[(f"<div class='{name}'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=footer><p>{LONG}</p></div>", f"T\n\n{LONG}\n\n{LONG}") for name in ("page-with-sidebar", "layout-sidebar-right", "search-results", "content-related", "post share", "td-post-header")],
     ],
 )
 def test_names_do_not_take_the_article(html, text):
@@ -207,6 +210,17 @@ def test_long_and_deep_pages_end():
     assert len(html_text.main_text(f"<article>{f'<p>{LONG}</p>' * 5000}</article>")) == 5000 * (len(LONG) + 2) - 2
 
 
+@pytest.mark.parametrize("n", [20_000])
+def test_broken_pages_take_time_in_proportion(n):
+    from time import perf_counter
+
+    shapes = ["<p>" + "<span>" * n + LONG + "</b>" * n, "<i><p>" + "<span>" * n + LONG + "</i>" * n, "<div><p>" * n + LONG, "<ul>" + "<li>a" * n, f"<div class=ad>{LONG}</div><article><p>{LONG}</p></article>" * (n // 20), "<form>" * n + LONG, "<article><header>" * n + LONG]
+    for html in shapes:
+        began = perf_counter()
+        html_text.main_text(html)
+        assert perf_counter() - began < 3, html[:40]
+
+
 def test_articles_of_the_pages_table(spark, sf):
     """Each page has one article element without furniture inside: its text is the answer."""
     import re
