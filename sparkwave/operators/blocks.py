@@ -2,7 +2,7 @@
 
 A channel may hold a third of all rows. It is cut into blocks of ``length`` samples; a row also goes to the next block
 if rows there look back at it. Window functions then run over (signal_id, channel, _block), whose size is bounded.
-idx must be without gaps, as in every samples table.
+A frame reaches back over idx, not over rows: where idx has gaps it holds fewer samples, in any block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def in_block() -> Window:
 
 
 def rolling(samples: DataFrame, before: int, out: dict[str, Column], length: int = BLOCK) -> DataFrame:
-    """``samples`` with the columns ``out``, window expressions over ``in_block()`` that look back ``before`` rows at most."""
+    """``samples`` with the columns ``out``, window expressions over ``in_block()`` that look back over ``before`` of idx at most."""
     length = max(length, before + 1)
     computed = with_halo(samples, before, length).withColumns(out)
     return computed.where(F.expr(f"idx div {length}") == F.col("_block")).drop("_block")

@@ -9,6 +9,10 @@ with matrices that depend on the coefficients alone. So each block's E x is comp
 those is folded into the state at each block's start; then each block's output follows. Blocks bound the memory of a
 task, and a channel of any length is spread over all of them. The fold has two levels, the second over one row for
 each ``GROUP`` blocks of a channel.
+
+Samples count one after the other, whatever gaps idx has, so a block may hold fewer samples than its place allows; its
+matrices are those of its number of samples. A matrix product would spread a NaN or an infinity over a whole block:
+blocks with one, and those after it, are computed sample by sample, from where on outputs are what the recursion gives.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from sparkwave.operators.blocks import in_block, rolling
 from sparkwave.operators.design import Section
@@ -30,15 +35,15 @@ LENGTH, GROUP = 256, 4096
 
 
 def moving_average(samples: DataFrame, size: int, col: str = "x") -> DataFrame:
-    """x becomes the mean of the last ``size`` samples, of as many as there are at the start."""
+    """x becomes the mean of the last ``size`` samples, of as many as there are at the start; a gap in idx counts as missing samples."""
     _positive(size)
-    return _replaced(samples, size - 1, col, F.avg(col).over(in_block().rowsBetween(1 - size, 0)))
+    return _replaced(samples, size - 1, col, F.avg(col).over(in_block().rangeBetween(1 - size, 0)))
 
 
 def median_filter(samples: DataFrame, size: int, col: str = "x") -> DataFrame:
-    """x becomes the median of the last ``size`` samples, of as many as there are at the start."""
+    """x becomes the median of the last ``size`` samples, of as many as there are at the start; a gap in idx counts as missing samples."""
     _positive(size)
-    held = F.array_sort(F.collect_list(col).over(in_block().rowsBetween(1 - size, 0)))
+    held = F.array_sort(F.collect_list(col).over(in_block().rangeBetween(1 - size, 0)))
     middle = F.transform(F.array(held), lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2)
     return _replaced(samples, size - 1, col, middle[0])
 
@@ -49,12 +54,12 @@ def _positive(size: int) -> None:
 
 
 def _replaced(samples: DataFrame, before: int, col: str, value) -> DataFrame:
-    return rolling(samples, before, {"_y": value}).withColumn(col, F.col("_y")).select(*samples.columns)
+    return rolling(samples, before, {"_y": value}).withColumn(col, F.col("_y")).select(*(f"`{c}`" for c in samples.columns))
 
 
 def step(sections: list[Section], state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One sample: (output, next state). State: last two inputs, then last two outputs of each section."""
-    after, v = [x, state[0]], x
+    after, v = [x + np.zeros_like(state[0]), state[0]], x
     for j, (b0, b1, b2, a1, a2) in enumerate(sections):
         u1, u2, y1, y2 = state[2 * j], state[2 * j + 1], state[2 * j + 2], state[2 * j + 3]
         v = b0 * v + b1 * u1 + b2 * u2 - a1 * y1 - a2 * y2
@@ -63,7 +68,7 @@ def step(sections: list[Section], state: np.ndarray, x: np.ndarray) -> tuple[np.
 
 
 class Cascade:
-    """The matrices of a cascade for blocks of ``length`` samples."""
+    """The matrices of a cascade for blocks of up to ``length`` samples."""
 
     def __init__(self, sections: list[Section], length: int = LENGTH):
         d = 2 * len(sections) + 2
@@ -71,7 +76,7 @@ class Cascade:
         basis = [step(sections, one[i], 0.0) for i in range(d)]
         self.a, self.c = np.array([s for _, s in basis]).T, np.array([y for y, _ in basis])
         direct, b = step(sections, zero, 1.0)
-        self.size, self.length = d, length
+        self.sections, self.size, self.length = sections, d, length
         self.z, self.e = np.empty((length, d)), np.empty((d, length))
         row, col, impulse = self.c, b, np.empty(length)
         impulse[0] = direct
@@ -81,8 +86,40 @@ class Cascade:
                 impulse[i + 1] = row @ b
             row, col = row @ self.a, self.a @ col
         self.h = np.array([[impulse[i - j] if i >= j else 0.0 for j in range(length)] for i in range(length)])
-        self.p = np.linalg.matrix_power(self.a, length)
-        self.group = np.linalg.matrix_power(self.p, GROUP)
+        self.powers: dict[int, np.ndarray] = {}
+
+    def power(self, n: int) -> np.ndarray:
+        """What ``n`` samples make of a state."""
+        if n not in self.powers:
+            if len(self.powers) > 4 * GROUP:
+                self.powers.clear()
+            self.powers[n] = np.linalg.matrix_power(self.a, n)
+        return self.powers[n]
+
+    def moved(self, state: np.ndarray, n: int, e: np.ndarray) -> np.ndarray:
+        """The state ``n`` samples later, with ``e`` for what those bring; once not finite, all of it is NaN."""
+        return self.power(n) @ state + e if np.isfinite(state).all() else np.full(self.size, np.nan)
+
+    def run(self, x: np.ndarray, n: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs and end states of blocks: rows of x, of which the first n samples count, from rows of states."""
+        y, after = np.empty_like(x), np.empty_like(state)
+        with np.errstate(invalid="ignore", over="ignore"):
+            plain = ~(np.isfinite(x).all(axis=1) & np.isfinite(state).all(axis=1))
+            for m in np.unique(n):
+                at = np.flatnonzero((n == m) & ~plain)
+                part, s = x[at, :m], state[at]
+                y[at, :m] = part @ self.h[:m, :m].T + s @ self.z[:m].T
+                after[at] = s @ self.power(int(m)).T + part @ self.e[:, self.length - m :].T
+            if plain.any():
+                at = np.flatnonzero(plain)
+                s = state[at].T.copy()
+                for i in range(int(n[at].max())):
+                    out, s_next = step(self.sections, s, x[at, i])
+                    going = i < n[at]
+                    y[at[going], i] = out[going]
+                    s = np.where(going, s_next, s)
+                after[at] = s.T
+        return y, after
 
 
 def _arrays(table: pa.RecordBatch, name: str) -> np.ndarray:
@@ -96,11 +133,13 @@ def _arrays(table: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def recursive(samples: DataFrame, sections: list[Section], rate: float) -> DataFrame:
-    """x becomes the output of the cascade, every channel from rest. Null samples count as 0.
+    """x becomes the output of the cascade, every channel from rest.
 
-    ``rate`` is the samples' rate, for which the sections were designed.
+    Null samples count as 0. From a NaN or infinite one on, outputs are NaN (or infinite, for a sample or two) as in the
+    plain recursion; earlier ones aren't touched. Samples count in the order of idx, which may start anywhere and have
+    gaps, and stays as it is. ``rate`` is the samples' rate, for which the sections were designed. Other columns stay.
     """
-    return _scan(samples, sections, rate).select(*samples.columns) if sections else samples
+    return _scan(samples, sections, rate).select(*(f"`{c}`" for c in samples.columns)) if sections else samples
 
 
 def carried(samples: DataFrame, sections: list[Section], rate: float, start: DataFrame) -> DataFrame:
@@ -108,78 +147,92 @@ def carried(samples: DataFrame, sections: list[Section], rate: float, start: Dat
 
     With a further column ``state``: the cascade's after a block's last sample, null elsewhere. A channel's last row has one.
     """
-    return _scan(samples, sections, rate, start).select(*samples.columns, "state")
+    return _scan(samples, sections, rate, start).select(*(f"`{c}`" for c in samples.columns), "state")
+
+
+def _fields(*names_types) -> StructType:
+    return StructType([StructField(n, t) for n, t in names_types])
+
+
+NAME, LONG, FLOATS = StringType(), LongType(), ArrayType(DoubleType())
 
 
 def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataFrame | None = None) -> DataFrame:
     spark, length = importable(samples.sparkSession), LENGTH
     system = Cascade(sections)
+    of_channel = ("channel", samples.schema["channel"].dataType)
+    key = [("signal_id", NAME), of_channel]
 
-    # t isn't moved: it follows from idx. Further columns stay with their sample.
+    # t isn't moved: it follows from idx. Further columns stay with their sample. idx leads the struct, so its order is the samples'.
     extra = [c for c in samples.columns if c not in COLUMNS]
-    sample = F.struct("idx", F.coalesce("x", F.lit(0.0)).alias("x"), F.struct(*extra, F.lit(0).alias("_")).alias("more"))
+    more = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)], F.lit(0).alias("_"))
+    sample = F.struct("idx", F.coalesce("x", F.lit(0.0)).alias("x"), more.alias("more"))
     rows = samples.select("signal_id", "channel", F.expr(f"idx div {length}").alias("block"), sample.alias("s"))
-    held = rows.groupBy("signal_id", "channel", "block").agg(F.array_sort(F.collect_list("s"), lambda a, b: (a["idx"] - b["idx"]).cast("int")).alias("s"))
-    blocks = held.select("signal_id", "channel", "block", F.transform("s", lambda v: v["x"]).alias("x"), F.transform("s", lambda v: v["more"]).alias("more"))
-    more, ending = dict(blocks.dtypes)["more"], start is not None
+    by_idx = [lambda a, b: (a["idx"] - b["idx"]).cast("int")] if "map<" in samples.select(*(f"`{c}`" for c in extra)).schema.simpleString() else []  # maps have no order
+    held = rows.groupBy("signal_id", "channel", "block").agg(F.array_sort(F.collect_list("s"), *by_idx).alias("s"))
+    blocks = held.select("signal_id", "channel", "block", "s.idx", "s.x", "s.more")
+    kept, ending = blocks.schema["more"].dataType, start is not None
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _arrays(b, "x")
-            e = x @ system.e[:, : x.shape[1]].T  # a short block is the last one: where it ends doesn't matter
+            x, block = _arrays(b, "x"), b.column("block").to_numpy()
+            n = np.diff(b.column("x").offsets.to_numpy())
+            e = system.run(x, n, np.zeros((len(x), system.size)))[1]
             yield pa.RecordBatch.from_arrays(
-                [b.column("signal_id"), b.column("channel"), b.column("block"), pa.array(b.column("block").to_numpy() // GROUP), pa.array(list(e), pa.list_(pa.float64()))],
-                names=["signal_id", "channel", "block", "g", "e"],
+                [b.column("signal_id"), b.column("channel"), b.column("block"), pa.array(block // GROUP), pa.array(n, pa.int64()), pa.array(list(e), pa.list_(pa.float64()))],
+                names=["signal_id", "channel", "block", "g", "n", "e"],
             )
 
-    def fold(by: str, power: np.ndarray, total: bool):
-        """Rows of one group, by ``by``: the state before each, from rest at the group's start; and after the last one."""
+    def fold(by: str, total: bool):
+        """Rows of one group, by ``by``: the state before each, from rest (or from where the channel starts) at the group's start.
+
+        ``total``: also the samples before each, and in the last row the group's samples and the state after it.
+        """
 
         def run(pdf):
             pdf = pdf.sort_values(by)
-            s, before = np.zeros(system.size), []
+            s, seen, before, places = np.zeros(system.size), 0, [], []
             if "state" in pdf and pdf["state"].iloc[0] is not None:
                 s = np.array(pdf["state"].iloc[0], float)
-            for e in pdf["e"]:
+            for e, n in zip(pdf["e"], pdf["n"]):
                 before.append(s)
-                s = power @ s + e
+                places.append(seen)
+                s, seen = system.moved(s, n, np.asarray(e, float)), seen + n
             out = pdf[["signal_id", "channel", by]].assign(s=before)
             if total:
-                out["g"], out["e"] = pdf["g"], [None] * (len(pdf) - 1) + [s]
+                out["g"], out["n"], out["all"], out["e"] = pdf["g"], places, seen, [None] * (len(pdf) - 1) + [s]
             return out
 
         return run
 
-    small = "signal_id string, channel int, block long, g long, e array<double>"
-    first = blocks.drop("more").mapInArrow(ends, small).groupBy("signal_id", "channel", "g").applyInPandas(fold("block", system.p, True), "signal_id string, channel int, block long, s array<double>, g long, e array<double>")
-    groups = first.where("e is not null").select("signal_id", "channel", "g", "e")
+    small = _fields(*key, ("block", LONG), ("g", LONG), ("n", LONG), ("e", FLOATS))
+    folded = _fields(*key, ("block", LONG), ("s", FLOATS), ("g", LONG), ("n", LONG), ("all", LONG), ("e", FLOATS))
+    first = blocks.select("signal_id", "channel", "block", "x").mapInArrow(ends, small).groupBy("signal_id", "channel", "g").applyInPandas(fold("block", True), folded)
+    groups = first.where("e is not null").select("signal_id", "channel", "g", F.col("all").alias("n"), "e")
     if ending:
         groups = groups.join(start.select("signal_id", "channel", "state"), ["signal_id", "channel"], "left")
-    second = groups.groupBy("signal_id", "channel").applyInPandas(fold("g", system.group, False), "signal_id string, channel int, g long, s array<double>")
-    states = first.select("signal_id", "channel", "block", "g", "s").join(second.withColumnRenamed("s", "gs"), ["signal_id", "channel", "g"]).select("signal_id", "channel", "block", "s", "gs")
+    second = groups.groupBy("signal_id", "channel").applyInPandas(fold("g", False), _fields(*key, ("g", LONG), ("s", FLOATS)))
+    states = first.select("signal_id", "channel", "block", "g", "s", F.col("n").alias("seen")).join(second.withColumnRenamed("s", "gs"), ["signal_id", "channel", "g"])
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, s, gs, block = _arrays(b, "x"), _arrays(b, "s"), _arrays(b, "gs"), b.column("block").to_numpy()
-            for k in np.unique(block % GROUP) if gs.any() else ():
-                at = block % GROUP == k
-                s[at] += gs[at] @ np.linalg.matrix_power(system.p, int(k)).T
-            n = x.shape[1]
-            y = x @ system.h[:n, :n].T + s @ system.z[:n].T
-            sizes = np.diff(b.column("x").offsets.to_numpy())
-            columns = [b.column("signal_id"), b.column("channel"), b.column("block"), b.column("more"), pa.array([v[:m] for v, m in zip(y, sizes)], pa.list_(pa.float64()))]
+            x, s, gs, seen = _arrays(b, "x"), _arrays(b, "s"), _arrays(b, "gs"), b.column("seen").to_numpy()
+            started, finite = gs.any(axis=1), np.isfinite(gs).all(axis=1)
+            s[started & ~finite] = np.where((seen == 0)[:, None], gs, np.nan)[started & ~finite]
+            for k in np.unique(seen[started & finite]):
+                at = started & finite & (seen == k)
+                s[at] += gs[at] @ system.power(int(k)).T
+            n = np.diff(b.column("x").offsets.to_numpy())
+            y, after = system.run(x, n, s)
+            columns = [*(b.column(c) for c in ("signal_id", "channel", "idx", "more")), pa.array([v[:m] for v, m in zip(y, n)], pa.list_(pa.float64()))]
             if ending:
-                after = np.empty_like(s)
-                for m in np.unique(sizes):
-                    at = sizes == m
-                    after[at] = s[at] @ np.linalg.matrix_power(system.a, int(m)).T + x[at, :m] @ system.e[:, length - m :].T
                 columns.append(pa.array(list(after), pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["signal_id", "channel", "block", "more", "y", "state"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["signal_id", "channel", "idx", "more", "y", "state"][: len(columns)])
 
-    done = blocks.join(states, ["signal_id", "channel", "block"]).select("signal_id", "channel", "block", "x", "more", "s", "gs")
+    done = blocks.join(states, ["signal_id", "channel", "block"]).select("signal_id", "channel", "idx", "x", "more", "s", "gs", "seen")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    filtered = done.mapInArrow(outputs, _fields(*key, ("idx", ArrayType(LONG)), ("more", kept), ("y", FLOATS), *([("state", FLOATS)] if ending else [])))
+    each = filtered.select("signal_id", "channel", *([F.size("y").alias("_n"), "state"] if ending else []), F.posexplode(F.arrays_zip("idx", "y", "more")).alias("_at", "v"))
     state = [F.when(F.col("_at") == F.col("_n") - 1, F.col("state")).alias("state")] if ending else []
-    filtered = done.mapInArrow(outputs, f"signal_id string, channel int, block long, more {more}, y array<double>" + (", state array<double>" if ending else ""))
-    each = filtered.select("signal_id", "channel", "block", *([F.size("y").alias("_n"), "state"] if ending else []), F.posexplode(F.arrays_zip("y", "more")).alias("_at", "v"))
-    idx = (F.col("block") * length + F.col("_at")).cast("long")
-    return each.select("signal_id", "channel", idx.alias("idx"), (idx / F.lit(rate)).alias("t"), F.col("v.y").alias("x"), *[F.col(f"v.more.`{c}`").alias(c) for c in extra], *state)
+    others = [F.col(f"v.more.c{i}").alias(c) for i, c in enumerate(extra)]
+    return each.select("signal_id", "channel", F.col("v.idx").alias("idx"), (F.col("v.idx") / F.lit(rate)).alias("t"), F.col("v.y").alias("x"), *others, *state)

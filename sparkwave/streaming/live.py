@@ -37,27 +37,30 @@ def stream_cascade(stream: DataFrame, sections: list[Section], order: list[str],
     """Filters a stream of (signal_id, channel, x, ``order`` columns): each channel keeps the cascade's state and its sample count.
 
     Within a micro-batch samples are sorted by ``order``; across micro-batches the source's order holds. idx is counted
-    here. A channel that appears later starts from rest. Null samples count as 0. One task has a channel's rows of a
-    micro-batch: for live signals. ``BlockSink`` spreads them.
+    here. A channel that appears later starts from rest. Null samples count as 0, NaN and infinity as in
+    ``filters.recursive``. One task has a channel's rows of a micro-batch: for live signals. ``BlockSink`` spreads them.
     """
     importable(stream.sparkSession)
     system = Cascade(sections) if sections else None
+    kept = ["signal_id", "channel", *order, F.coalesce("x", F.lit(0.0)).alias("x"), F.col("x").isNull().alias("_null")]  # pandas can't tell null from NaN
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(order)
-        seen, s = (state.get[0], np.array(state.get[1])) if state.exists else (0, np.zeros(system.size if system else 0))
-        raw = rows["x"].to_numpy(float)
-        x, y = np.nan_to_num(raw), raw.copy()
+        seen, s = (state.get[0], np.array(state.get[1], float)) if state.exists else (0, np.zeros(system.size if system else 0))
+        x, null = rows["x"].to_numpy(float), rows["_null"].to_numpy(bool)
+        y = x.copy()
         for at in range(0, len(x) if system else 0, system.length if system else 1):
             part = x[at : at + system.length]
-            n = len(part)
-            y[at : at + n] = system.h[:n, :n] @ part + system.z[:n] @ s
-            s = (system.p if n == system.length else np.linalg.matrix_power(system.a, n)) @ s + system.e[:, system.length - n :] @ part
+            out, after = system.run(part[None, :], np.array([len(part)]), s[None, :])
+            y[at : at + len(part)], s = out[0], after[0]
         idx = seen + np.arange(len(x))
         state.update((int(seen + len(x)), s.tolist()))
-        yield pd.DataFrame({"signal_id": key[0], "channel": key[1], "idx": idx, "t": idx / rate, "x_raw": raw, "x": y})
+        yield pd.DataFrame({"signal_id": key[0], "channel": key[1], "idx": idx, "t": idx / rate, "x_raw": x, "x": y, "_null": null})
 
-    return stream.groupBy("signal_id", "channel").applyInPandasWithState(run, OUT, "seen long, s array<double>", "append", GroupStateTimeout.NoTimeout)
+    done = stream.select(*kept).groupBy("signal_id", "channel").applyInPandasWithState(run, OUT + ", _null boolean", "seen long, s array<double>", "append", GroupStateTimeout.NoTimeout)
+    value = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  NaN comes back as null
+    raw = F.when(~F.col("_null"), value("x_raw"))
+    return done.select("signal_id", "channel", "idx", "t", raw.alias("x_raw"), (value("x") if sections else raw).alias("x"))
 
 
 class BlockSink:

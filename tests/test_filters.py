@@ -78,6 +78,38 @@ def test_nulls_count_as_zero_and_other_columns_stay(spark):
     assert filters.recursive(spark.createDataFrame([], SCHEMA), design.highpass(20, FS), FS).count() == 0
 
 
+def same(got, want):
+    return len(got) == len(want) and np.allclose(np.array(got, float), np.array(want, float), rtol=0, atol=1e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("at,value", [(200, math.nan), (10, math.inf), (255, -math.inf), (256, math.nan), (254, math.inf), (700, math.inf)])
+@pytest.mark.parametrize("group", [2, 4096])
+def test_a_sample_that_is_no_number_spoils_nothing_before_it(spark, monkeypatch, at, value, group):
+    monkeypatch.setattr(filters, "GROUP", group)
+    x = np.random.default_rng(at).normal(50, 20, 1100)
+    x[at] = value
+    sections = design.highpass(20, FS) + design.notch(50, FS, 10.0)
+    with np.errstate(invalid="ignore"):
+        want = recursion(sections, x)
+    got = values(filters.recursive(table(spark, x), sections, FS))
+    assert same(got, want) and np.isfinite(got[:at]).all() and np.isnan(got[-1])
+
+
+@pytest.mark.parametrize("group", [3, 4096])
+def test_gaps_and_a_late_start(spark, monkeypatch, group):
+    monkeypatch.setattr(filters, "GROUP", group)
+    rng = np.random.default_rng(5)
+    idx = np.sort(rng.choice(6000, 1500, replace=False)) + 1000
+    x = rng.normal(0, 1, 1500)
+    sections = design.notch(50, FS, 50.0) + design.lowpass(100, FS)
+    s = spark.createDataFrame([("s", 0, int(i), float(i / FS), float(v), {"k": int(i)}, "n") for i, v in zip(idx, x)], SCHEMA + ", `my map` map<string,int>, `odd.name` string").repartition(5)
+    got = filters.recursive(s, sections, FS).orderBy("idx").collect()
+    assert [r.idx for r in got] == idx.tolist() and same([r.x for r in got], recursion(sections, x))
+    assert all(r["my map"]["k"] == r.idx and abs(r.t - r.idx / FS) < 1e-9 and r["odd.name"] == "n" for r in got)
+    mean = {r.idx: r.x for r in filters.moving_average(s, 4).collect()}
+    assert all(abs(mean[i] - x[(idx > i - 4) & (idx <= i)].mean()) < 1e-12 for i in idx)
+
+
 def test_moving_average_of_a_constant_and_its_start(spark):
     assert values(filters.moving_average(table(spark, [1.0] * 100), 10)) == [1.0] * 100
     assert values(filters.moving_average(table(spark, [1, 2, 3, 4]), 3)) == [1.0, 1.5, 2.0, 3.0]
