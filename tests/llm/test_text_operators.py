@@ -349,7 +349,9 @@ def test_shards(which, bucket, request):
 
 
 def test_growing_moves_rows_only_to_the_new_shard(spark):
-    ids = spark.range(20_000).select(*[sharding.shard_of(F.col("id"), n, 5).alias(f"s{n}") for n in (16, 17)])
+    ids = spark.range(20_000).select(*[c.alias(f"s{n}") for n, c in zip((16, 17), sharding.shards_of(F.col("id"), 16, 5))])
+    again = spark.range(20_000).where(sharding.shards_of(F.col("id"), 16, 5)[1] != sharding.shards_of(F.col("id"), 17, 5)[0])
+    assert again.count() == 0
     assert ids.where("s16 <> s17 and s17 <> 16").count() == 0
     sizes = [r["count"] for r in ids.groupBy("s17").count().collect()]
     assert len(sizes) == 17 and max(sizes) < 1.15 * 20_000 / 17
@@ -361,6 +363,21 @@ def test_slots_are_mixed(docs):
     assert ids != sorted(ids) and ids != sorted(ids, reverse=True)
 
 
+def test_slots_do_not_depend_on_partitions(spark, docs):
+    rows = docs.dropDuplicates(["doc_id"]).withColumnRenamed("n_chars", "my chars").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    got = [sorted(sharding.shuffled_shards(x, bucket_bytes=20_000, most_tasks=5).select("doc_id", "shard", "slot", "my chars").collect()) for x in (rows.repartition(3), rows.repartition(7), rows.coalesce(1))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == rows.count()
+
+
+def test_copies_of_one_record_are_spread(spark, docs):
+    rows = docs.limit(50).crossJoin(spark.range(40).select(F.lit(1).alias("one"))).drop("one").unionByName(docs.where("length(text) > 200").limit(1).crossJoin(spark.range(2000).select(F.lit(1).alias("one"))).drop("one"))
+    scratch = Scratch(spark)
+    got = sharding.shuffled_shards(rows, bucket_bytes=20_000, scratch=scratch)
+    assert got.count() == rows.count() and got.select("shard", "slot").distinct().count() == rows.count()
+    sizes = spark.read.parquet(f"{scratch.root}/0002-shards").groupBy("_number").agg(F.count("*").alias("n"), F.sum(F.octet_length("_record.text")).alias("b")).collect()
+    assert len(sizes) > 20 and max(r.n for r in sizes) < 0.1 * rows.count()
+
+
 def test_sharding_is_native(docs):
     plan = sharding.shuffled_shards(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
