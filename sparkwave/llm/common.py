@@ -6,9 +6,11 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkwave.session import importable
@@ -80,19 +82,35 @@ class Scratch:
 
     ``save`` writes a DataFrame once and reads it back: lineage ends there, lost executors cost no earlier work,
     and rows can't change between two uses. ``drop`` deletes one table when it has been superseded; what is left
-    goes when the driver exits.
+    goes when the driver exits. Where no folder is named, a local master uses one of this machine; a cluster can't:
+    each executor would write to its own disk.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         top = spark.conf.get("spark.checkpoint.dir", None)
-        if not top:  # no cluster: a folder of this machine
+        if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             top = "file://" + tempfile.mkdtemp(prefix="sparkwave-")
             spark.conf.set("spark.checkpoint.dir", top)
         self.root = f"{top.rstrip('/')}/sparkwave-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.made.append(self)
         atexit.register(self.clear)
 
+    @staticmethod
+    @contextmanager
+    def inner():
+        """Tables of operators that are called inside are deleted at the end: for results that are saved there."""
+        before = len(Scratch.made)
+        yield
+        for s in Scratch.made[before:]:
+            s.clear()
+        del Scratch.made[before:]
+
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n:04d}-{name}"
@@ -118,3 +136,18 @@ class Scratch:
             self.delete(self.root)
         except Exception:  # noqa: BLE001  the session may have ended: nothing can be deleted through it then
             pass
+
+
+def lookup(scratch: Scratch, rows: DataFrame, side: DataFrame, key: str, parts: int = 10_000) -> DataFrame:
+    """``rows`` left-joined to ``side``, which has one row for each key.
+
+    Keys that more than one in ``parts`` rows (and a thousand) share would gather in one task: their rows of ``side``,
+    at most ``parts``, are sent to all executors instead. ``rows`` is a written table: it is read more than once.
+    """
+    least = max(1000, rows.count() // parts)
+    hot = rows.groupBy(key).count().where(F.col("count") > least).select(key)
+    known = scratch.save(side.join(F.broadcast(hot), key, "left_semi"), "hot")
+    if known.isEmpty():
+        return rows.join(side, key, "left")
+    known = F.broadcast(known)
+    return rows.join(known, key).unionByName(rows.join(known.select(key), key, "left_anti").join(side, key, "left"))

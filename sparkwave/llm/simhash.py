@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, fresh, map_rows
+from .common import Scratch, fresh, lookup, map_rows
 from .components import components
 
 ALL = (1 << 64) - 1
@@ -156,14 +156,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed_fingerprints(scratch, fps, most_bits, blocks, group_limit)
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     of = scratch.save(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
-    # The side with one row per fingerprint is unique, so a fingerprint that many rows share only skews the other side, which adaptive joins split.
-    return fps.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id")
-
-
-def retain_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most_bits: int = 4, blocks: int = 6, group_limit: int = 50_000) -> DataFrame:
+    placed_rows = lookup(scratch, fps, of, "fp")
+    return placed_rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id")
+
+
+def retain_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    most_bits: int = 4,
+    blocks: int = 6,
+    group_limit: int = 50_000,
+    broadcast_ids: int = 500_000,
+) -> DataFrame:
     """One row of ``docs`` for each component of ``near_duplicates``, with all columns: the one with the smallest id.
 
-    A null id only stays where the component has no other; of repeated rows one stays.
+    A null id only stays where the component has no other; of rows with equal id and fingerprint one stays, the one
+    whose columns hash lowest. Null and empty texts are one group. An empty table gives an empty result.
+
+    Fingerprints are computed once. Ids of rows that go are told apart from the others, and at most ``broadcast_ids``
+    of them are sent to all executors, which saves shuffling texts; beyond, texts are joined.
     """
     scratch, names = Scratch(docs.sparkSession), docs.columns
     fp, low, best_fp = fresh(docs, "_fp", "_id", "_best")
@@ -171,6 +184,17 @@ def retain_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed_fingerprints(scratch, fps, most_bits, blocks, group_limit)
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("best")).select(F.col("best.low").alias(low), F.col("best.fp").alias(best_fp))
     chosen = scratch.save(best, "chosen")
+    # An id on several rows (or null) doesn't tell which row was meant; any other does.
+    ids = fps.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", low)
+    several = scratch.save(ids.where((F.col("n") > 1) | F.col(low).isNull()).select(low), "several")
+    gone = ids.where((F.col("n") == 1) & F.col(low).isNotNull()).join(chosen.select(low), low, "left_anti").select(low)
+    gone = scratch.save(gone.unionByName(several), "gone")
+    n_gone, n_several = gone.count(), several.count()
+    side = lambda df, n: F.broadcast(df) if n <= broadcast_ids else df.hint("shuffle_hash")
+    same = docs[f"`{id_col}`"].eqNullSafe(F.col(low))
+    kept = docs.join(side(gone, n_gone), same, "left_anti")
+    if not n_several:
+        return kept
     at, schema = names.index(text_col), docs.schema
 
     def marked():
@@ -180,17 +204,10 @@ def retain_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    def once():
-        def run(rows):
-            seen = set()  # rows that share id and fingerprint are in one partition
-            for *row, fp in rows:
-                key = (row[names.index(id_col)], fp)
-                if key not in seen:
-                    seen.add(key)
-                    yield tuple(row)
-
-        return run
-
-    with_fp = map_rows(docs, StructType([*schema.fields, StructField(fp, LongType())]), marked)
-    kept = with_fp.join(chosen.hint("shuffle_hash"), with_fp[id_col].eqNullSafe(F.col(low)) & (F.col(fp) == F.col(best_fp)), "left_semi")
-    return map_rows(kept, schema, once)
+    vague = map_rows(docs.join(side(several, n_several), same, "left_semi"), StructType([*schema.fields, StructField(fp, LongType())]), marked)
+    meant = vague[f"`{id_col}`"].eqNullSafe(F.col(low)) & (F.col(fp) == F.col(best_fp))
+    vague = vague.join(side(chosen, chosen.count()), meant, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    hashed = F.xxhash64(*[f"`{f.name}`" for f in schema.fields if "map<" not in f.dataType.simpleString()])
+    once = vague.groupBy(F.col(f"`{id_col}`").alias(low), fp).agg(F.min_by(row, hashed).alias(best_fp))
+    return kept.unionByName(once.select(*[F.col(f"{best_fp}.c{i}").alias(c) for i, c in enumerate(names)]))

@@ -59,6 +59,27 @@ def test_one_row_of_each_group_stays(docs, awkward):
     assert op.retain_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_repeated_rows_stay_once_however_they_are_joined(spark, limit):
+    own = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha1(F.concat(F.col("id"), F.lit(i))) for i in range(6)]).alias("text"), F.create_map(F.lit("k"), F.col("id")).alias("my map"))
+    none = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some words without any id at all").alias("text"), F.create_map(F.lit("k"), F.lit(7).cast("long")).alias("my map"))
+    two = own.where("doc_id = 3").withColumn("text", F.lit("another text under an id that is taken already"))
+    rows = own.unionByName(own.where("doc_id < 10")).unionByName(none).unionByName(two).repartition(7)
+    got = op.retain_one(rows, broadcast_ids=limit).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted([*range(40), 3])
+    assert [r.text for r in got if r.doc_id is None] == ["some words without any id at all"] and got[0]["my map"] is not None
+
+
+def test_hot_keys_are_looked_up_apart(spark):
+    from sparkwave.llm.common import lookup
+
+    scratch = Scratch(spark)
+    rows = scratch.save(spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k")))
+    side = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = {r.id: r.v for r in lookup(scratch, rows, side, "k").collect()}
+    assert got == {i: 0 if i % 3 == 0 else 2 * i if i < 5000 else None for i in range(6000)}
+
+
 def test_a_third_of_all_rows_in_one_group(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the very same words again and again here")).otherwise(F.concat_ws(" ", *[F.sha1(F.concat(F.col("id"), F.lit(i))) for i in range(6)])).alias("text"))
     got = op.near_duplicates(rows).groupBy("component_id").count().orderBy(F.desc("count")).head(2)

@@ -151,6 +151,15 @@ def test_the_cache_is_used_and_grows(spark, docs, library, monkeypatch):
     assert token_counts.count_tokens(docs.limit(0), cache).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_counts_of_ids_on_several_rows(spark, docs, library, limit):
+    rows = docs.select("doc_id", "text")
+    rows = rows.unionByName(rows.where("doc_id < 40").withColumn("text", F.concat(F.lit("more "), "text"))).unionByName(rows.withColumn("doc_id", F.lit(None).cast("long")).limit(30)).unionByName(rows.limit(20)).repartition(5)
+    got = token_counts.count_tokens(rows, Scratch(spark).path("cache"), broadcast_misses=limit).collect()
+    want = sorted((r.doc_id or -1, len(library[0](r.text))) for r in rows.collect())
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == want
+
+
 # 9: BPE
 def test_ids_and_text_equal_the_library(docs, awkward, library):
     encode, decode = library
