@@ -17,28 +17,28 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or whose lines are mostly boilerplate go."""
+    """Documents that fail the base rules or whose lines are mostly boilerplate go; null and empty texts fail. An empty table stays empty."""
     docs = docs.select(*COLUMNS)
     return quality.retain(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; every document stays."""
+    """Lines on more than a tenth of a source's documents go; every document stays, also without a line left. Null texts stay null."""
     return _documents(line_dedup.drop_boilerplate(docs.select(*COLUMNS)))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id; null and empty texts are one group."""
     return simhash.retain_one(docs.select(*COLUMNS))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; every document stays."""
+    """Secrets are replaced in the text; every document stays, null and empty texts as they are."""
     return _documents(secrets.redact_secrets(docs.select(*COLUMNS)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; null and empty texts make a piece of one token."""
     return packing.pack_documents(docs)
 
 
@@ -57,5 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        before = docs
+        with Scratch.inner():
+            docs = scratch.save(stage(spark, before, sf_dir), name)
+        scratch.drop(before)  # superseded; the input table isn't the scratch folder's and stays
     return STAGES[-1][1](spark, docs, sf_dir)
