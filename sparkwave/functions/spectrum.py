@@ -87,21 +87,47 @@ def describe(p: np.ndarray, rate: float, n: int, bands, names: list[str]) -> dic
     return out
 
 
+def histogram_entropy(x: np.ndarray, bins: int = 20) -> np.ndarray:
+    """Bits of the histograms of windows (rows of x) over ``bins`` bins from a row's minimum to its maximum, the last one for the maximum alone; NaN is left out.
+
+    0 without a range or with fewer than two samples.
+    """
+    real = np.isfinite(x)
+    n = real.sum(axis=1)
+    low, high = (f(np.where(real, x, e), axis=1, initial=e) for f, e in ((np.min, np.inf), (np.max, -np.inf)))
+    some = (n >= 2) & (high > low)
+    out = np.zeros(len(x))
+    if some.any():
+        x, real, n = x[some], real[some], n[some][:, None]
+        place = np.minimum(bins - 1, (np.where(real, x - low[some][:, None], 0) / (high - low)[some][:, None] * (bins - 1)).astype(int))
+        counts = np.bincount((np.arange(len(x))[:, None] * bins + place)[real], minlength=len(x) * bins).reshape(-1, bins)
+        share = counts / n
+        out[some] = -(share * np.log2(np.where(counts > 0, share, 1))).sum(axis=1)
+    return out
+
+
 def spectral_struct(col: str, rate: float, bands=EMG_BANDS, names: list[str] = FEATURES) -> Column:
     """Struct of the spectral features ``names`` and band_powers of an array column.
 
     A window of fewer than 4 samples has the values of one without power; one with a null or non-finite sample has nulls.
+    ``entropy`` among the names is that of the histogram, without such samples.
     """
+    spectral = [n for n in names if n != "entropy"]
 
     def run(arrays: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({**{k: np.zeros(len(arrays)) for k in names}, "band_powers": pd.Series([{}] * len(arrays), dtype=object)})
         for i, a in enumerate(arrays):
             if a is None or not np.isfinite(np.asarray(a, float)).all():
-                out.loc[i, names] = np.nan
+                out.loc[i, spectral] = np.nan
                 out.at[i, "band_powers"] = None
         for places, x in _by_length(arrays):
-            for k, v in describe(power(x), rate, x.shape[1], bands, names).items():
+            for k, v in describe(power(x), rate, x.shape[1], bands, spectral).items():
                 out.iloc[places, out.columns.get_loc(k)] = v
+        if "entropy" in names:
+            sizes = arrays.map(lambda a: 0 if a is None else len(a)).to_numpy()
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                out.iloc[at, out.columns.get_loc("entropy")] = histogram_entropy(np.stack([np.asarray(arrays.iloc[i], float) for i in at]))
         return out
 
     return F.pandas_udf(run, ", ".join([*(f"{k} double" for k in names), "band_powers map<string,double>"]))(F.col(col))

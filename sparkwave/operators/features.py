@@ -1,7 +1,7 @@
 """Features of windows: time domain, statistics and spectra, each window one row.
 
-Time-domain features and moments are plain aggregates over the windows' samples. Arrays are gathered only if the
-histogram's entropy or a spectral feature is asked for.
+Time-domain features and moments are plain aggregates over the windows' samples. Arrays are gathered, and go to numpy
+in Arrow batches, only if the histogram's entropy or a spectral feature is asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ SPECTRAL = [*spectrum.FEATURES, "band_powers"]
 ALL = [*TIME, *SPECTRAL, *STATISTICS]
 #: The short form of a feature row.
 SUMMARY = ["rms", "mav", "zero_crossings", "mean_frequency", "spectral_centroid", "total_power"]
-BINS = 20
 
 
 def _aggregates() -> dict[str, Column]:
@@ -36,16 +35,6 @@ def _aggregates() -> dict[str, Column]:
     }
 
 
-def histogram_entropy(x: Column, low: Column, high: Column, bins: int = BINS) -> Column:
-    """Bits of the histogram of an array over ``bins`` bins from its minimum to its maximum; 0 without a range."""
-    n = F.size(x)
-    # The last bin only takes the maximum. Counts follow from the sorted bins: each bin's share is taken once.
-    places = F.transform(x, lambda v: F.least(F.lit(bins - 1), ((v - low) / (high - low) * (bins - 1)).cast("int")))
-    share = lambda b: F.size(F.filter(places, lambda p: p == b)) / n
-    total = F.aggregate(F.array_distinct(places), F.lit(0.0), lambda s, b: s - share(b) * F.log2(share(b)))
-    return F.when((n >= 2) & (high > low), total).otherwise(0.0)
-
-
 def features(samples: DataFrame, size: int, overlap: float = 0.5, rate: float = 1000.0, enabled: list[str] | None = None, bands=spectrum.EMG_BANDS) -> DataFrame:
     """One row for each full window: signal_id, channel, k, start_sample, end_sample, window_size, sampling_rate and the features.
 
@@ -62,19 +51,18 @@ def features(samples: DataFrame, size: int, overlap: float = 0.5, rate: float =
         w = Window.partitionBy("signal_id", "channel", "_run").orderBy("idx")
         rows = rows.withColumns({"_x1": F.lag("x", 1).over(w), "_x2": F.lag("x", 2).over(w)})
     spectral = [n for n in names if n in spectrum.FEATURES or n in spectrum.EXTENSIONS]
-    wide = bool(spectral) or "band_powers" in names
+    wide = bool(spectral) or "band_powers" in names or "entropy" in names
+    described = [*spectral, *(["entropy"] if "entropy" in names else [])]
     aggregates = {n: c for n, c in _aggregates().items() if n in names}
-    if wide or "entropy" in names:
-        aggregates |= {"_window": windows.ordered(), "_low": F.min("x"), "_high": F.max("x")}
+    if wide:
+        aggregates["_window"] = windows.ordered()
     out = windows.members(rows, hop).groupBy(*windows.KEY).agg(F.count("*").alias("window_size"), *[c.alias(n) for n, c in aggregates.items()]).where(F.col("window_size") == size)
-    if "entropy" in names:
-        out = out.withColumn("entropy", histogram_entropy(F.col("_window"), F.col("_low"), F.col("_high")))
     if wide:
-        out = out.withColumn("_spectral", spectrum.spectral_struct("_window", rate, bands, spectral))
+        out = out.withColumn("_spectral", spectrum.spectral_struct("_window", rate, bands, described))
     start = F.col("k") * hop
     return out.select(
         "signal_id", "channel", "k", start.alias("start_sample"), (start + size).alias("end_sample"), "window_size", F.lit(rate).alias("sampling_rate"),
-        *[(F.col(f"_spectral.{n}").alias(n) if n in spectral or n == "band_powers" else F.col(n)) for n in names],
+        *[(F.col(f"_spectral.{n}").alias(n) if n in described or n == "band_powers" else F.col(n)) for n in names],
     )
 
 

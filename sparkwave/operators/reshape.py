@@ -33,9 +33,14 @@ def time_vector(samples: DataFrame, rate: float = 1000.0) -> DataFrame:
     return samples.select(*KEY, "idx", (F.col("idx") / F.lit(rate)).alias("t"))
 
 
-def recent(samples: DataFrame, seconds: float = 3.0) -> DataFrame:
+def _ends(samples: DataFrame, last: DataFrame | None) -> DataFrame:
+    """signal_id, channel, last: each channel's last idx. ``last`` spares a second pass over ``samples`` where it is known (``samples.last_idx``)."""
+    return samples.groupBy(*KEY).agg(F.max("idx").alias("last")) if last is None else last.select(*KEY, "last")
+
+
+def recent(samples: DataFrame, seconds: float = 3.0, rate: float = 1000.0, last: DataFrame | None = None) -> DataFrame:
     """Samples of a signal's last ``seconds`` (the latest one's time minus that, included)."""
-    now = samples.groupBy("signal_id").agg(F.max("t").alias("_now"))
+    now = _ends(samples, last).groupBy("signal_id").agg((F.max("last") / F.lit(rate)).alias("_now"))
     return samples.join(now, "signal_id").where(F.col("t") >= F.col("_now") - seconds).select(*samples.columns)
 
 
@@ -67,22 +72,21 @@ def chunk_durations(samples: DataFrame, turns: int = 100, rate: float = 1000.0)
     return samples.groupBy("signal_id", F.expr(f"idx div {int(turns)}").alias("chunk_seq")).agg((F.count_distinct("idx") / F.lit(rate)).alias("duration"))
 
 
-def latest_chunk(samples: DataFrame, turns: int = 100) -> DataFrame:
+def latest_chunk(samples: DataFrame, turns: int = 100, last: DataFrame | None = None) -> DataFrame:
     """Samples of a signal's last chunk."""
-    last = samples.groupBy("signal_id").agg(F.expr(f"max(idx) div {int(turns)}").alias("_last"))
-    return samples.join(last, "signal_id").where(F.expr(f"idx div {int(turns)}") == F.col("_last")).select(*samples.columns)
+    return buffer_tail(samples, 1, turns, last)
 
 
-def buffer_tail(samples: DataFrame, chunks: int = 100, turns: int = 100) -> DataFrame:
+def buffer_tail(samples: DataFrame, chunks: int = 100, turns: int = 100, last: DataFrame | None = None) -> DataFrame:
     """Samples of a signal's last ``chunks`` chunks."""
-    last = samples.groupBy("signal_id").agg(F.expr(f"max(idx) div {int(turns)}").alias("_last"))
-    return samples.join(last, "signal_id").where(F.expr(f"idx div {int(turns)}") > F.col("_last") - chunks).select(*samples.columns)
+    end = _ends(samples, last).groupBy("signal_id").agg(F.expr(f"max(last) div {int(turns)}").alias("_last"))
+    return samples.join(end, "signal_id").where(F.expr(f"idx div {int(turns)}") > F.col("_last") - chunks).select(*samples.columns)
 
 
-def plot_tail(samples: DataFrame, points: int = 3000) -> DataFrame:
+def plot_tail(samples: DataFrame, points: int = 3000, last: DataFrame | None = None) -> DataFrame:
     """Each channel's last ``points`` samples: idx has no gaps, so the last one's tells which."""
-    last = samples.groupBy(*KEY).agg(F.max("idx").alias("_last"))
-    return samples.join(last, KEY).where(F.col("idx") > F.col("_last") - points).select(*samples.columns)
+    end = _ends(samples, last).withColumnRenamed("last", "_last")
+    return samples.join(end, KEY).where(F.col("idx") > F.col("_last") - points).select(*samples.columns)
 
 
 def by_time(samples: DataFrame, channels: int) -> DataFrame:
@@ -125,3 +129,22 @@ def violations(samples: DataFrame, channels: int = 16) -> DataFrame:
     dense = (F.col("n") == F.col("distinct")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
     valid = F.col("channel").between(0, channels - 1)
     return per.where(~F.coalesce(dense & valid, F.lit(False)))
+
+
+def expected_samples(chunks: DataFrame) -> DataFrame:
+    """Chunks (signal_id, chunk_seq, channel_count, sampling_rate, duration, data) that don't hold what they announce.
+
+    Gives expected (duration times rate, in whole samples, times channels), actual (values in data) and channels_valid
+    (1 to 16). A null figure counts as a mismatch. Empty table: empty result.
+    """
+    expected = F.floor(F.col("duration") * F.col("sampling_rate") + F.lit(1e-6)) * F.col("channel_count")
+    actual = F.coalesce(F.size(F.when(F.col("data").isNotNull(), F.col("data"))), F.lit(0)).cast("long")
+    valid = F.coalesce(F.col("channel_count").between(1, 16), F.lit(False))
+    rows = chunks.select("signal_id", "chunk_seq", expected.cast("long").alias("expected"), F.greatest(actual, F.lit(0)).alias("actual"), valid.alias("channels_valid"))
+    return rows.where(~F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)) | ~F.col("channels_valid"))
+
+
+def signal_quality(samples: DataFrame) -> DataFrame:
+    """Of each channel: n, and the share of its samples that are numbers (neither null nor non-finite), the score of a signal's quality."""
+    good = F.coalesce(F.abs("x") < F.lit(float("inf")), F.lit(False)) & ~F.isnan(F.coalesce("x", F.lit(0.0)))
+    return samples.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg(good.cast("double")).alias("quality"))

@@ -1,4 +1,8 @@
-"""Each catalogue query as SQL for DuckDB: plain definitions, independent of how the operators compute."""
+"""Each catalogue query as SQL for DuckDB: plain definitions of what operators compute.
+
+Low-pass, high-pass and notch coefficients are SQL expressions of the design formulas; pipelines, presets and profiles
+are read off the engine's own objects, so SQL can't tell if one of their parameters is wrong (tests of those can).
+"""
 
 from __future__ import annotations
 
@@ -19,11 +23,39 @@ def with_(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
+def designed(kind: str, frequency: float, q_factor: float = 0.0, rate: float = 1000.0) -> str:
+    """Coefficients b0, b1, b2, a1, a2 by the formulas: bilinear second-order Butterworth, or notch."""
+    if kind == "notch":
+        w, c = f"2 * pi() * {frequency} / {rate}", "1 + alpha"
+        return f"SELECT 1 / ({c}) AS b0, -2 * cos(w) / ({c}) AS b1, 1 / ({c}) AS b2, -2 * cos(w) / ({c}) AS a1, (1 - alpha) / ({c}) AS a2 FROM (SELECT {w} AS w, sin({w}) / (2 * {q_factor}) AS alpha)"
+    top = {"lowpass": ("k * k", "2 * k * k"), "highpass": ("1", "-2")}[kind]
+    d = "(1 + sqrt(2) * k + k * k)"
+    return f"SELECT {top[0]} / {d} AS b0, {top[1]} / {d} AS b1, {top[0]} / {d} AS b2, 2 * (k * k - 1) / {d} AS a1, (1 - sqrt(2) * k + k * k) / {d} AS a2 FROM (SELECT tan(pi() * {frequency} / {rate}) AS k)"
+
+
+#: The queries whose sections SQL designs itself.
+DESIGNS = {
+    "highpass_20": [("highpass", 20.0)], "highpass_10": [("highpass", 10.0)], "lowpass_450": [("lowpass", 450.0)], "bandpass_20_450": [("highpass", 20.0), ("lowpass", 450.0)],
+    "notch_50_q10": [("notch", 50.0, 10.0)], "notch_50_q30": [("notch", 50.0, 30.0)], "notch_60_q50": [("notch", 60.0, 50.0)],
+}
+
+
 def recursion(sections, source: str = "samples", prefix: str = "f") -> tuple[list[str], str]:
-    """One recursive table for each section: a sample from the one before."""
+    """One recursive table for each section (numbers, or a design): a sample from the one before."""
     ctes = []
-    for j, (b0, b1, b2, a1, a2) in enumerate(sections):
+    for j, section in enumerate(sections):
         name = f"{prefix}{j}"
+        if isinstance(section[0], str):
+            ctes.append(f"{name}c AS MATERIALIZED ({designed(*section)})")
+            ctes.append(f"""{name}r(channel, idx, x1, x2, y1, y2) AS (
+  SELECT channel, idx, x, 0.0::DOUBLE, b0 * x, 0.0::DOUBLE FROM {source}, {name}c WHERE idx = 0
+  UNION ALL
+  SELECT s.channel, s.idx, s.x, f.x1, b0 * s.x + b1 * f.x1 + b2 * f.x2 - a1 * f.y1 - a2 * f.y2, f.y1
+  FROM {name}r f JOIN {source} s ON s.channel = f.channel AND s.idx = f.idx + 1, {name}c),
+{name} AS MATERIALIZED (SELECT channel, idx, y1 AS x FROM {name}r)""")
+            source = name
+            continue
+        b0, b1, b2, a1, a2 = section
         ctes.append(f"""{name}r(channel, idx, x1, x2, y1, y2) AS (
   SELECT channel, idx, x, 0.0::DOUBLE, ({b0!r}::DOUBLE) * x, 0.0::DOUBLE FROM {source} WHERE idx = 0
   UNION ALL
@@ -135,8 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "channel_stats": plain(f"SELECT channel, count(*) AS n, {r('avg(x)', 'mean')}, {r('sqrt(avg(x * x))', 'rms')}, {r('stddev_pop(x)', 'std_dev')}, {r('min(x)', 'min_value')}, {r('max(x)', 'max_value')}, {r('max(x) - min(x)', 'peak_to_peak')} FROM samples GROUP BY 1"),
         "time_slice": plain(f"SELECT channel, idx - 100 AS idx, {r('(idx - 100) / 1000.0::DOUBLE', 't')}, {r('x', 'x')} FROM samples WHERE idx >= 100 AND idx < 350"),
         "time_vector": plain(f"SELECT channel, idx, {r('idx / 1000.0::DOUBLE', 't')} FROM samples"),
-        "recent_window": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 0.2::DOUBLE"),
-        "plot_columns": plain(f"SELECT idx, {', '.join(r(f'max(x) FILTER (channel = {c})', f'ch{c}') for c in range(4))} FROM samples GROUP BY 1"),
+        "recent_window": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 3.0::DOUBLE"),
+        "plot_columns": plain(f"SELECT idx, {', '.join(r(f'max(x) FILTER (channel = {c})', f'ch{c}') for c in range(16))} FROM samples GROUP BY 1"),
         "median_filter_5": plain(f"SELECT channel, idx, {r('median(x) OVER (PARTITION BY channel ORDER BY idx ROWS 4 PRECEDING)', 'y')} FROM samples"),
         "raw_vs_processed": of_sections(q.SECTIONS["highpass_20"], f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'x')} FROM samples s JOIN {{last}} f USING (channel, idx)"),
         "sliding_windows_64": first.format(f"SELECT channel, k, k * 32 AS start_sample, count(*) AS n, {r('sum(x)', 'sum')}, {r('max(x) FILTER (j = 0)', 'first')}, {r('max(x) FILTER (j = 63)', 'last')} FROM full_w GROUP BY 1, 2"),
@@ -159,21 +191,33 @@ def oracle_sql() -> dict[str, str]:
         "simulate_metadata": f"SELECT 'emg' AS signal_id, 'surface' AS kind, 'Biceps' AS muscle_group, {r('avg(' + activation(q.CLEAN.pattern, 'i * 2.0 / 100') + ')', 'activation_level')}, 1000.0::DOUBLE AS sampling_rate, 4 AS channel_count, 2.0::DOUBLE AS duration, 0.0::DOUBLE AS noise_level, 8000::BIGINT AS expected_samples FROM range(100) a(i)",
         "chunk_stats": plain(f"SELECT idx // 100 AS chunk_seq, count(DISTINCT channel) AS channels, count(*) AS samples, {r('avg(x)', 'mean', 8)}, {r('sqrt(avg(x * x))', 'rms')} FROM samples GROUP BY 1"),
         "buffer_stats": plain(f"SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')} FROM samples"),
-        "chunk_start_times": plain(f"SELECT idx // 100 AS chunk_seq, {r('count(*) / 1000.0::DOUBLE', 'duration')}, {r('min(idx) / 1000.0::DOUBLE', 'start_time')} FROM samples WHERE channel = 0 GROUP BY 1"),
+        "chunk_start_times": plain(f"SELECT idx // 100 AS chunk_seq, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')}, {r('min(idx) / 1000.0::DOUBLE', 'start_time')} FROM samples GROUP BY 1"),
         "processing_stats": plain("SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, 1.0::DOUBLE AS success_rate FROM samples"),
         "signal_lengths": plain(f"SELECT count(*) AS channels, sum(n)::BIGINT AS samples, max(n) AS samples_per_channel, {r('max(n) / 1000.0::DOUBLE', 'duration')} FROM (SELECT channel, count(*) AS n FROM samples GROUP BY 1)"),
         "sample_violations": "SELECT (user_id % 20)::INT AS channel, count(*) AS n, count(DISTINCT event_id) AS distinct, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1 HAVING NOT (count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AND (any_value(user_id) % 20) BETWEEN 0 AND 15)",
         "latest_chunk": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 = (SELECT max(idx) // 100 FROM samples)"),
-        "buffer_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 > (SELECT max(idx) // 100 FROM samples) - 3"),
-        "plot_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples QUALIFY row_number() OVER (PARTITION BY channel ORDER BY idx DESC) <= 50"),
+        "buffer_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 > (SELECT max(idx) // 100 FROM samples) - 100"),
+        "plot_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples QUALIFY row_number() OVER (PARTITION BY channel ORDER BY idx DESC) <= 3000"),
         "config_latency": with_(config([p() for n, p in profiles.PROFILES.items() if n != "custom"]), f"SELECT profile, pipeline, {r('sum(CASE kind WHEN $$filter$$ THEN coalesce(ord, 2) * 0.1::DOUBLE ELSE coalesce(size, 256) / 1000.0::DOUBLE END)', 'latency')}, count(*) AS stages FROM ch JOIN pr USING (profile, processor) GROUP BY 1, 2"),
         "config_unknown_processors": with_(config([profiles.realtime().chain("broken", ["rt_highpass", "missing"]), profiles.research()]), "SELECT profile, pipeline, position, processor FROM ch ANTI JOIN pr USING (profile, processor)"),
     }
     out |= {f"moving_average_{n}": plain(f"SELECT channel, idx, {r(f'avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y', 6)} FROM samples") for n in (3, 10)}
-    out |= {n: of_sections(s) for n, s in q.SECTIONS.items()}
+    out |= {n: of_sections(DESIGNS.get(n, s)) for n, s in q.SECTIONS.items()}
     both = f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'y')} FROM samples s JOIN {{last}} f USING (channel, idx)"
     out |= {n: of_sections(p.sections(q.RATE), both) for n, p in q.PIPELINES.items() if n != "pipeline_profile_realtime"}
     smooth = f"sm AS (SELECT channel, idx, avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS 2 PRECEDING) AS x FROM {last})"
     out["pipeline_profile_realtime"] = with_([SAMPLES, *realtime, smooth], both.format(last="sm"))
     out["stream_filter_equals_batch"] = out["pipeline_realtime"]
+    gapped = "gapped AS MATERIALIZED (SELECT channel, idx AS place, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS idx, x FROM samples WHERE idx >= 40 AND idx % 7 <> 3)"
+    late, end = recursion(q.SECTIONS["highpass_20"], "gapped", "g")
+    out["highpass_with_gaps"] = with_([SAMPLES, gapped, *late], f"SELECT channel, place AS idx, {r('f.x', 'y')} FROM {end} f JOIN gapped USING (channel, idx)")
+    out["one_channel"] = plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE channel = 3")
+    out["clamped"] = plain(f"SELECT channel, idx, {r('greatest(20.0, least(60.0, x))::DOUBLE', 'x')} FROM samples")
+    none = ", ".join(f"0.0::DOUBLE AS {n}" for n in ("variance", "waveform_length", *q.features.STATISTICS))
+    out["windows_of_one"] = plain(f"SELECT channel, idx AS k, idx AS start_sample, idx + 1 AS end_sample, 1::BIGINT AS window_size, 1000.0::DOUBLE AS sampling_rate, 0::BIGINT AS zero_crossings, {r('x', 'mean')}, {none} FROM samples")
+    out["signal_quality"] = plain(f"SELECT channel, count(*) AS n, {r('CASE WHEN channel = 2 THEN least(30, count(*)) / count(*) ELSE 1.0::DOUBLE END', 'quality')} FROM samples GROUP BY 1")
+    out["expected_samples"] = "SELECT vec_id AS chunk_seq, 68::BIGINT AS expected, 64::BIGINT AS actual, true AS channels_valid FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 10 = 0"
+    high, end = recursion(q.SECTIONS["highpass_20"])
+    smooth = f"sm AS (SELECT channel, idx, avg(abs(x)) OVER (PARTITION BY channel ORDER BY idx ROWS 9 PRECEDING) AS x FROM {end})"
+    out["pipeline_with_own_stage"] = with_([SAMPLES, *high, smooth], both.format(last="sm"))
     return out

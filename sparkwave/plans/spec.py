@@ -7,7 +7,8 @@ Neighbouring recursive filters become one cascade: one shuffle and one pass, wha
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ KINDS: dict[str, dict] = {
     "median": {"size": None},
     "features": {"size": None, "overlap": 0.5, "enabled": None},
 }
+#: A user's own stage: (samples, rate) -> samples, a DataFrame to DataFrame step like any other of the plan.
+Own = Callable[[DataFrame, float], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,8 @@ class Stage:
     params: tuple[tuple[str, object], ...] = ()
     name: str = ""
     enabled: bool = True
+    own: Own | None = field(default=None, compare=False)
+    own_check: Callable[[float], None] | None = field(default=None, compare=False)
 
     @staticmethod
     def of(kind: str, name: str = "", **params) -> Stage:
@@ -58,6 +63,12 @@ class Stage:
 
     def check(self, rate: float, cascade: bool = False, bandpass: bool = False) -> None:
         """Raises DesignError if the stage can't run at this rate."""
+        if self.kind == "own":
+            if self.own is None:
+                raise DesignError(f"{self.name}: the stage's function isn't known here")
+            if self.own_check is not None:
+                self.own_check(rate)
+            return
         missing = [k for k, v in self.params if v is None and k != "enabled"]
         if missing:
             raise DesignError(f"{self.name}: {', '.join(missing)} required")
@@ -73,6 +84,8 @@ class Stage:
     def latency_us(self) -> int:
         """Nominal delay: 10 µs a section, 50 µs for a notch, half a window or a whole one at 1 kHz."""
         p = dict(self.params)
+        if self.kind == "own":
+            return p["latency_us"]
         return {"highpass": 10, "lowpass": 10, "bandpass": 20, "notch": 50, "moving_average": (p.get("size") or 0) * 500, "median": (p.get("size") or 0) * 500, "features": (p.get("size") or 0) * 1000}[self.kind]
 
 
@@ -94,22 +107,34 @@ class Pipeline:
     max_latency_ms: float = 10.0
     cascade: bool = False
     allow_bandpass: bool = False
+    enabled: bool = True
 
     # building: every call gives a new pipeline
     def add(self, kind: str, name: str = "", **params) -> Pipeline:
         """Adds a stage; a second one of the same name is numbered, so that names stay unique."""
-        stage, taken = Stage.of(kind, name, **params), {s.name for s in self.stages}
-        n = 2
+        return self._append(Stage.of(kind, name, **params))
+
+    def add_stage(self, name: str, own: Own, check: Callable[[float], None] | None = None, latency_us: int = 1000) -> Pipeline:
+        """Adds a user's stage. It gets the samples and the rate, and returns samples with the columns it got (``x`` changed).
+
+        ``check`` gets the rate when a plan is made and raises DesignError if the stage can't run at it; ``latency_us`` is
+        the stage's nominal delay.
+        """
+        if not name:
+            raise ValueError("a stage needs a name")
+        return self._append(Stage("own", (("latency_us", latency_us),), name, True, own, check))
+
+    def _append(self, stage: Stage) -> Pipeline:
+        name, taken, n = stage.name, {s.name for s in self.stages}, 2
         while stage.name in taken:
-            stage, n = replace(stage, name=f"{name or kind}_{n}"), n + 1
+            stage, n = replace(stage, name=f"{name}_{n}"), n + 1
         return replace(self, stages=(*self.stages, stage))
 
     def add_stages(self, other: Pipeline) -> Pipeline:
         """Another pipeline's stages after these."""
         out = self
         for s in other.stages:
-            out = out.add(s.kind, s.name, **dict(s.params))
-            out = replace(out, stages=(*out.stages[:-1], replace(out.stages[-1], enabled=s.enabled)))
+            out = out._append(s)
         return out
 
     def bypass(self, on: bool = True) -> Pipeline:
@@ -158,14 +183,14 @@ class Pipeline:
     def export(self) -> dict:
         """Everything that makes the pipeline, for JSON."""
         stages = [{"name": s.name, "kind": s.kind, "params": dict(s.params), "enabled": s.enabled} for s in self.stages]
-        rest = {k: getattr(self, k) for k in ("name", "bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")}
+        rest = {k: getattr(self, k) for k in ("name", "bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass", "enabled")}
         return rest | {"stages": stages, "latency_us": self.latency_us()}
 
     @staticmethod
-    def restore(d: dict) -> Pipeline:
-        """The pipeline that ``export`` described."""
-        stages = tuple(Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"]) for s in d["stages"])
-        return Pipeline(d["name"], stages, *(d[k] for k in ("bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")))
+    def restore(d: dict, own: dict[str, Own] | None = None) -> Pipeline:
+        """The pipeline that ``export`` described; ``own`` has the functions of users' stages by name."""
+        stages = tuple(Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"], (own or {}).get(s["name"])) for s in d["stages"])
+        return Pipeline(d["name"], stages, *(d[k] for k in ("bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")), d.get("enabled", True))
 
     # running
     def normalised(self, rate: float) -> tuple[list[Stage | list[Stage]], list[str]]:
@@ -191,8 +216,8 @@ class Pipeline:
         return [x for step in self.normalised(rate)[0] if isinstance(step, list) for s in step for x in s.sections(rate, self.cascade)]
 
     def apply(self, samples: DataFrame, rate: float = 1000.0) -> Result:
-        """The pipeline over a samples table of one sampling rate."""
-        steps, warnings = self.normalised(rate)
+        """The pipeline over a samples table of one sampling rate; one that isn't enabled hands samples on."""
+        steps, warnings = self.normalised(rate) if self.enabled else ([], [])
         now, found = samples.withColumn("x_raw", F.col("x")), []
         for step in steps:
             if isinstance(step, list):
@@ -200,6 +225,8 @@ class Pipeline:
             elif step.kind == "features":
                 p = dict(step.params)
                 found.append(features.features(now, p["size"], p["overlap"], rate, p["enabled"]))
+            elif step.kind == "own":
+                now = step.own(now, rate)
             else:
                 now = {"moving_average": filters.moving_average, "median": filters.median_filter}[step.kind](now, dict(step.params)["size"])
         return Result(now, found, warnings, [s.name for step in steps for s in (step if isinstance(step, list) else [step])])
@@ -228,6 +255,69 @@ def comprehensive() -> Pipeline:
     return pipeline("comprehensive").add_stages(emg_preprocessing()).add("features", size=512)
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A stage of a runtime configuration, by the name of its processor."""
+
+    name: str
+    processor: str
+    kind: str
+    params: tuple[tuple[str, object], ...] = ()
+    enabled: bool = True
+
+
+@dataclass(frozen=True)
+class RuntimeConfig:
+    """A pipeline as the live service stores it: ``pipeline`` turns it into stages, with the parameters given or the usual ones."""
+
+    name: str
+    entries: tuple[Entry, ...]
+    enabled: bool = True
+    bypass_on_error: bool = False
+    max_latency_ms: float = 10.0
+
+    def validate(self) -> None:
+        if not self.name:
+            raise ValueError("a pipeline needs a name")
+        if self.max_latency_ms <= 0:
+            raise ValueError("the latency limit must be positive")
+        if not self.entries:
+            raise ValueError("a pipeline needs a stage")
+        for e in self.entries:
+            if not e.processor or not e.name:
+                raise ValueError("every stage needs a name")
+            if e.kind not in ("filter", "feature_extractor"):
+                raise ValueError(f"{e.name}: unknown kind {e.kind!r}")
+
+    def enable(self, name: str, on: bool = True) -> RuntimeConfig:
+        if name not in {e.name for e in self.entries}:
+            raise KeyError(f"configuration {self.name} has no stage {name!r}")
+        return replace(self, entries=tuple(replace(e, enabled=on) if e.name == name else e for e in self.entries))
+
+    def pipeline(self) -> Pipeline:
+        self.validate()
+        out = Pipeline(self.name, (), self.bypass_on_error, self.max_latency_ms, enabled=self.enabled)
+        for e in self.entries:
+            if e.processor not in USUAL:
+                raise ValueError(f"{e.name}: unknown processor {e.processor!r}")
+            out = out.add(e.processor, e.name, **{**USUAL[e.processor], **dict(e.params)}).enable(e.name, e.enabled)
+        return out
+
+
+# Parameters of processors that a runtime configuration doesn't give, and the ready-made configurations.
+USUAL = {"highpass": {"cutoff": 20.0}, "lowpass": {"cutoff": 450.0}, "notch": {"frequency": 50.0, "q": 30.0}, "features": {"size": 256}}
+
+
+def default_emg() -> RuntimeConfig:
+    filters_ = [Entry(f"{n} Filter", n.lower(), "filter") for n in ("Highpass", "Lowpass", "Notch")]
+    return RuntimeConfig("Default EMG", (*filters_, Entry("Feature Extractor", "features", "feature_extractor")))
+
+
+def realtime_emg() -> RuntimeConfig:
+    entries = tuple(Entry(f"{n} Filter", n.lower(), "filter") for n in ("Highpass", "Notch"))
+    return RuntimeConfig("Real-time EMG", entries, bypass_on_error=True, max_latency_ms=5.0)
+
+
 @dataclass(frozen=True)
 class ServiceSpec:
     """What a user of the live service chooses; ``pipeline_for`` turns it into stages."""

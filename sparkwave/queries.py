@@ -29,6 +29,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), rate=RATE)
 
 
+def last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.last_idx(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select(F.lit("embeddings").alias("signal_id"), F.col("vec_id").alias("chunk_seq"), F.lit(4).alias("channel_count"), F.col("embedding").alias("data"))
@@ -80,11 +84,11 @@ def time_vector(spark, d):
 
 
 def recent_window(spark, d):
-    return rounded(reshape.recent(events(spark, d), 0.2).select("channel", "idx", "x"))
+    return rounded(reshape.recent(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def plot_columns(spark, d):
-    return rounded(reshape.by_time(events(spark, d), 4).drop("t"))
+    return rounded(reshape.by_time(events(spark, d), 16).drop("t"))
 
 
 def moving_average(size):
@@ -200,7 +204,7 @@ def buffer_stats(spark, d):
 
 
 def chunk_start_times(spark, d):
-    """Of every chunk of the signal, whichever channels reach it. The SQL still counts channel 0 alone: see REPLY_r01.md."""
+    """Of every chunk of the signal, whichever channels reach it."""
     return rounded(reshape.rebased(reshape.chunk_durations(events(spark, d), 100, RATE)))
 
 
@@ -220,15 +224,15 @@ def sample_violations(spark, d):
 
 
 def latest_chunk(spark, d):
-    return rounded(reshape.latest_chunk(events(spark, d)).select("channel", "idx", "x"))
+    return rounded(reshape.latest_chunk(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def buffer_tail(spark, d):
-    return rounded(reshape.buffer_tail(events(spark, d), 3).select("channel", "idx", "x"))
+    return rounded(reshape.buffer_tail(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def plot_tail(spark, d):
-    return rounded(reshape.plot_tail(events(spark, d), 50).select("channel", "idx", "x"))
+    return rounded(reshape.plot_tail(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def config_latency(spark, d):
@@ -241,29 +245,78 @@ def config_unknown_processors(spark, d):
     return profiles.unknown_processors(*profiles.tables(spark, [broken, profiles.research()]))
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+def in_order(rows: DataFrame, ts: str, path: str, parts: int = 4, most_rows: int = 1_000_000) -> int:
+    """Writes ``rows`` as ``parts`` successive runs of time, each as so many files, which is returned: for streams that read a run at a time."""
+    at = sources.seconds(rows, ts)
+    edges = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)]), F.count("*")).head()
+    files = max(1, -(-edges[1] // (parts * most_rows)))
+    bounds = [None, *(edges[0] or []), None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows if low is None else rows.where(at > low)
+        (part if high is None else part.where(at <= high)).repartition(files).write.mode("append").parquet(path)
+    return files
 
 
 def stream_filter_equals_batch(spark, d):
-    """The real-time filters over a stream of the events' files; the rows it has written."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkwave-")
-    out, table = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", f"{d}/events.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(table).schema)
-    # A stream reads folders: a table of part files is one, a single file is picked out of the folder that holds it.
-    stream = reader.parquet(table) if is_folder(spark, table) else reader.option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = stream.where("user_id is not null and ts is not null").select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(16)).cast("int").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
-    sink = live.BlockSink(spec.realtime().sections(RATE), ["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / (6 * 3600)), out, RATE)
+    """The real-time filters over a stream of the events, in several micro-batches; the rows it has written."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="sparkwave-")
+    out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events_ = spark.read.parquet(f"{d}/events.parquet").where("user_id is not null and ts is not null").select("user_id", "ts", "event_id", "value")
+    files = in_order(events_, "ts", f"{out}/in")
+    stream = spark.readStream.schema(events_.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/in")
+    rows = stream.select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(16)).cast("int").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
+    sink = live.BlockSink(spec.realtime().sections(RATE), ["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / 3600), out, RATE)
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return rounded(sink.rows(spark).select("channel", "idx", "x_raw", F.col("x").alias("y")))
 
 
+def highpass_with_gaps(spark, d):
+    """Channels that begin late and lack every seventh sample: idx stays, samples count one after the other."""
+    s = events(spark, d).where("idx >= 40 and idx % 7 <> 3")
+    return filtered(s, SECTIONS["highpass_20"])
+
+
+def one_channel(spark, d):
+    return rounded(reshape.channel(events(spark, d), 3, 16).select("channel", "idx", "x"))
+
+
+def clamped(spark, d):
+    return rounded(reshape.clamp(events(spark, d), 20.0, 60.0).select("channel", "idx", "x"))
+
+
+def windows_of_one(spark, d):
+    """The smallest windows there are: one sample each, whose statistics have their values for fewer than two samples."""
+    return rounded(features.features(events(spark, d), 1, 0.0, RATE, ["mean", "variance", "zero_crossings", "waveform_length", *features.STATISTICS]))
+
+
+def signal_quality(spark, d):
+    """Of the real-time pipeline's output; a channel with a sample that is no number has a lower score."""
+    s = events(spark, d).withColumn("x", F.when((F.col("channel") == 2) & (F.col("idx") == 30), F.lit(float("nan"))).otherwise(F.col("x")))
+    return rounded(reshape.signal_quality(spec.realtime().apply(s, RATE).samples))
+
+
+def expected_samples(spark, d):
+    """Embeddings as chunks that announce 16 samples of 4 channels; every tenth announces one more."""
+    c = chunks(spark, d).withColumns({"sampling_rate": F.lit(RATE), "duration": F.when(F.col("chunk_seq") % 10 == 0, 0.017).otherwise(0.016)})
+    return reshape.expected_samples(c).drop("signal_id")
+
+
+def pipeline_with_own_stage(spark, d):
+    """A user's stage between filters: rectification."""
+    p = spec.pipeline("envelope").add("highpass", cutoff=20.0).add_stage("rectify", lambda s, rate: s.withColumn("x", F.abs("x"))).add("moving_average", size=10)
+    return rounded(p.apply(events(spark, d), RATE).samples.select("channel", "idx", "x_raw", F.col("x").alias("y")))
+
+
 def queries() -> dict:
     plain = [
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, median_filter_5, raw_vs_processed, sliding_windows_64, time_features,
         stat_features, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
+        highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10)}

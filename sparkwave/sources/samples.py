@@ -33,14 +33,32 @@ def seconds(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("long")
 
 
-def from_events(events: DataFrame, channels: int = 16, rate: float = 1000.0, bucket_seconds: int = 6 * 3600, signal_id: str = "events") -> DataFrame:
+def _of_channels(events: DataFrame, channels: int, signal_id: str) -> DataFrame:
+    return events.where("user_id is not null and ts is not null").select(
+        F.lit(signal_id).alias("signal_id"), F.pmod("user_id", F.lit(channels)).cast("int").alias("channel"), "ts", "event_id", F.col("value").cast("double").alias("x")
+    )
+
+
+def bucket_length(rows: DataFrame, most_rows: int = 1_000_000, longest: int = 6 * 3600) -> int:
+    """Seconds that hold about ``most_rows`` rows of the densest channel; one small aggregation of times."""
+    per = rows.groupBy(*KEY).agg(F.count("*").alias("n"), (F.max(seconds(rows, "ts")) - F.min(seconds(rows, "ts")) + 1).alias("s"))
+    densest = per.agg(F.max(F.col("n") / F.col("s"))).head()[0]
+    return longest if not densest else int(max(1, min(longest, most_rows / densest)))
+
+
+def last_idx(events: DataFrame, channels: int = 16, signal_id: str = "events") -> DataFrame:
+    """signal_id, channel, last: the last idx that ``from_events`` gives each channel, without numbering."""
+    return _of_channels(events, channels, signal_id).groupBy(*KEY).agg((F.count("*") - 1).alias("last"))
+
+
+def from_events(events: DataFrame, channels: int = 16, rate: float = 1000.0, bucket_seconds: int | None = None, signal_id: str = "events") -> DataFrame:
     """Samples of an event log: channel = user_id modulo ``channels``, in order of (ts, event_id), x = value.
 
-    Rows without user or time belong to no channel and are left out; a null value stays a null sample.
+    Rows without user or time belong to no channel and are left out; a null value stays a null sample. Rows are
+    numbered in buckets of ``bucket_seconds``, by default as long as the densest channel's rows allow.
     """
-    rows = events.where("user_id is not null and ts is not null").select(
-        F.lit(signal_id).alias("signal_id"), F.pmod("user_id", F.lit(channels)).cast("int").alias("channel"), "ts", "event_id", F.col("value").cast("double").alias("x")
-    )
+    rows = _of_channels(events, channels, signal_id)
+    bucket_seconds = bucket_seconds or bucket_length(rows)
     placed = indexed(rows, KEY, ["ts", "event_id"], F.floor(seconds(rows, "ts") / bucket_seconds))
     return placed.select("signal_id", "channel", "idx", (F.col("idx") / F.lit(rate)).alias("t"), "x")
 

@@ -1,5 +1,7 @@
 """Pipelines, profiles, and streams against batch."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +208,65 @@ def test_live_source(spark):
 
     s = live.emg_stream(spark, Emg(channels=2))
     assert s.isStreaming and s.columns == ["signal_id", "channel", "idx", "t", "x"]
+
+
+def test_own_stages(spark):
+    from pyspark.sql import functions as F
+
+    def never_below(rate):
+        if rate < 900:
+            raise DesignError("too slow")
+
+    p = spec.pipeline("own").add_stage("twice", lambda s, rate: s.withColumn("x", 2 * F.col("x")), never_below, 300).add_stage("twice", lambda s, rate: s.withColumn("x", F.col("x") + rate))
+    assert p.names() == ["twice", "twice_2"] and p.latency_us() == 1300 and p.kinds() == ["filter", "filter"]
+    got = p.apply(table(spark, [1.0, 2.0])).samples.orderBy("idx").collect()
+    assert [(r.x_raw, r.x) for r in got] == [(1.0, 1002.0), (2.0, 1004.0)]
+    with pytest.raises(DesignError):
+        p.apply(table(spark, [1.0]), 500.0)
+    assert p.bypass().apply(table(spark, [1.0]), 500.0).stages == ["twice_2"]
+    again = spec.Pipeline.restore(p.export(), {s.name: s.own for s in p.stages})
+    assert again == p and again.apply(table(spark, [1.0])).samples.head().x == 1002.0
+    with pytest.raises(DesignError):
+        spec.Pipeline.restore(p.export()).apply(table(spark, [1.0]))
+    nested = spec.pipeline("outer").add("highpass", cutoff=20.0).add_stages(p)
+    assert nested.names() == ["highpass", "twice", "twice_2"]
+
+
+def test_runtime_configuration(spark):
+    c = spec.default_emg()
+    c.validate()
+    assert c.enabled and not c.bypass_on_error and c.max_latency_ms == 10.0 and len(c.entries) == 4
+    assert c.pipeline().names() == ["Highpass Filter", "Lowpass Filter", "Notch Filter", "Feature Extractor"]
+    assert c.pipeline().apply(table(spark, X)).features[0].count() > 0
+    r = spec.realtime_emg()
+    assert r.bypass_on_error and r.max_latency_ms == 5.0 and [e.processor for e in r.entries] == ["highpass", "notch"]
+    from dataclasses import replace
+
+    for bad in (replace(c, name=""), replace(c, max_latency_ms=-1.0), replace(c, entries=()), replace(c, entries=(spec.Entry("", "highpass", "filter"),)), replace(c, entries=(spec.Entry("a", "highpass", "thing"),))):
+        with pytest.raises(ValueError):
+            bad.validate()
+    assert not r.enable("Notch Filter", False).pipeline().stage("Notch Filter").enabled
+    off = replace(r, enabled=False).pipeline().apply(table(spark, [1.0, 2.0]))
+    assert off.stages == [] and [v.x for v in off.samples.orderBy("idx").collect()] == [1.0, 2.0]
+
+
+def test_metrics(spark):
+    from sparkwave.plans import metrics
+
+    with metrics.Timer() as t:
+        t.quality(1.7, -0.2)
+    m = t.metrics
+    assert m.success and m.processing_time_us >= 0 and (m.input_quality, m.output_quality) == (1.0, 0.0) and m.meets(profiles.Constraints())
+    with pytest.raises(RuntimeError):
+        with metrics.Timer() as t:
+            raise RuntimeError("broken")
+    assert not t.metrics.success and t.metrics.error == "broken" and not t.metrics.meets(profiles.Constraints())
+    slow = metrics.Metrics(processing_time_us=20_000)
+    assert not slow.meets(profiles.Constraints())
+    s = metrics.summary([m, t.metrics, slow])
+    assert s.steps == 3 and s.total_us >= 20_000 and abs(s.success_rate - 2 / 3) < 1e-9
+    assert metrics.summary([]) == metrics.Performance(0, 0, 1.0, 0)
+    p = spec.pipeline("p").add("highpass", cutoff=20.0).add("lowpass", cutoff=900.0).add("features", size=128)
+    got = metrics.measured(p, table(spark, [*X[:500], math.nan]), qualities=True)
+    assert list(got) == ["highpass", "lowpass", "features"] and [v.success for v in got.values()] == [True, False, True]
+    assert abs(got["highpass"].input_quality - 500 / 501) < 1e-9
