@@ -253,3 +253,63 @@ def test_articles_of_the_pages_table(spark, sf):
         inside = re.search(r"<article>(.*)</article>", html[r.page_id], re.S)[1]
         parts = [" ".join(unescape(re.sub(r"<[^>]*>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1|article)>", re.sub(r"<br>", " ", inside))]
         assert r.text == "\n\n".join(p for p in parts if p), r.page_id
+
+
+@pytest.mark.parametrize("spread", [0.001, 0.004, 0.03])
+def test_a_tight_cluster_of_a_third_is_compared_by_its_balls(spark, monkeypatch, spread):
+    """Inside the cluster, to vectors at about the angle that links, and to the rest: no link too many, nearly all found."""
+    rng = np.random.default_rng(int(spread * 1000))
+    dim, n = 32, 900
+    centre = rng.normal(size=dim)
+    centre /= np.linalg.norm(centre)
+    x = rng.normal(size=(n, dim))
+    x[:300] = centre + rng.normal(size=(300, dim)) * spread / np.sqrt(dim)
+    for i in range(300, 400):  # around the limit
+        side = rng.normal(size=dim)
+        side -= side @ centre * centre
+        side /= np.linalg.norm(side)
+        c = rng.uniform(0.945, 0.955)
+        x[i] = c * centre + np.sqrt(1 - c * c) * side
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in caps.near_vectors(df, group_limit=50).collect()}
+    near = truth(x)
+    assert all(got[i].n_links <= near[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * near.sum()
+    inside = near[:300, :300]
+    assert all(got[i].n_links >= inside[i].sum() for i in range(300))  # balls lose none of these
+    root = classes(n, [tuple(map(int, p)) for p in np.argwhere(np.triu(near))])
+    assert sum(got[i].component_id == root[i] for i in got) >= 0.97 * n
+
+
+def test_a_cluster_costs_few_comparisons(spark):
+    """A group of a filter holds balls: far fewer than the cluster's vectors."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 32))
+    x[:500] = x[0] + rng.normal(size=(500, 32)) * 0.002
+    seen = spark.sparkContext.accumulator(0)
+    plain = caps._compared
+
+    def counting(least):
+        make = plain(least)
+
+        def made():
+            run = make()
+
+            def counted(rows):
+                def each():
+                    for r in rows:
+                        seen.add(1)
+                        yield r
+
+                return run(each())
+
+            return counted
+
+        return made
+
+    caps._compared = counting
+    try:
+        got = caps.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    finally:
+        caps._compared = plain
+    assert sum(r.n_links for r in got) >= 500 * 499 and seen.value < 10_000  # 500 vectors under 60 filters would be 30,000
