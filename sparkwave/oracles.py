@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
     smooth = f"sm AS (SELECT channel, idx, avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS 2 PRECEDING) AS x FROM {last})"
     out["pipeline_profile_realtime"] = with_([SAMPLES, *realtime, smooth], both.format(last="sm"))
     out["stream_filter_equals_batch"] = out["pipeline_realtime"]
+    out["stream_pipeline_equals_batch"] = out["pipeline_profile_realtime"]
     gapped = "gapped AS MATERIALIZED (SELECT channel, idx AS place, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS idx, x FROM samples WHERE idx >= 40 AND idx % 7 <> 3)"
     late, end = recursion(q.SECTIONS["highpass_20"], "gapped", "g")
     out["highpass_with_gaps"] = with_([SAMPLES, gapped, *late], f"SELECT channel, place AS idx, {r('f.x', 'y')} FROM {end} f JOIN gapped USING (channel, idx)")

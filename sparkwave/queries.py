@@ -257,8 +257,8 @@ def in_order(rows: DataFrame, ts: str, path: str, parts: int = 4, most_rows: int
     return files
 
 
-def stream_filter_equals_batch(spark, d):
-    """The real-time filters over a stream of the events, in several micro-batches; the rows it has written."""
+def streamed(spark: SparkSession, d: str, sink_of) -> DataFrame:
+    """The events as a stream of several micro-batches into ``sink_of(order, bucket, out)``; the rows it has written."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -269,11 +269,20 @@ def stream_filter_equals_batch(spark, d):
     files = in_order(events_, "ts", f"{out}/in")
     stream = spark.readStream.schema(events_.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/in")
     rows = stream.select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(16)).cast("int").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
-    sink = live.BlockSink(spec.realtime().sections(RATE), ["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / 3600), out, RATE)
+    sink = sink_of(["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / 3600), out)
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return rounded(sink.rows(spark).select("channel", "idx", "x_raw", F.col("x").alias("y")))
 
 
+def stream_filter_equals_batch(spark, d):
+    return streamed(spark, d, lambda order, bucket, out: live.BlockSink(spec.realtime().sections(RATE), order, bucket, out, RATE))
+
+
+def stream_pipeline_equals_batch(spark, d):
+    """Filters and a moving average, which remembers samples from one micro-batch to the next."""
+    return streamed(spark, d, lambda order, bucket, out: live.PipelineSink(PIPELINES["pipeline_profile_realtime"], order, bucket, out, RATE))
+
+
 def highpass_with_gaps(spark, d):
     """Channels that begin late and lack every seventh sample: idx stays, samples count one after the other."""
     s = events(spark, d).where("idx >= 40 and idx % 7 <> 3")
@@ -316,7 +325,7 @@ def queries() -> dict:
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, median_filter_5, raw_vs_processed, sliding_windows_64, time_features,
         stat_features, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
-        highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
+        stream_pipeline_equals_batch, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10)}

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkwave.operators import features
 from sparkwave.operators.design import Section
-from sparkwave.operators.filters import Cascade, carried
+from sparkwave.operators.filters import Cascade, carried, median_filter, moving_average
 from sparkwave.plans.spec import Pipeline
 from sparkwave.session import importable
 from sparkwave.sources.emg import Emg
@@ -96,11 +97,104 @@ class BlockSink:
         both.coalesce(1).write.mode("overwrite").parquet(f"{self.out}/states/{number}")
 
 
+class PipelineSink:
+    """For foreachBatch: a whole pipeline over micro-batches of any size, with what each stage must remember of a channel.
+
+    Recursive filters keep their state, moving averages and medians the samples they look back at, feature stages the
+    samples of windows that aren't full yet: the written rows and features are those of the batch pipeline. Under
+    ``out``, in shared storage, each micro-batch has a folder of its own in ``rows`` (OUT and success) and, for each
+    feature stage, in ``features-0``, …; one that is run again starts from the same memory and replaces them.
+
+    A micro-batch that fails is written raw with success false if the pipeline allows bypass, and raises otherwise.
+    While ``bypass`` is set, rows are written raw and nothing is remembered. Columns and idx are as in ``BlockSink``.
+    """
+
+    def __init__(self, pipeline: Pipeline, order: list[str], bucket: Column, out: str, rate: float = 1000.0, bypass: bool = False):
+        self.pipeline, self.order, self.bucket, self.out, self.rate, self.bypass = pipeline, order, bucket, out.rstrip("/"), rate, bypass
+        self.steps, self.warnings = pipeline.normalised(rate) if pipeline.enabled else ([], [])
+        self.errors: list[str] = []
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return self._all(spark, "rows", OUT + ", success boolean")
+
+    def features(self, spark: SparkSession, stage: int = 0) -> DataFrame:
+        """Rows of the feature stage number ``stage``."""
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{self.out}/features-{stage}")
+
+    def _all(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{self.out}/{name}")
+
+    def _saved(self, df: DataFrame, name: str, number: int) -> DataFrame:
+        path = f"{self.out}/{name}/{number}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def _memory(self, spark: SparkSession, name: str, number: int, schema: str) -> DataFrame:
+        """What was remembered before micro-batch ``number``."""
+        return spark.read.schema(schema).parquet(f"{self.out}/{name}/{number - 1}") if number else spark.createDataFrame([], schema)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        was = self._memory(spark, "seen", number, "signal_id string, channel int, seen long")
+        placed = indexed(batch, KEY, self.order, self.bucket).select(*KEY, "idx", F.col("x").cast("double").alias("x"))
+        before = F.broadcast(was.withColumnRenamed("seen", "_seen"))  # one row a channel
+        idx = (F.coalesce("_seen", F.lit(0)) + F.col("idx")).cast("long")
+        placed = placed.join(before, KEY, "left").select(*KEY, idx.alias("idx"), (idx / F.lit(self.rate)).alias("t"), F.col("x").alias("x_raw"), "x")
+        placed = self._saved(placed, "placed", number)
+        now = placed.groupBy(*KEY).agg((F.max("idx") + 1).alias("seen"))
+        seen = self._saved(now.unionByName(was.join(now, KEY, "left_anti")).coalesce(1), "seen", number)
+        done = placed
+        if not self.bypass:
+            try:
+                for i, step in enumerate(self.steps):
+                    done = self._step(i, step, done, was, seen, number)
+                self._saved(done.select(*KEY, "idx", "t", "x_raw", "x").withColumn("success", F.lit(True)), "rows", number)
+                return
+            except Exception as e:
+                self.errors.append(f"batch {number}: {e}")
+                if not self.pipeline.bypass_on_error:
+                    raise
+        for i, step in enumerate(self.steps):  # what was remembered stays
+            if not isinstance(step, list) and step.kind == "own":
+                continue
+            self._saved(self._memory(spark, f"memory-{i}", number, STATE if isinstance(step, list) else TAIL), f"memory-{i}", number)
+        self._saved(placed.withColumn("success", F.lit(self.bypass)), "rows", number)
+
+    def _step(self, i: int, step, samples: DataFrame, was: DataFrame, seen: DataFrame, number: int) -> DataFrame:
+        spark, memory = samples.sparkSession, f"memory-{i}"
+        if isinstance(step, list):
+            start = self._memory(spark, memory, number, STATE)
+            sections = [x for s in step for x in s.sections(self.rate, self.pipeline.cascade)]
+            done = self._saved(carried(samples, sections, self.rate, start), f"step-{i}", number)
+            ends = done.where("state is not null").groupBy(*KEY).agg(F.max_by("state", "idx").alias("state"))
+            self._saved(ends.unionByName(start.join(ends.select(*KEY), KEY, "left_anti")).coalesce(1), memory, number)
+            return done.drop("state")
+        if step.kind == "own":
+            return step.own(samples, self.rate)
+        size = dict(step.params)["size"]
+        tail = self._memory(spark, memory, number, TAIL)
+        both = self._saved(samples.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)), allowMissingColumns=True), f"step-{i}", number)
+        end = F.broadcast(seen.withColumnRenamed("seen", "_end"))
+        self._saved(both.join(end, KEY).where(F.col("idx") > F.col("_end") - size).select(*KEY, "idx", "x"), memory, number)
+        if step.kind == "features":
+            p = dict(step.params)
+            before = F.broadcast(was.withColumnRenamed("seen", "_seen"))
+            found = features.features(both.select(*KEY, "idx", "x"), p["size"], p["overlap"], self.rate, p["enabled"])
+            found = found.join(before, KEY, "left").where(F.col("end_sample") > F.coalesce("_seen", F.lit(0))).drop("_seen")
+            self._saved(found, f"features-{sum(not isinstance(s, list) and s.kind == 'features' for s in self.steps[:i])}", number)
+            return samples
+        return {"moving_average": moving_average, "median": median_filter}[step.kind](both, size).where("_new").drop("_new")
+
+
+#: What is remembered of a channel: a cascade's state, or its last samples.
+STATE, TAIL = "signal_id string, channel int, state array<double>", "signal_id string, channel int, idx long, x double"
+
+
 def stream_pipeline(stream: DataFrame, pipeline: Pipeline, order: list[str], rate: float = 1000.0) -> DataFrame:
-    """The recursive filters of a pipeline over a stream, as one cascade. Feature stages work on what has been written."""
-    others = [s.name for s in pipeline.stages if s.enabled and s.kind in ("moving_average", "median")]
+    """The recursive filters of a pipeline over a stream, as one cascade. ``PipelineSink`` takes any pipeline."""
+    others = [s.name for s in pipeline.stages if s.enabled and s.kind in ("moving_average", "median", "own")]
     if others:
-        raise ValueError(f"{others} aren't recursive filters; apply them to the written samples")
+        raise ValueError(f"{others} aren't recursive filters; use a PipelineSink")
     return stream_cascade(stream, pipeline.sections(rate), order, rate)
 
 
@@ -185,3 +279,39 @@ class Live:
         """Advice, not an error: micro-batches that took more than twice the limit."""
         seen = list(self.query.recentProgress) if self.query is not None else []
         return [f"batch {p['batchId']} took {p['batchDuration']} ms, more than twice {limit_ms} ms" for p in seen if p["batchDuration"] > 2 * limit_ms]
+
+
+class Fleet:
+    """Controls several queries by name: one source to several sinks, or several signals."""
+
+    def __init__(self, **queries: Live):
+        self.queries = dict(queries)
+
+    def __getitem__(self, name: str) -> Live:
+        return self.queries[name]
+
+    def add(self, name: str, query: Live) -> None:
+        if name in self.queries:
+            raise ValueError(f"there is a query {name!r} already")
+        self.queries[name] = query
+
+    def start(self, *names: str) -> None:
+        for n in names or self.queries:
+            self.queries[n].start()
+
+    def pause(self, *names: str) -> None:
+        for n in names or self.queries:
+            self.queries[n].pause()
+
+    def stop(self, *names: str) -> None:
+        for n in names or self.queries:
+            self.queries[n].stop()
+
+    def wait(self) -> None:
+        """Until every running query has ended."""
+        for q in self.queries.values():
+            if q.query is not None:
+                q.query.awaitTermination()
+
+    def stats(self) -> dict[str, dict]:
+        return {n: q.stats() for n, q in self.queries.items()}

@@ -270,3 +270,100 @@ def test_metrics(spark):
     got = metrics.measured(p, table(spark, [*X[:500], math.nan]), qualities=True)
     assert list(got) == ["highpass", "lowpass", "features"] and [v.success for v in got.values()] == [True, False, True]
     assert abs(got["highpass"].input_quality - 500 / 501) < 1e-9
+
+
+def three_batches(spark, path, x, cuts=((0, 700), (700, 701), (701, 3000))):
+    for i, (a, b) in enumerate(cuts):
+        rows = table(spark, x).unionByName(table(spark, x[:1500], 1)) if i != 1 else table(spark, x)
+        rows.where(f"idx >= {a} and idx < {b}").drop("t").coalesce(1).write.parquet(str(path / "in" / f"{i}"))
+    stream = spark.readStream.schema("signal_id string, channel int, idx bigint, x double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path / "in"))
+    return stream.withColumnRenamed("idx", "at")
+
+
+def run(stream, sink, path):
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_a_pipeline_in_micro_batches_equals_batch(spark, tmp_path):
+    x = np.random.default_rng(7).normal(0, 1, 3000)
+    p = spec.pipeline("all").add("highpass", cutoff=20.0).add("moving_average", size=5).add_stage("twice", lambda s, rate: s.withColumn("x", 2 * F.col("x"))).add("median", size=7)
+    p = p.add("notch", frequency=50.0).add("features", size=64, enabled=["mean", "zero_crossings", "peak_frequency"])
+    stream = three_batches(spark, tmp_path, x)
+    sink = live.PipelineSink(p, ["at"], F.expr("at div 100"), str(tmp_path / "out"))
+    run(stream, sink, tmp_path)
+    got = sink.rows(spark).orderBy("channel", "idx").collect()
+    whole = table(spark, x).unionByName(table(spark, np.delete(x[:1500], 700), 1))
+    want = p.apply(whole)
+    for a, b in zip(got, want.samples.orderBy("channel", "idx").collect(), strict=True):
+        assert a.success and (a.channel, a.idx, a.x_raw) == (b.channel, b.idx, b.x_raw) and abs(a.x - b.x) < 1e-9
+    key = lambda rows: sorted((r.channel, r.k, r.zero_crossings, round(r.mean, 8), r.peak_frequency) for r in rows)
+    assert key(sink.features(spark).collect()) == key(want.features[0].collect())
+    sink(spark.read.parquet(str(tmp_path / "in" / "2")).withColumnRenamed("idx", "at"), 2)  # again
+    assert sink.rows(spark).count() == len(got) and sink.features(spark).count() == want.features[0].count()
+
+
+def test_a_failing_micro_batch_is_written_raw(spark, tmp_path):
+    def fails(s, rate):
+        if s.count() == 1:
+            raise RuntimeError("no")
+        return s.withColumn("x", F.col("x") + 1)
+
+    x = np.random.default_rng(8).normal(0, 1, 3000)
+    p = spec.pipeline("p").add("moving_average", size=3).add_stage("fails", fails)
+    sink = live.PipelineSink(p.bypass(), ["at"], F.expr("at div 100"), str(tmp_path / "out"))
+    stream = three_batches(spark, tmp_path, x)
+    run(stream, sink, tmp_path)
+    got = sink.rows(spark).where("channel = 0").orderBy("idx").collect()
+    assert len(got) == 3000 and [r.idx for r in got if not r.success] == [700] and got[700].x == x[700] and got[699].x != x[699]
+    assert abs(got[703].x - x[701:704].mean() - 1) < 1e-9 and sink.errors == ["batch 1: no"]
+    strict = live.PipelineSink(p, ["at"], F.expr("at div 100"), str(tmp_path / "strict"))
+    with pytest.raises(RuntimeError):
+        strict(spark.read.parquet(str(tmp_path / "in" / "1")).withColumnRenamed("idx", "at"), 0)
+    off = live.PipelineSink(p, ["at"], F.expr("at div 100"), str(tmp_path / "off"), bypass=True)
+    off(spark.read.parquet(str(tmp_path / "in" / "0")).withColumnRenamed("idx", "at"), 0)
+    off.bypass = False
+    off(spark.read.parquet(str(tmp_path / "in" / "2")).withColumnRenamed("idx", "at"), 1)
+    rows = off.rows(spark).where("channel = 0").orderBy("idx").collect()
+    assert all(r.success for r in rows) and rows[3].x == x[3] and abs(rows[710].x - x[709:712].mean() - 1) < 1e-9
+
+
+def test_several_queries(spark, tmp_path):
+    table(spark, X).write.parquet(str(tmp_path / "in"))
+    seen = {"a": 0, "b": 0}
+
+    def sink(name):
+        def write(df, n):
+            seen[name] += df.count()
+
+        return write
+
+    make = lambda p: live.stream_pipeline(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), p, ["idx"])
+    fleet = live.Fleet(a=live.Live(make, spec.realtime(), sink("a"), str(tmp_path / "ca"), {"availableNow": True}))
+    fleet.add("b", live.Live(make, spec.research().enable("features", False), sink("b"), str(tmp_path / "cb"), {"availableNow": True}))
+    with pytest.raises(ValueError):
+        fleet.add("b", fleet["a"])
+    fleet.start()
+    fleet.wait()
+    assert seen == {"a": 1000, "b": 1000} and {n: s["rows"] for n, s in fleet.stats().items()} == seen
+    fleet.stop("a")
+    assert fleet["a"].version == 1 and fleet["b"].version == 0
+
+
+def test_stream_of_nulls_and_non_numbers_equals_batch(spark, tmp_path):
+    x = np.random.default_rng(9).normal(0, 1, 900).tolist()
+    x[100], x[500] = None, math.nan
+    rows = spark.createDataFrame([("s", 0, i, i / 1000.0, v) for i, v in enumerate(x)], SCHEMA)
+    for i in range(3):
+        rows.where(f"idx div 300 = {i}").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    sections = spec.realtime().sections(1000.0)
+    out = []
+    live.stream_cascade(stream, sections, ["idx"]).writeStream.foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    sink = live.BlockSink(sections, ["at"], F.expr("at div 100"), str(tmp_path / "out"))
+    stream.withColumnRenamed("idx", "at").writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    want = recursion(sections, [0.0 if v is None else v for v in x])
+    batch = filters.recursive(rows, sections, 1000.0).orderBy("idx").collect()
+    for got in (sorted(out, key=lambda r: r.idx), sink.rows(spark).orderBy("idx").collect(), batch):
+        assert np.allclose([r.x for r in got], want, atol=1e-9, equal_nan=True)
+    raw = [r.x_raw for r in sorted(out, key=lambda r: r.idx)]
+    assert raw[100] is None and math.isnan(raw[500]) and raw[:100] == x[:100]
