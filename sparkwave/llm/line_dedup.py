@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that hold it over the host's pages; lines
-above ``ratio`` that are on at least ``least_pages`` pages are boilerplate of that host and are dropped from its pages.
+above ``ratio`` that are on at least two pages are boilerplate of that host and are dropped from its pages.
 
 A page holds each line once for counting, so the counts of all hosts sum to at most the lines of their pages: a host
 has at most (mean lines a page) / ratio boilerplate lines. That bounded set is joined to the pages by host; texts are
@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, fresh
 
 
+def bare(line):
+    """A line without the white space around it."""
+    return F.btrim(line, F.lit(" \t\x0b\f\r"))
+
+
 def line_key(line):
-    """128 bits that stand for a line: two seeded hashes of it without surrounding spaces."""
-    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit(7), F.trim(line)).alias("b"))
+    """128 bits that stand for a line: two seeded hashes of it without surrounding white space."""
+    return F.struct(F.xxhash64(bare(line)).alias("a"), F.xxhash64(F.lit(7), bare(line)).alias("b"))
 
 
 def keys(text):
@@ -28,16 +33,25 @@ def keys(text):
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int, host_col: str, text_col: str) -> DataFrame:
     """host, line (a, b): lines on more than ``ratio`` of a host's pages."""
     page = pages.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    each = page.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), line_key))).alias("line"))
+    each = page.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: bare(x) != ""), line_key))).alias("line"))
     on = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     total = page.groupBy("host").agg(F.count("*").alias("pages"))
     return on.alias("o").join(total.alias("t"), F.col("o.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("o.host", "line")
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 5, host_col: str = "source", text_col: str = "text", broadcast_lines: int = 200_000, scratch: Scratch | None = None) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame,
+    ratio: float = 0.1,
+    least_pages: int = 2,
+    host_col: str = "source",
+    text_col: str = "text",
+    broadcast_lines: int = 200_000,
+    scratch: Scratch | None = None,
+) -> DataFrame:
     """``pages`` with boilerplate lines taken out of the text, and n_lines, n_dropped (long).
 
-    Lines are split at \\n and compared without surrounding spaces; blank lines are never counted or dropped. Every row
+    Lines are split at \\n, in texts of any length, and compared without surrounding white space; blank lines are never
+    counted or dropped. A line on one page only is never boilerplate, so the only page of a host keeps its lines. Every row
     stays, also if no line is left (empty text). A null host is a host of its own; a null text has no lines and stays
     null. Repeated rows count as pages each. An empty table gives an empty result. Other columns pass through; earlier
     columns named n_lines or n_dropped are replaced. At most ``broadcast_lines`` lines are sent to all executors; more are joined.
@@ -50,7 +64,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 5,
     side = F.broadcast(by_host) if found.limit(broadcast_lines + 1).count() <= broadcast_lines else by_host
     joined = pages.join(side, F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), line_key(x)))
+    kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains(F.col(bad), line_key(x)))
     text = F.when(F.col(bad).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), lines)), F.lit(0))
     left = F.when(F.col(bad).isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept))

