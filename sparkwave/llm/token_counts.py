@@ -37,7 +37,7 @@ def count_tokens(
 
     Null texts are empty: 0 bytes, 0 tokens; long ones are encoded whole. Null ids and repeated rows give a row each; an
     empty table gives an empty result. Extra columns are left out. ``cache_path`` is a Parquet folder in shared storage,
-    divided by tokenizer; it is made if it isn't there. At most ``broadcast_misses`` ids of texts to encode (72 bytes
+    divided by tokenizer; it is made if it isn't there. At most ``broadcast_misses`` ids of texts to encode (160 bytes
     each with their digests) are sent to all executors, which saves shuffling texts; beyond, texts are joined.
     """
     spark = docs.sparkSession
