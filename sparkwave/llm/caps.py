@@ -274,7 +274,9 @@ def near_vectors(
     scratch = Scratch(vectors.sparkSession)
     vec = F.col("vec")
     usable = F.coalesce(
-        (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vec, lambda x: x != 0), F.lit(False)
+        (F.size(vec) > 0) & F.forall(
+            vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+        ) & F.exists(vec, lambda x: x != 0), F.lit(False)
     )
     kind = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"  # floats are exact as they are and half as long
     rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vec_col}`").cast(f"array<{kind}>").alias("vec")).withColumn("usable", usable)
@@ -286,25 +288,49 @@ def near_vectors(
     # Balls: classes of a cell that are close to the cell's first class.
     celled = scratch.save(map_rows(named.select("id", "vec", "n"), f"id long, vec array<{kind}>, n long, cell long", _celled(1024)), "cells")
     celled = celled.withColumn("cell", F.struct(F.size("vec").alias("dim"), "cell"))
-    centres = celled.groupBy("cell").agg(F.min(F.struct("id", "vec")).alias("c"), F.count("*").alias("m")).where("m > 1").select("cell", F.col("c.id").alias("centre"), F.col("c.vec").alias("of"))
+    centres = celled.groupBy("cell").agg(F.min(F.struct("id", "vec")).alias("c"), F.count("*").alias("m")).where("m > 1").select(
+        "cell", F.col("c.id").alias("centre"), F.col("c.vec").alias("of")
+    )
     crowded = lookup(scratch, celled, scratch.save(centres, "centres"), "cell").where("centre is not null").select("id", "vec", "n", "centre", "of")
     placed = map_rows(crowded, f"id long, vec array<{kind}>, n long, ball long, far double", _balls(float(np.arccos(least)) * ball))
     members = scratch.save(placed.where("id <> ball or far > 0"), "members")  # all but centres
     size = members.groupBy("ball").agg(F.sum("n").alias("more"), F.max("far").alias("radius"))
     alone = named.select("id", "vec", "n").join(members.select("id"), "id", "left_anti")
-    balls = scratch.save(alone.join(size, F.col("id") == F.col("ball"), "left").select("id", "vec", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "balls")
+    balls = scratch.save(
+        alone.join(size, F.col("id") == F.col("ball"), "left").select(
+            "id", "vec", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius")
+        ),
+        "balls"
+    )
 
     # At least so many directions that a filter holds ``load`` unrelated balls on average, as far as codebooks may grow.
     words = int(min(codewords[1], max(codewords[0], np.ceil((balls.count() * list_size / load) ** (1 / blocks)))))
     lists = list_size * (1 + np.log2(words / codewords[0]) / 6)
-    decoded = scratch.save(map_rows(balls.select("id", "vec"), f"id long, vec array<{kind}>, list array<long>", _decoded(codes, blocks, words, lists)).select("id", F.size("vec").alias("dim"), "list"), "decoded")
+    decoded = scratch.save(
+        map_rows(
+            balls.select("id", "vec"), f"id long, vec array<{kind}>, list array<long>", _decoded(codes, blocks, words, lists)
+        ).select("id", F.size("vec").alias("dim"), "list"),
+        "decoded"
+    )
     each = decoded.select("id", "dim", F.explode("list").alias("filter"))
     shared = scratch.save(each.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1"), "filters")
     met = each.join(shared, ["dim", "filter"]).groupBy("id").agg(F.collect_list(F.struct("filter", "m")).alias("met"))
-    full = met.join(balls, "id").select("id", "n", "radius", "vec", F.size("vec").alias("dim"), F.transform("met", lambda v: v["filter"]).alias("list"), F.explode("met").alias("f"))
+    full = met.join(balls, "id").select(
+        "id",
+        "n",
+        "radius",
+        "vec",
+        F.size("vec").alias("dim"),
+        F.transform("met", lambda v: v["filter"]).alias("list"),
+        F.explode("met").alias("f")
+    )
     full = full.withColumn("chunks", F.ceil(F.col("f.m") / group_limit).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "filter": F.col("f.filter")})
-    dealt = dealt.select("dim", "filter", "i", "j", "chunk", "id", "n", "radius", "vec", "list").repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j", "id")
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns(
+        {"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "filter": F.col("f.filter")}
+    )
+    dealt = dealt.select(
+        "dim", "filter", "i", "j", "chunk", "id", "n", "radius", "vec", "list"
+    ).repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j", "id")
     found = scratch.save(map_rows(dealt, "id long, links long, to long, open boolean", _compared(least)), "links")
 
     # Balls that are compared member by member, in blocks.
@@ -319,7 +345,12 @@ def near_vectors(
         # A block holds 256 members or so of one ball: large balls have more of them.
         blocks_of = members.groupBy("ball").agg(F.ceil(F.count("*") / 256).alias("parts"))
         inside = inside.join(blocks_of, "ball", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-        held = scratch.save(inside.groupBy("ball", "part").agg(F.collect_list(F.struct("id", "n", "vec")).alias("h")).select("ball", "h.id", "h.n", "h.vec"), "blocks")
+        held = scratch.save(
+            inside.groupBy("ball", "part").agg(
+                F.collect_list(F.struct("id", "n", "vec")).alias("h")
+            ).select("ball", "h.id", "h.n", "h.vec"),
+            "blocks"
+        )
         left, right = (held.select(F.col("ball").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "vec")]) for x in "ab")
         both = open_.join(left, "a").join(right, "b").select("a", "id_a", "n_a", "vec_a", "b", "id_b", "n_b", "vec_b")
         extra = scratch.save(map_rows(both, "id long, links long, a long, b long", _members_compared(least)), "members")
@@ -327,8 +358,13 @@ def near_vectors(
         extra = extra.where("id is not null").groupBy("id").agg(F.sum("links").alias("extra"))
 
     roots = scratch.save(components(scratch, edges), "roots")
-    of_ball = balls.select(F.col("id").alias("ball"), F.col("n").alias("all")).join(counts.withColumnRenamed("id", "ball"), "ball", "left").join(roots.withColumnRenamed("node", "ball"), "ball", "left")
-    of_ball = scratch.save(of_ball.select("ball", (F.col("all") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "ball").alias("root")), "counted")
+    of_ball = balls.select(F.col("id").alias("ball"), F.col("n").alias("all")).join(counts.withColumnRenamed("id", "ball"), "ball", "left").join(
+        roots.withColumnRenamed("node", "ball"), "ball", "left"
+    )
+    of_ball = scratch.save(
+        of_ball.select("ball", (F.col("all") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "ball").alias("root")),
+        "counted"
+    )
     classes = scratch.save(named.join(members.select("id", "ball"), "id", "left").select("id", "vec", "low", F.coalesce("ball", "id").alias("ball")), "placed")
     whole = lookup(scratch, classes, of_ball, "ball")
     if extra is not None:

@@ -88,7 +88,16 @@ def label_within(chain: Chain, masks: list, words: list, least: np.ndarray, most
     return [out[:k, i] for i, k in enumerate(n)]
 
 
-def train(prior: Chain, masks: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150, pull: float = 1.0, step: float = 0.1, pull_moves: float | None = None, start: Chain | None = None) -> Chain:
+def train(
+    prior: Chain,
+    masks: list[np.ndarray],
+    labels: list[np.ndarray],
+    rounds: int = 150,
+    pull: float = 1.0,
+    step: float = 0.1,
+    pull_moves: float | None = None,
+    start: Chain | None = None
+) -> Chain:
     """Maximum a posteriori weights: the sequences' log likelihood, with a Gaussian pull towards ``prior``.
 
     ``pull_moves`` is the pull of the label pairs' weights, ``start`` where the ascent begins. Full-batch gradient ascent

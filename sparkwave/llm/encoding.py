@@ -63,5 +63,7 @@ def round_trip(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id"
         return run
 
     return map_rows(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", make
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+        ), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", make
     )

@@ -22,7 +22,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-REMOVED = frozenset("script style noscript template nav footer aside button select textarea input label fieldset iframe object embed svg canvas audio video head title dialog menu".split())
+REMOVED = frozenset(
+    "script style noscript template nav footer aside button select textarea input label fieldset iframe object embed svg canvas audio video head title dialog menu".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = BLOCKS - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 #: An element that is implicitly closed by the start of another: which ones, and where the search for it ends.
@@ -66,7 +68,10 @@ def named_as(tag: str, attrs) -> int:
     """By class or id: 2 if a name has words of furniture alone, 1 if it has one among others (of a paragraph that is 0: share-price). A form: 2."""
     if tag == "form":
         return 2
-    found = [2 if FURNITURE.issuperset(words) else 1 for name, value in attrs if name in ("class", "id") and value for words in names_of(value) if FURNITURE.intersection(words)]
+    found = [
+        2 if FURNITURE.issuperset(words) else 1 for name,
+        value in attrs if name in ("class", "id") and value for words in names_of(value) if FURNITURE.intersection(words)
+    ]
     most = max(found, default=0)
     return 0 if most == 1 and tag in PARAGRAPHS else most
 
@@ -346,5 +351,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return run
 
     return map_rows(
-        pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), f"page_id {dict(pages.dtypes)[id_col]}, url string, text string, n_chars long", make
+        pages.select(
+            F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
+        ), f"page_id {dict(pages.dtypes)[id_col]}, url string, text string, n_chars long", make
     )

@@ -36,7 +36,9 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int, host_col: str,
     each = page.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: bare(x) != ""), line_key))).alias("line"))
     on = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     total = page.groupBy("host").agg(F.count("*").alias("pages"))
-    return on.alias("o").join(total.alias("t"), F.col("o.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("o.host", "line")
+    return on.alias("o").join(
+        total.alias("t"), F.col("o.host").eqNullSafe(F.col("t.host"))
+    ).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("o.host", "line")
 
 
 def drop_boilerplate(
@@ -69,5 +71,7 @@ def drop_boilerplate(
     n = F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), lines)), F.lit(0))
     left = F.when(F.col(bad).isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept))
     return joined.select(
-        *[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in pages.columns], F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n - left, F.lit(0)).cast("long").alias("n_dropped")
+        *[
+            (text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in pages.columns
+        ], F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n - left, F.lit(0)).cast("long").alias("n_dropped")
     )

@@ -126,7 +126,11 @@ def _closed(scratch: Scratch, once: DataFrame, size: int, open_bins: int, ahead:
     if not tokens:
         return once
     at = once.columns.index("length")
-    again = map_rows(open_.repartition(-(-tokens // TASK_TOKENS)), once.schema, lambda: lambda rows: _pass(size, open_bins, ahead, at, True)()(r[:-2] for r in rows))
+    again = map_rows(
+        open_.repartition(-(-tokens // TASK_TOKENS)),
+        once.schema,
+        lambda: lambda rows: _pass(size, open_bins, ahead, at, True)()(r[:-2] for r in rows)
+    )
     return once.where("sequence_id is not null").unionByName(again)
 
 

@@ -139,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: i
     The sample: labelled ids with the lowest hashes. Labels that are null or an id with both labels are left out; an id
     with several texts gives one run.
     """
-    one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r")
+    one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
+        F.min("quality").alias("q"), F.max("quality").alias("r")
+    ).where("q = r")
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text")
     runs = map_rows(texts, f"doc_id {dict(texts.dtypes)['doc_id']}, q int, masks array<int>, sizes array<int>", _runs(most_lines))
@@ -163,7 +165,9 @@ def judge(docs: DataFrame, chain: Chain = PRIOR, least_share: float = 0.5, id_co
                 label = chain.viterbi(masks)
                 share = sum(s for s, y in zip(sizes, label) if y) / n if n else 0.0
                 failed = n < 10 or 100 * repeat > 20 * n
-                yield i, n, chars, symbols, dup, repeat, failed, len(masks), sum(label), share, not failed and sum(s for s, y in zip(sizes, label) if y) >= least_share * n
+                yield i, n, chars, symbols, dup, repeat, failed, len(masks), sum(label), share, not failed and sum(
+                    s for s, y in zip(sizes, label) if y
+                ) >= least_share * n
 
         return run
 
@@ -198,4 +202,8 @@ def label_lines(docs: DataFrame, chain: Chain = PRIOR, id_col: str = "doc_id", t
 
         return run
 
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, line long, is_content boolean", make)
+    return map_rows(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+        f"doc_id {dict(docs.dtypes)[id_col]}, line long, is_content boolean",
+        make
+    )

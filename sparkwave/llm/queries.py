@@ -57,7 +57,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op1: the figures that its base rules go by."""
-    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
 
 
 def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,10 @@ BASE = [
 ]
 KINDS = [k for k, *_ in BASE] + ["novel"]
 # Words that make what follows sensitive.
-CONTEXT = re.compile(r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|auth[_-]?key|signing[_-]?key|client[_-]?secret)", re.ASCII)
+CONTEXT = re.compile(
+    r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|auth[_-]?key|signing[_-]?key|client[_-]?secret)",
+    re.ASCII
+)
 #: The least length of a candidate.
 LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST},}}")
@@ -76,7 +79,10 @@ def marginal(candidate: str, around: str) -> int:
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the base patterns, leftmost and non-overlapping per kind."""
-    return [(m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    return [
+        (m.start(), k, m.end()) for k,
+        (_, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least
+    ]
 
 
 def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:

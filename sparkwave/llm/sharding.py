@@ -78,7 +78,9 @@ def shuffled_shards(
     rows = rows.withColumn("_spread", spread)
     number = F.col("_shard") * F.lit(per_shard).cast("long") + F.pmod(F.xxhash64(F.lit(seed + 2), "_hash", "_spread"), F.lit(per_shard))
     rows = rows.withColumn("_number", number).withColumn("_task", F.expr(f"cast(_number * {tasks} div {buckets} as int)"))
-    dealt = rows.join(F.broadcast(dealing(spark, tasks)), "_task").select("_deal", "_shard", "_number", "_hash", "_spread", F.struct("_record", "_grown").alias("_row"))
+    dealt = rows.join(F.broadcast(dealing(spark, tasks)), "_task").select(
+        "_deal", "_shard", "_number", "_hash", "_spread", F.struct("_record", "_grown").alias("_row")
+    )
     ordered = dealt.repartition(tasks, "_deal").sortWithinPartitions("_deal", "_shard", "_number", "_hash", "_spread")
     path, by_sort = scratch.path("shards"), "spark.sql.execution.replaceHashWithSortAgg"
     was = spark.conf.get(by_sort)
@@ -93,9 +95,20 @@ def shuffled_shards(
         )
     finally:
         spark.conf.set(by_sort, was)
-    fields = [StructField("_shard", IntegerType()), StructField("_number", LongType()), StructField("_at", IntegerType()), StructField("_grown", IntegerType()), StructField("_record", docs.schema)]
+    fields = [
+        StructField("_shard", IntegerType()),
+        StructField("_number", LongType()),
+        StructField("_at", IntegerType()),
+        StructField("_grown", IntegerType()),
+        StructField("_record", docs.schema)
+    ]
     written = spark.read.schema(StructType(fields)).parquet(path)
     counts = written.groupBy("_shard", "_number").count()
     before = counts.select("_number", (F.sum("count").over(Window.partitionBy("_shard").orderBy("_number")) - F.col("count")).alias("_before"))
     placed = written.join(side(before, buckets), "_number")
-    return placed.select(*[F.col(f"_record.{c}") for c in names], F.col("_shard").alias("shard"), (F.col("_before") + F.col("_at")).cast("long").alias("slot"), F.col("_grown").alias("grown_shard"))
+    return placed.select(
+        *[F.col(f"_record.{c}") for c in names],
+        F.col("_shard").alias("shard"),
+        (F.col("_before") + F.col("_at")).cast("long").alias("slot"),
+        F.col("_grown").alias("grown_shard")
+    )

@@ -122,7 +122,12 @@ def links(scratch: Scratch, fps: DataFrame, most_bits: int = 4, blocks: int = 6,
         keyed = keyed.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
         # A group of 2^16 can't be split on: it fits.
         splits = [m for m in masks if 64 - m.bit_count() > 16]
-        hot = scratch.save(keyed.groupBy("mask", "value").count().where(F.col("count") > group_limit).where(F.col("mask").isin([signed(m) for m in splits])).select("mask", "value"), "hot")
+        hot = scratch.save(
+            keyed.groupBy("mask", "value").count().where(F.col("count") > group_limit).where(
+                F.col("mask").isin([signed(m) for m in splits])
+            ).select("mask", "value"),
+            "hot"
+        )
         any_hot = not hot.isEmpty()
         calm = keyed.join(hot, ["mask", "value"], "left_anti") if any_hot else keyed
         found = map_rows(calm.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp"), "a long, b long", _links(most_bits))
@@ -143,7 +148,15 @@ def placed_fingerprints(scratch: Scratch, fps: DataFrame, most_bits: int, blocks
     return scratch.save(low.join(roots, low.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "placed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most_bits: int = 4, blocks: int = 6, group_limit: int = 50_000) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    most_bits: int = 4,
+    blocks: int = 6,
+    group_limit: int = 50_000
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), fp (long), component_id.
 
     component_id is the smallest doc_id reachable over links of at most ``most_bits`` differing bits, its own
@@ -182,7 +195,9 @@ def retain_one(
     fp, low, best_fp = fresh(docs, "_fp", "_id", "_best")
     fps = scratch.save(fingerprints(docs, id_col, text_col, words), "fingerprints")
     placed = placed_fingerprints(scratch, fps, most_bits, blocks, group_limit)
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("best")).select(F.col("best.low").alias(low), F.col("best.fp").alias(best_fp))
+    best = placed.groupBy("root").agg(
+        F.min(F.struct(F.col("low").isNull(), "low", "fp")).alias("best")
+    ).select(F.col("best.low").alias(low), F.col("best.fp").alias(best_fp))
     chosen = scratch.save(best, "chosen")
     # An id on several rows (or null) doesn't tell which row was meant; any other does.
     ids = fps.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", low)
