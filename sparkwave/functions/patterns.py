@@ -56,7 +56,9 @@ class Pattern:
         if self.kind == "sinusoidal":
             return F.lit(p["baseline"]) + F.lit(p["amplitude"]) * wave(p["frequency"])
         if self.kind == "ramp":
-            return F.when(t >= p["duration"], F.lit(p["end_level"])).otherwise(F.lit(p["start_level"]) + F.lit((p["end_level"] - p["start_level"]) / p["duration"]) * t)
+            return F.when(t >= p["duration"], F.lit(p["end_level"])).otherwise(
+                F.lit(p["start_level"]) + F.lit((p["end_level"] - p["start_level"]) / p["duration"]) * t
+            )
         if self.kind == "burst":
             return F.when(t % F.lit(p["on_time"] + p["off_time"]) < p["on_time"], F.lit(p["amplitude"])).otherwise(F.lit(0.0))
         if self.kind == "fatigue":

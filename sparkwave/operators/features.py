@@ -28,14 +28,20 @@ def _aggregates() -> dict[str, Column]:
     count = lambda c: F.count(F.when(c, 1))
     enough = F.count("*") >= 2
     return {
-        "mean": F.avg(x), "rms": F.sqrt(F.avg(x * x)), "mav": F.avg(F.abs(x)), "zero_crossings": count(crossed), "waveform_length": F.coalesce(F.sum(F.when(at >= 1, F.abs(x - F.col("_x1")))), F.lit(0.0)),
+        "mean": F.avg(x), "rms": F.sqrt(F.avg(x * x)), "mav": F.avg(F.abs(x)), "zero_crossings": count(crossed), "waveform_length": F.coalesce(
+            F.sum(F.when(at >= 1, F.abs(x - F.col("_x1")))), F.lit(0.0)
+        ),
         "slope_sign_changes": count(turned), "variance": F.var_pop(x), "std_dev": F.stddev_pop(x), "min_value": F.min(x), "max_value": F.max(x), "peak_to_peak": F.max(x) - F.min(x),
-        "skewness": F.when(enough, F.coalesce(F.skewness(x), F.lit(0.0))).otherwise(0.0), "kurtosis": F.when(enough, F.coalesce(F.kurtosis(x), F.lit(0.0))).otherwise(0.0),
+        "skewness": F.when(
+            enough, F.coalesce(F.skewness(x), F.lit(0.0))
+        ).otherwise(0.0), "kurtosis": F.when(enough, F.coalesce(F.kurtosis(x), F.lit(0.0))).otherwise(0.0),
         "energy": F.when(enough, F.sum(x * x)).otherwise(0.0), "power": F.when(enough, F.avg(x * x)).otherwise(0.0),
     }
 
 
-def features(samples: DataFrame, size: int, overlap: float = 0.5, rate: float = 1000.0, enabled: list[str] | None = None, bands=spectrum.EMG_BANDS) -> DataFrame:
+def features(
+    samples: DataFrame, size: int, overlap: float = 0.5, rate: float = 1000.0, enabled: list[str] | None = None, bands=spectrum.EMG_BANDS
+) -> DataFrame:
     """One row for each full window: signal_id, channel, k, start_sample, end_sample, window_size, sampling_rate and the features.
 
     ``enabled`` names the features to compute, all by default; what isn't asked for isn't computed. Null samples are
@@ -56,7 +62,9 @@ def features(samples: DataFrame, size: int, overlap: float = 0.5, rate: float =
     aggregates = {n: c for n, c in _aggregates().items() if n in names}
     if wide:
         aggregates["_window"] = windows.ordered()
-    out = windows.members(rows, hop).groupBy(*windows.KEY).agg(F.count("*").alias("window_size"), *[c.alias(n) for n, c in aggregates.items()]).where(F.col("window_size") == size)
+    out = windows.members(rows, hop).groupBy(*windows.KEY).agg(
+        F.count("*").alias("window_size"), *[c.alias(n) for n, c in aggregates.items()]
+    ).where(F.col("window_size") == size)
     if wide:
         out = out.withColumn("_spectral", spectrum.spectral_struct("_window", rate, bands, described))
     start = F.col("k") * hop

@@ -179,7 +179,14 @@ def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataF
             n = np.diff(b.column("x").offsets.to_numpy())
             e = system.run(x, n, np.zeros((len(x), system.size)))[1]
             yield pa.RecordBatch.from_arrays(
-                [b.column("signal_id"), b.column("channel"), b.column("block"), pa.array(block // GROUP), pa.array(n, pa.int64()), pa.array(list(e), pa.list_(pa.float64()))],
+                [
+                    b.column("signal_id"),
+                    b.column("channel"),
+                    b.column("block"),
+                    pa.array(block // GROUP),
+                    pa.array(n, pa.int64()),
+                    pa.array(list(e), pa.list_(pa.float64()))
+                ],
                 names=["signal_id", "channel", "block", "g", "n", "e"],
             )
 
@@ -207,12 +214,16 @@ def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataF
 
     small = _fields(*key, ("block", LONG), ("g", LONG), ("n", LONG), ("e", FLOATS))
     folded = _fields(*key, ("block", LONG), ("s", FLOATS), ("g", LONG), ("n", LONG), ("all", LONG), ("e", FLOATS))
-    first = blocks.select("signal_id", "channel", "block", "x").mapInArrow(ends, small).groupBy("signal_id", "channel", "g").applyInPandas(fold("block", True), folded)
+    first = blocks.select(
+        "signal_id", "channel", "block", "x"
+    ).mapInArrow(ends, small).groupBy("signal_id", "channel", "g").applyInPandas(fold("block", True), folded)
     groups = first.where("e is not null").select("signal_id", "channel", "g", F.col("all").alias("n"), "e")
     if ending:
         groups = groups.join(start.select("signal_id", "channel", "state"), ["signal_id", "channel"], "left")
     second = groups.groupBy("signal_id", "channel").applyInPandas(fold("g", False), _fields(*key, ("g", LONG), ("s", FLOATS)))
-    states = first.select("signal_id", "channel", "block", "g", "s", F.col("n").alias("seen")).join(second.withColumnRenamed("s", "gs"), ["signal_id", "channel", "g"])
+    states = first.select(
+        "signal_id", "channel", "block", "g", "s", F.col("n").alias("seen")
+    ).join(second.withColumnRenamed("s", "gs"), ["signal_id", "channel", "g"])
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,7 +243,12 @@ def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataF
     done = blocks.join(states, ["signal_id", "channel", "block"]).select("signal_id", "channel", "idx", "x", "more", "s", "gs", "seen")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     filtered = done.mapInArrow(outputs, _fields(*key, ("idx", ArrayType(LONG)), ("more", kept), ("y", FLOATS), *([("state", FLOATS)] if ending else [])))
-    each = filtered.select("signal_id", "channel", *([F.size("y").alias("_n"), "state"] if ending else []), F.posexplode(F.arrays_zip("idx", "y", "more")).alias("_at", "v"))
+    each = filtered.select(
+        "signal_id",
+        "channel",
+        *([F.size("y").alias("_n"), "state"] if ending else []),
+        F.posexplode(F.arrays_zip("idx", "y", "more")).alias("_at", "v")
+    )
     state = [F.when(F.col("_at") == F.col("_n") - 1, F.col("state")).alias("state")] if ending else []
     others = [F.col(f"v.more.c{i}").alias(c) for i, c in enumerate(extra)]
     return each.select("signal_id", "channel", F.col("v.idx").alias("idx"), (F.col("v.idx") / F.lit(rate)).alias("t"), F.col("v.y").alias("x"), *others, *state)

@@ -63,7 +63,9 @@ def chunk_stats(samples: DataFrame, turns: int = 100) -> DataFrame:
 
 def buffer_stats(samples: DataFrame, turns: int = 100, rate: float = 1000.0) -> DataFrame:
     """What a buffer of chunks holds: chunks, samples and seconds of each signal."""
-    per = samples.groupBy("signal_id", F.expr(f"idx div {int(turns)}").alias("chunk_seq")).agg(F.count("*").alias("n"), (F.count_distinct("idx") / F.lit(rate)).alias("s"))
+    per = samples.groupBy("signal_id", F.expr(f"idx div {int(turns)}").alias("chunk_seq")).agg(
+        F.count("*").alias("n"), (F.count_distinct("idx") / F.lit(rate)).alias("s")
+    )
     return per.groupBy("signal_id").agg(F.count("*").alias("chunks"), F.sum("n").alias("samples"), F.sum("s").alias("duration"))
 
 
@@ -120,7 +122,12 @@ def clamp(samples: DataFrame, low: float = -5.0, high: float = 5.0) -> DataFrame
 def lengths(samples: DataFrame, rate: float = 1000.0) -> DataFrame:
     """Of each signal: channels, samples, samples of its longest channel and their duration."""
     per = samples.groupBy(*KEY).agg(F.count("*").alias("n"))
-    return per.groupBy("signal_id").agg(F.count("*").alias("channels"), F.sum("n").alias("samples"), F.max("n").alias("samples_per_channel"), (F.max("n") / F.lit(rate)).alias("duration"))
+    return per.groupBy("signal_id").agg(
+        F.count("*").alias("channels"),
+        F.sum("n").alias("samples"),
+        F.max("n").alias("samples_per_channel"),
+        (F.max("n") / F.lit(rate)).alias("duration")
+    )
 
 
 def violations(samples: DataFrame, channels: int = 16) -> DataFrame:
@@ -140,7 +147,13 @@ def expected_samples(chunks: DataFrame) -> DataFrame:
     expected = F.floor(F.col("duration") * F.col("sampling_rate") + F.lit(1e-6)) * F.col("channel_count")
     actual = F.coalesce(F.size(F.when(F.col("data").isNotNull(), F.col("data"))), F.lit(0)).cast("long")
     valid = F.coalesce(F.col("channel_count").between(1, 16), F.lit(False))
-    rows = chunks.select("signal_id", "chunk_seq", expected.cast("long").alias("expected"), F.greatest(actual, F.lit(0)).alias("actual"), valid.alias("channels_valid"))
+    rows = chunks.select(
+        "signal_id",
+        "chunk_seq",
+        expected.cast("long").alias("expected"),
+        F.greatest(actual, F.lit(0)).alias("actual"),
+        valid.alias("channels_valid")
+    )
     return rows.where(~F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)) | ~F.col("channels_valid"))
 
 

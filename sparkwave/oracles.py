@@ -35,7 +35,9 @@ def designed(kind: str, frequency: float, q_factor: float = 0.0, rate: float = 1
 
 #: The queries whose sections SQL designs itself.
 DESIGNS = {
-    "highpass_20": [("highpass", 20.0)], "highpass_10": [("highpass", 10.0)], "lowpass_450": [("lowpass", 450.0)], "bandpass_20_450": [("highpass", 20.0), ("lowpass", 450.0)],
+    "highpass_20": [("highpass", 20.0)], "highpass_10": [("highpass", 10.0)], "lowpass_450": [("lowpass", 450.0)], "bandpass_20_450": [
+        ("highpass", 20.0), ("lowpass", 450.0)
+    ],
     "notch_50_q10": [("notch", 50.0, 10.0)], "notch_50_q30": [("notch", 50.0, 30.0)], "notch_60_q50": [("notch", 60.0, 50.0)],
 }
 
@@ -115,7 +117,16 @@ def rounded(names, digits=q.LARGE) -> str:
 
 SHAPE = f"channel, k, k * {q.SIZE // 2} AS start_sample, k * {q.SIZE // 2} + {q.SIZE} AS end_sample, {q.SIZE}::BIGINT AS window_size, 1000.0::DOUBLE AS sampling_rate"
 TIME_NAMES = ["mean", "rms", "mav", "waveform_length", "variance", "std_dev", "min_value", "max_value", "peak_to_peak"]
-SPECTRAL_NAMES = ["mean_frequency", "median_frequency", "peak_frequency", "spectral_centroid", "spectral_spread", "spectral_entropy", "total_power", "peak_magnitude"]
+SPECTRAL_NAMES = [
+    "mean_frequency",
+    "median_frequency",
+    "peak_frequency",
+    "spectral_centroid",
+    "spectral_spread",
+    "spectral_entropy",
+    "total_power",
+    "peak_magnitude"
+]
 
 
 def activation(p: Pattern, t: str) -> str:
@@ -143,9 +154,15 @@ def literal_rows(rows, names: str) -> str:
 
 
 def config(known) -> list[str]:
-    processors = [(p.name, n, "features" if x.kind == "features" else "filter", x.params.get("order"), x.params.get("size")) for p in known for n, x in p.processors.items()]
+    processors = [
+        (p.name, n, "features" if x.kind == "features" else "filter", x.params.get("order"), x.params.get("size")) for p in known for n,
+        x in p.processors.items()
+    ]
     chains = [(p.name, c, i, n) for p in known for c, chain in p.pipelines.items() for i, n in enumerate(chain.processors)]
-    return [f"pr AS (SELECT * FROM {literal_rows(processors, 'profile, processor, kind, ord, size')})", f"ch AS (SELECT * FROM {literal_rows(chains, 'profile, pipeline, position, processor')})"]
+    return [
+        f"pr AS (SELECT * FROM {literal_rows(processors, 'profile, processor, kind, ord, size')})",
+        f"ch AS (SELECT * FROM {literal_rows(chains, 'profile, pipeline, position, processor')})"
+    ]
 
 
 def plain(select: str) -> str:
@@ -158,26 +175,52 @@ def of_sections(sections, select: str = "") -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    dft = ["full_v AS (SELECT vec_id AS k, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL)", *spectra("full_v", "k")]
+    dft = [
+        "full_v AS (SELECT vec_id AS k, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL)",
+        *spectra("full_v", "k")
+    ]
     first = with_([SAMPLES, *windowed("samples")], "{}")
     realtime, last = recursion(q.PIPELINES["pipeline_realtime"].sections(q.RATE))
     out = {
         "deinterleave": f"SELECT (i % 4)::INT AS channel, chunk_seq * 16 + i // 4 AS idx, {r('x', 'x')} FROM (SELECT vec_id AS chunk_seq, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)",
         "reinterleave": f"SELECT vec_id AS chunk_seq, 4 AS channel_count, 64::BIGINT AS n, {r('embedding[6]::DOUBLE', 'sixth')}, {r('w', 'weighted')} FROM embeddings JOIN (SELECT vec_id, sum(x * (i + 1)) AS w FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1) USING (vec_id)",
-        "channel_stats": plain(f"SELECT channel, count(*) AS n, {r('avg(x)', 'mean')}, {r('sqrt(avg(x * x))', 'rms')}, {r('stddev_pop(x)', 'std_dev')}, {r('min(x)', 'min_value')}, {r('max(x)', 'max_value')}, {r('max(x) - min(x)', 'peak_to_peak')} FROM samples GROUP BY 1"),
-        "time_slice": plain(f"SELECT channel, idx - 100 AS idx, {r('(idx - 100) / 1000.0::DOUBLE', 't')}, {r('x', 'x')} FROM samples WHERE idx >= 100 AND idx < 350"),
+        "channel_stats": plain(
+            f"SELECT channel, count(*) AS n, {r('avg(x)', 'mean')}, {r('sqrt(avg(x * x))', 'rms')}, {r('stddev_pop(x)', 'std_dev')}, {r('min(x)', 'min_value')}, {r('max(x)', 'max_value')}, {r('max(x) - min(x)', 'peak_to_peak')} FROM samples GROUP BY 1"
+        ),
+        "time_slice": plain(
+            f"SELECT channel, idx - 100 AS idx, {r('(idx - 100) / 1000.0::DOUBLE', 't')}, {r('x', 'x')} FROM samples WHERE idx >= 100 AND idx < 350"
+        ),
         "time_vector": plain(f"SELECT channel, idx, {r('idx / 1000.0::DOUBLE', 't')} FROM samples"),
-        "recent_window": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 3.0::DOUBLE"),
+        "recent_window": plain(
+            f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 3.0::DOUBLE"
+        ),
         "plot_columns": plain(f"SELECT idx, {', '.join(r(f'max(x) FILTER (channel = {c})', f'ch{c}') for c in range(16))} FROM samples GROUP BY 1"),
         "median_filter_5": plain(f"SELECT channel, idx, {r('median(x) OVER (PARTITION BY channel ORDER BY idx ROWS 4 PRECEDING)', 'y')} FROM samples"),
-        "raw_vs_processed": of_sections(q.SECTIONS["highpass_20"], f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'x')} FROM samples s JOIN {{last}} f USING (channel, idx)"),
-        "sliding_windows_64": first.format(f"SELECT channel, k, k * 32 AS start_sample, count(*) AS n, {r('sum(x)', 'sum')}, {r('max(x) FILTER (j = 0)', 'first')}, {r('max(x) FILTER (j = 63)', 'last')} FROM full_w GROUP BY 1, 2"),
-        "time_features": with_([SAMPLES, *windowed("samples"), TIME], f"SELECT {SHAPE}, zero_crossings, slope_sign_changes, {rounded(TIME_NAMES, q.EXACT)} FROM tf"),
-        "stat_features": with_([SAMPLES, *windowed("samples"), STATISTICS], f"SELECT {SHAPE}, {rounded(['skewness', 'kurtosis', 'entropy', 'energy', 'power'], q.EXACT)} FROM sf"),
+        "raw_vs_processed": of_sections(
+            q.SECTIONS["highpass_20"],
+            f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'x')} FROM samples s JOIN {{last}} f USING (channel, idx)"
+        ),
+        "sliding_windows_64": first.format(
+            f"SELECT channel, k, k * 32 AS start_sample, count(*) AS n, {r('sum(x)', 'sum')}, {r('max(x) FILTER (j = 0)', 'first')}, {r('max(x) FILTER (j = 63)', 'last')} FROM full_w GROUP BY 1, 2"
+        ),
+        "time_features": with_(
+            [SAMPLES, *windowed("samples"), TIME],
+            f"SELECT {SHAPE}, zero_crossings, slope_sign_changes, {rounded(TIME_NAMES, q.EXACT)} FROM tf"
+        ),
+        "stat_features": with_(
+            [SAMPLES, *windowed("samples"), STATISTICS],
+            f"SELECT {SHAPE}, {rounded(['skewness', 'kurtosis', 'entropy', 'energy', 'power'], q.EXACT)} FROM sf"
+        ),
         "spectrum_64": with_(dft, f"SELECT k, bin, {r('f', 'freq')}, {r('p', 'p')} FROM sp"),
         "spectral_features": with_(dft, f"SELECT k, {rounded([*SPECTRAL_NAMES, 'spectral_edge_95'], {})} FROM qf"),
-        "band_powers": with_([SAMPLES, *windowed("samples"), *spectra("full_w", "channel, k")], f"SELECT channel, k, {rounded(['low', 'mid', 'high'])} FROM qf"),
-        "feature_summary": with_([SAMPLES, *windowed("samples"), TIME, *spectra("full_w", "channel, k")], f"SELECT channel, k, 64::BIGINT AS window_size, zero_crossings, {rounded(['rms', 'mav', 'mean_frequency', 'spectral_centroid', 'total_power'], q.LARGE | q.EXACT)} FROM tf JOIN qf USING (channel, k)"),
+        "band_powers": with_(
+            [SAMPLES, *windowed("samples"), *spectra("full_w", "channel, k")],
+            f"SELECT channel, k, {rounded(['low', 'mid', 'high'])} FROM qf"
+        ),
+        "feature_summary": with_(
+            [SAMPLES, *windowed("samples"), TIME, *spectra("full_w", "channel, k")],
+            f"SELECT channel, k, 64::BIGINT AS window_size, zero_crossings, {rounded(['rms', 'mav', 'mean_frequency', 'spectral_centroid', 'total_power'], q.LARGE | q.EXACT)} FROM tf JOIN qf USING (channel, k)"
+        ),
         "emg_features": with_(
             [SAMPLES, *realtime, *windowed(last), TIME, STATISTICS, *spectra("full_w", "channel, k")],
             f"SELECT {SHAPE}, zero_crossings, slope_sign_changes, {rounded([*TIME_NAMES, *SPECTRAL_NAMES, 'low', 'mid', 'high', 'skewness', 'kurtosis', 'entropy', 'energy', 'power'])} FROM tf JOIN qf USING (channel, k) JOIN sf USING (channel, k)",
@@ -185,23 +228,44 @@ def oracle_sql() -> dict[str, str]:
         "pattern_presets": "\nUNION ALL ".join(
             f"SELECT '{n}' AS name, '{p.kind}' AS kind, '{KINDS[p.kind][0]}' AS description, {r('greatest(0.0, least(1.0, avg(' + activation(p, 'i * 10.0 / 100') + ')))', 'mean_activation')} FROM range(100) a(i)" for n, p in PRESETS.items()
         ),
-        "activation_patterns": "\nUNION ALL ".join(f"SELECT {r('t', 't')}, '{n}' AS name, {r('(' + activation(p, 't') + ')::DOUBLE', 'activation')} FROM (SELECT i / 10.0::DOUBLE + 0.05::DOUBLE AS t FROM range(200) a(i))" for n, p in PRESETS.items()),
+        "activation_patterns": "\nUNION ALL ".join(
+            f"SELECT {r('t', 't')}, '{n}' AS name, {r('(' + activation(p, 't') + ')::DOUBLE', 'activation')} FROM (SELECT i / 10.0::DOUBLE + 0.05::DOUBLE AS t FROM range(200) a(i))" for n,
+            p in PRESETS.items()
+        ),
         "simulate_clean": emg(False),
         "simulate_powerline": emg(True),
         "simulate_metadata": f"SELECT 'emg' AS signal_id, 'surface' AS kind, 'Biceps' AS muscle_group, {r('avg(' + activation(q.CLEAN.pattern, 'i * 2.0 / 100') + ')', 'activation_level')}, 1000.0::DOUBLE AS sampling_rate, 4 AS channel_count, 2.0::DOUBLE AS duration, 0.0::DOUBLE AS noise_level, 8000::BIGINT AS expected_samples FROM range(100) a(i)",
-        "chunk_stats": plain(f"SELECT idx // 100 AS chunk_seq, count(DISTINCT channel) AS channels, count(*) AS samples, {r('avg(x)', 'mean', 8)}, {r('sqrt(avg(x * x))', 'rms')} FROM samples GROUP BY 1"),
-        "buffer_stats": plain(f"SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')} FROM samples"),
-        "chunk_start_times": plain(f"SELECT idx // 100 AS chunk_seq, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')}, {r('min(idx) / 1000.0::DOUBLE', 'start_time')} FROM samples GROUP BY 1"),
+        "chunk_stats": plain(
+            f"SELECT idx // 100 AS chunk_seq, count(DISTINCT channel) AS channels, count(*) AS samples, {r('avg(x)', 'mean', 8)}, {r('sqrt(avg(x * x))', 'rms')} FROM samples GROUP BY 1"
+        ),
+        "buffer_stats": plain(
+            f"SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')} FROM samples"
+        ),
+        "chunk_start_times": plain(
+            f"SELECT idx // 100 AS chunk_seq, {r('count(DISTINCT idx) / 1000.0::DOUBLE', 'duration')}, {r('min(idx) / 1000.0::DOUBLE', 'start_time')} FROM samples GROUP BY 1"
+        ),
         "processing_stats": plain("SELECT count(DISTINCT idx // 100) AS chunks, count(*) AS samples, 1.0::DOUBLE AS success_rate FROM samples"),
-        "signal_lengths": plain(f"SELECT count(*) AS channels, sum(n)::BIGINT AS samples, max(n) AS samples_per_channel, {r('max(n) / 1000.0::DOUBLE', 'duration')} FROM (SELECT channel, count(*) AS n FROM samples GROUP BY 1)"),
+        "signal_lengths": plain(
+            f"SELECT count(*) AS channels, sum(n)::BIGINT AS samples, max(n) AS samples_per_channel, {r('max(n) / 1000.0::DOUBLE', 'duration')} FROM (SELECT channel, count(*) AS n FROM samples GROUP BY 1)"
+        ),
         "sample_violations": "SELECT (user_id % 20)::INT AS channel, count(*) AS n, count(DISTINCT event_id) AS distinct, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1 HAVING NOT (count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AND (any_value(user_id) % 20) BETWEEN 0 AND 15)",
         "latest_chunk": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 = (SELECT max(idx) // 100 FROM samples)"),
         "buffer_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 > (SELECT max(idx) // 100 FROM samples) - 100"),
         "plot_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples QUALIFY row_number() OVER (PARTITION BY channel ORDER BY idx DESC) <= 3000"),
-        "config_latency": with_(config([p() for n, p in profiles.PROFILES.items() if n != "custom"]), f"SELECT profile, pipeline, {r('sum(CASE kind WHEN $$filter$$ THEN coalesce(ord, 2) * 0.1::DOUBLE ELSE coalesce(size, 256) / 1000.0::DOUBLE END)', 'latency')}, count(*) AS stages FROM ch JOIN pr USING (profile, processor) GROUP BY 1, 2"),
-        "config_unknown_processors": with_(config([profiles.realtime().chain("broken", ["rt_highpass", "missing"]), profiles.research()]), "SELECT profile, pipeline, position, processor FROM ch ANTI JOIN pr USING (profile, processor)"),
+        "config_latency": with_(
+            config([p() for n, p in profiles.PROFILES.items() if n != "custom"]),
+            f"SELECT profile, pipeline, {r('sum(CASE kind WHEN $$filter$$ THEN coalesce(ord, 2) * 0.1::DOUBLE ELSE coalesce(size, 256) / 1000.0::DOUBLE END)', 'latency')}, count(*) AS stages FROM ch JOIN pr USING (profile, processor) GROUP BY 1, 2"
+        ),
+        "config_unknown_processors": with_(
+            config([profiles.realtime().chain("broken", ["rt_highpass", "missing"]), profiles.research()]),
+            "SELECT profile, pipeline, position, processor FROM ch ANTI JOIN pr USING (profile, processor)"
+        ),
     }
-    out |= {f"moving_average_{n}": plain(f"SELECT channel, idx, {r(f'avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y', 6)} FROM samples") for n in (3, 10)}
+    out |= {
+        f"moving_average_{n}": plain(
+            f"SELECT channel, idx, {r(f'avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y', 6)} FROM samples"
+        ) for n in (3, 10)
+    }
     out |= {n: of_sections(DESIGNS.get(n, s)) for n, s in q.SECTIONS.items()}
     both = f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'y')} FROM samples s JOIN {{last}} f USING (channel, idx)"
     out |= {n: of_sections(p.sections(q.RATE), both) for n, p in q.PIPELINES.items() if n != "pipeline_profile_realtime"}
@@ -215,8 +279,12 @@ def oracle_sql() -> dict[str, str]:
     out["one_channel"] = plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE channel = 3")
     out["clamped"] = plain(f"SELECT channel, idx, {r('greatest(20.0, least(60.0, x))::DOUBLE', 'x')} FROM samples")
     none = ", ".join(f"0.0::DOUBLE AS {n}" for n in ("variance", "waveform_length", *q.features.STATISTICS))
-    out["windows_of_one"] = plain(f"SELECT channel, idx AS k, idx AS start_sample, idx + 1 AS end_sample, 1::BIGINT AS window_size, 1000.0::DOUBLE AS sampling_rate, 0::BIGINT AS zero_crossings, {r('x', 'mean')}, {none} FROM samples")
-    out["signal_quality"] = plain(f"SELECT channel, count(*) AS n, {r('CASE WHEN channel = 2 THEN least(30, count(*)) / count(*) ELSE 1.0::DOUBLE END', 'quality')} FROM samples GROUP BY 1")
+    out["windows_of_one"] = plain(
+        f"SELECT channel, idx AS k, idx AS start_sample, idx + 1 AS end_sample, 1::BIGINT AS window_size, 1000.0::DOUBLE AS sampling_rate, 0::BIGINT AS zero_crossings, {r('x', 'mean')}, {none} FROM samples"
+    )
+    out["signal_quality"] = plain(
+        f"SELECT channel, count(*) AS n, {r('CASE WHEN channel = 2 THEN least(30, count(*)) / count(*) ELSE 1.0::DOUBLE END', 'quality')} FROM samples GROUP BY 1"
+    )
     out["expected_samples"] = "SELECT vec_id AS chunk_seq, 68::BIGINT AS expected, 64::BIGINT AS actual, true AS channels_valid FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 10 = 0"
     high, end = recursion(q.SECTIONS["highpass_20"])
     smooth = f"sm AS (SELECT channel, idx, avg(abs(x)) OVER (PARTITION BY channel ORDER BY idx ROWS 9 PRECEDING) AS x FROM {end})"

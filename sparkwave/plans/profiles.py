@@ -157,7 +157,9 @@ def realtime() -> Profile:
 def research() -> Profile:
     out = Profile("Research EMG", 50.0, 1024, True, "strict")
     out.add("research_highpass", "highpass", cutoff=10.0, order=6).add("research_lowpass", "lowpass", cutoff=450.0, order=6)
-    out.add("research_notch_50", "notch", frequency=50.0, q=50.0).add("research_notch_60", "notch", frequency=60.0, q=50.0).add("research_features", "features", size=512, overlap=0.75)
+    out.add("research_notch_50", "notch", frequency=50.0, q=50.0).add("research_notch_60", "notch", frequency=60.0, q=50.0).add(
+        "research_features", "features", size=512, overlap=0.75
+    )
     return out.chain("research", list(out.processors))
 
 
@@ -177,7 +179,11 @@ def for_profile(name: str) -> Profile:
 
 def tables(spark: SparkSession, profiles: list[Profile]) -> tuple[DataFrame, DataFrame]:
     """(processors, chains) of profiles as tables: a few rows each."""
-    processors = [(p.name, x.name, "features" if x.kind == "features" else "filter", as_int(x.params.get("order")), as_int(x.params.get("size"))) for p in profiles for x in p.processors.values()]
+    processors = [
+        (
+            p.name, x.name, "features" if x.kind == "features" else "filter", as_int(x.params.get("order")), as_int(x.params.get("size"))
+        ) for p in profiles for x in p.processors.values()
+    ]
     chains = [(p.name, c, i, n) for p in profiles for c, chain in p.pipelines.items() for i, n in enumerate(chain.processors)]
     return (
         spark.createDataFrame(processors, "profile string, processor string, kind string, order int, size int"),
@@ -187,7 +193,9 @@ def tables(spark: SparkSession, profiles: list[Profile]) -> tuple[DataFrame, Dat
 
 def latencies(processors: DataFrame, chains: DataFrame) -> DataFrame:
     """profile, pipeline, latency: ``Profile.latency`` over tables."""
-    each = F.when(F.col("kind") == "filter", F.coalesce("order", F.lit(2)) * F.lit(0.1)).when(F.col("kind") == "features", F.coalesce("size", F.lit(256)) / 1000).otherwise(1.0)
+    each = F.when(
+        F.col("kind") == "filter", F.coalesce("order", F.lit(2)) * F.lit(0.1)
+    ).when(F.col("kind") == "features", F.coalesce("size", F.lit(256)) / 1000).otherwise(1.0)
     return chains.join(processors, ["profile", "processor"]).groupBy("profile", "pipeline").agg(F.sum(each).alias("latency"), F.count("*").alias("stages"))
 
 

@@ -86,7 +86,15 @@ class Stage:
         p = dict(self.params)
         if self.kind == "own":
             return p["latency_us"]
-        return {"highpass": 10, "lowpass": 10, "bandpass": 20, "notch": 50, "moving_average": (p.get("size") or 0) * 500, "median": (p.get("size") or 0) * 500, "features": (p.get("size") or 0) * 1000}[self.kind]
+        return {
+            "highpass": 10,
+            "lowpass": 10,
+            "bandpass": 20,
+            "notch": 50,
+            "moving_average": (p.get("size") or 0) * 500,
+            "median": (p.get("size") or 0) * 500,
+            "features": (p.get("size") or 0) * 1000
+        }[self.kind]
 
 
 @dataclass(frozen=True)
@@ -344,7 +352,9 @@ def pipeline_for(s: ServiceSpec) -> Pipeline:
     if s.filters and s.kind == "standard":
         out = out.add("highpass", cutoff=s.highpass, order=4).add("lowpass", cutoff=s.lowpass, order=4).add("notch", frequency=s.notch, q=30.0)
     if s.filters and s.kind == "research":
-        out = out.add("highpass", cutoff=10.0, order=6).add("lowpass", cutoff=s.lowpass, order=6).add("notch", frequency=50.0, q=50.0).add("notch", frequency=60.0, q=50.0)
+        out = out.add("highpass", cutoff=10.0, order=6).add(
+            "lowpass", cutoff=s.lowpass, order=6
+        ).add("notch", frequency=50.0, q=50.0).add("notch", frequency=60.0, q=50.0)
     if s.features and s.kind in ("standard", "research"):
         out = out.add("features", size=s.size if s.kind == "standard" else 512, overlap=s.overlap)
     return out

@@ -35,7 +35,12 @@ def last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.lit("embeddings").alias("signal_id"), F.col("vec_id").alias("chunk_seq"), F.lit(4).alias("channel_count"), F.col("embedding").alias("data"))
+    return e.select(
+        F.lit("embeddings").alias("signal_id"),
+        F.col("vec_id").alias("chunk_seq"),
+        F.lit(4).alias("channel_count"),
+        F.col("embedding").alias("data")
+    )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,15 @@ def deinterleave(spark, d):
 def reinterleave(spark, d):
     back = sources.to_chunks(sources.from_chunks(chunks(spark, d), RATE), 16)
     weighted = F.aggregate(F.transform("data", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
-    return rounded(back.select("chunk_seq", "channel_count", F.size("data").cast("long").alias("n"), F.col("data")[5].alias("sixth"), weighted.alias("weighted")))
+    return rounded(
+        back.select(
+            "chunk_seq",
+            "channel_count",
+            F.size("data").cast("long").alias("n"),
+            F.col("data")[5].alias("sixth"),
+            weighted.alias("weighted")
+        )
+    )
 
 
 def channel_stats(spark, d):
@@ -134,7 +147,17 @@ def emg_features(spark, d):
 
 def sliding_windows_64(spark, d):
     w = windows.sliding(events(spark, d), SIZE, OVERLAP)
-    return rounded(w.select("channel", "k", "start_sample", "n", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("sum"), F.col("x")[0].alias("first"), F.col("x")[SIZE - 1].alias("last")))
+    return rounded(
+        w.select(
+            "channel",
+            "k",
+            "start_sample",
+            "n",
+            F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("sum"),
+            F.col("x")[0].alias("first"),
+            F.col("x")[SIZE - 1].alias("last")
+        )
+    )
 
 
 def time_features(spark, d):
@@ -164,7 +187,15 @@ def feature_summary(spark, d):
 
 
 def pattern_presets(spark, d):
-    rows = [spark.range(1).select(F.lit(n).alias("name"), F.lit(p.kind).alias("kind"), F.lit(p.description).alias("description"), mean_activation(p, 10.0).alias("mean_activation")) for n, p in PRESETS.items()]
+    rows = [
+        spark.range(1).select(
+            F.lit(n).alias("name"),
+            F.lit(p.kind).alias("kind"),
+            F.lit(p.description).alias("description"),
+            mean_activation(p, 10.0).alias("mean_activation")
+        ) for n,
+        p in PRESETS.items()
+    ]
     out = rows[0]
     for x in rows[1:]:
         out = out.unionByName(x)
@@ -173,7 +204,14 @@ def pattern_presets(spark, d):
 
 def activation_patterns(spark, d):
     t = spark.range(200).select((F.col("id") / 10.0 + 0.05).alias("t"))
-    return rounded(t.select("t", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), p.at(F.col("t")).alias("activation")) for n, p in PRESETS.items()])).alias("s")).select("t", "s.name", "s.activation"))
+    return rounded(
+        t.select(
+            "t",
+            F.explode(
+                F.array(*[F.struct(F.lit(n).alias("name"), p.at(F.col("t")).alias("activation")) for n, p in PRESETS.items()])
+            ).alias("s")
+        ).select("t", "s.name", "s.activation")
+    )
 
 
 CLEAN = Emg(channels=4, pattern=PRESETS["Fast Contraction"], noise=Noise.off(), powerline=None, recruitment=0.0)
@@ -219,7 +257,12 @@ def signal_lengths(spark, d):
 def sample_violations(spark, d):
     """Events that aren't numbered yet break the rules; their channels are listed."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    raw = e.select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(20)).cast("int").alias("channel"), F.col("event_id").alias("idx"), F.col("value").alias("x"))
+    raw = e.select(
+        F.lit("events").alias("signal_id"),
+        F.pmod("user_id", F.lit(20)).cast("int").alias("channel"),
+        F.col("event_id").alias("idx"),
+        F.col("value").alias("x")
+    )
     return reshape.violations(raw).drop("signal_id")
 
 
@@ -268,7 +311,13 @@ def streamed(spark: SparkSession, d: str, sink_of) -> DataFrame:
     events_ = spark.read.parquet(f"{d}/events.parquet").where("user_id is not null and ts is not null").select("user_id", "ts", "event_id", "value")
     files = in_order(events_, "ts", f"{out}/in")
     stream = spark.readStream.schema(events_.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/in")
-    rows = stream.select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(16)).cast("int").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
+    rows = stream.select(
+        F.lit("events").alias("signal_id"),
+        F.pmod("user_id", F.lit(16)).cast("int").alias("channel"),
+        "ts",
+        "event_id",
+        F.col("value").alias("x")
+    )
     sink = sink_of(["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / 3600), out)
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return rounded(sink.rows(spark).select("channel", "idx", "x_raw", F.col("x").alias("y")))
@@ -316,7 +365,9 @@ def expected_samples(spark, d):
 
 def pipeline_with_own_stage(spark, d):
     """A user's stage between filters: rectification."""
-    p = spec.pipeline("envelope").add("highpass", cutoff=20.0).add_stage("rectify", lambda s, rate: s.withColumn("x", F.abs("x"))).add("moving_average", size=10)
+    p = spec.pipeline("envelope").add("highpass", cutoff=20.0).add_stage(
+        "rectify", lambda s, rate: s.withColumn("x", F.abs("x"))
+    ).add("moving_average", size=10)
     return rounded(p.apply(events(spark, d), RATE).samples.select("channel", "idx", "x_raw", F.col("x").alias("y")))
 
 

@@ -58,7 +58,9 @@ def stream_cascade(stream: DataFrame, sections: list[Section], order: list[str],
         state.update((int(seen + len(x)), s.tolist()))
         yield pd.DataFrame({"signal_id": key[0], "channel": key[1], "idx": idx, "t": idx / rate, "x_raw": x, "x": y, "_null": null})
 
-    done = stream.select(*kept).groupBy("signal_id", "channel").applyInPandasWithState(run, OUT + ", _null boolean", "seen long, s array<double>", "append", GroupStateTimeout.NoTimeout)
+    done = stream.select(*kept).groupBy("signal_id", "channel").applyInPandasWithState(
+        run, OUT + ", _null boolean", "seen long, s array<double>", "append", GroupStateTimeout.NoTimeout
+    )
     value = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  NaN comes back as null
     raw = F.when(~F.col("_null"), value("x_raw"))
     return done.select("signal_id", "channel", "idx", "t", raw.alias("x_raw"), (value("x") if sections else raw).alias("x"))
@@ -83,13 +85,17 @@ class BlockSink:
         spark = batch.sparkSession
         states = "signal_id string, channel int, seen long, state array<double>"
         was = spark.read.schema(states).parquet(f"{self.out}/states/{number - 1}") if number else spark.createDataFrame([], states)
-        placed = indexed(batch, KEY, self.order, self.bucket).select("signal_id", "channel", "idx", (F.col("idx") / F.lit(self.rate)).alias("t"), F.col("x").cast("double").alias("x"))
+        placed = indexed(batch, KEY, self.order, self.bucket).select(
+            "signal_id", "channel", "idx", (F.col("idx") / F.lit(self.rate)).alias("t"), F.col("x").cast("double").alias("x")
+        )
         raw = placed.withColumn("x_raw", F.col("x"))
         done = carried(raw, self.sections, self.rate, was) if self.sections else raw.withColumn("state", F.array().cast("array<double>"))
         # Few rows: one a channel that has ever been seen.
         before = was.select(*KEY, F.col("seen").alias("_seen"))
         idx = F.coalesce("_seen", F.lit(0)) + F.col("idx")
-        done = done.join(F.broadcast(before), KEY, "left").select("signal_id", "channel", idx.cast("long").alias("idx"), (idx / F.lit(self.rate)).alias("t"), "x_raw", "x", "state")
+        done = done.join(F.broadcast(before), KEY, "left").select(
+            "signal_id", "channel", idx.cast("long").alias("idx"), (idx / F.lit(self.rate)).alias("t"), "x_raw", "x", "state"
+        )
         done.write.mode("overwrite").parquet(f"{self.out}/rows/{number}")
         written = spark.read.schema(OUT + ", state array<double>").parquet(f"{self.out}/rows/{number}")
         ends = written.where("state is not null").groupBy(*KEY).agg((F.max("idx") + 1).alias("seen"), F.max_by("state", "idx").alias("state"))
@@ -173,7 +179,11 @@ class PipelineSink:
             return step.own(samples, self.rate)
         size = dict(step.params)["size"]
         tail = self._memory(spark, memory, number, TAIL)
-        both = self._saved(samples.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)), allowMissingColumns=True), f"step-{i}", number)
+        both = self._saved(
+            samples.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)), allowMissingColumns=True),
+            f"step-{i}",
+            number
+        )
         end = F.broadcast(seen.withColumnRenamed("seen", "_end"))
         self._saved(both.join(end, KEY).where(F.col("idx") > F.col("_end") - size).select(*KEY, "idx", "x"), memory, number)
         if step.kind == "features":
