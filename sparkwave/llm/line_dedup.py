@@ -22,18 +22,15 @@ def bare(line):
 
 
 def line_key(line):
-    """128 bits that stand for a line: two seeded hashes of it without surrounding white space."""
-    return F.struct(F.xxhash64(bare(line)).alias("a"), F.xxhash64(F.lit(7), bare(line)).alias("b"))
-
-
-def keys(text):
-    return F.transform(F.split(text, "\n", -1), line_key)
+    """128 bits that stand for a bare line: two seeded hashes of it."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int, host_col: str, text_col: str) -> DataFrame:
     """host, line (a, b): lines on more than ``ratio`` of a host's pages."""
     page = pages.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    each = page.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: bare(x) != ""), line_key))).alias("line"))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), bare), lambda x: x != "")
+    each = page.select("host", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("line"))
     on = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     total = page.groupBy("host").agg(F.count("*").alias("pages"))
     return on.alias("o").join(
@@ -66,7 +63,8 @@ def drop_boilerplate(
     side = F.broadcast(by_host) if found.limit(broadcast_lines + 1).count() <= broadcast_lines else by_host
     joined = pages.join(side, F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains(F.col(bad), line_key(x)))
+    both = F.transform(lines, lambda x: F.struct(x.alias("line"), bare(x).alias("bare")))
+    kept = F.filter(both, lambda x: (x["bare"] == "") | ~F.array_contains(F.col(bad), line_key(x["bare"])))["line"]
     text = F.when(F.col(bad).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), lines)), F.lit(0))
     left = F.when(F.col(bad).isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept))
