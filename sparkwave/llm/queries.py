@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, encoding, html_text, line_dedup, packing, quality, secrets, sharding, simhash, token_counts
+from . import caps, encoding, html_text, line_dedup, packing, quality, repeats, secrets, sharding, simhash, token_counts
 from .common import Scratch, table
 
 
@@ -55,6 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_figures(table(spark, sf_dir, "documents"))
+
+
 def base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op1: the figures that its base rules go by."""
     return quality.judge(table(spark, sf_dir, "documents")).select(
@@ -70,6 +74,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     op1_quality_rules, op2_best_fit_packing, op3_sharding, op4_simhash_near_dedup, op5_token_counts,
     op6_embedding_near_dedup, op7_line_dedup, op8_secret_scans, op9_bpe_encoding, op10_html_extraction,
+    op11_suffix_array_dedup,
 )
 
 
@@ -125,5 +130,18 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
            FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM e.source AND b.line = e.line) GROUP BY 1)
 SELECT doc_id, source, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
        coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - coalesce(lines, 0), 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN k USING (r)""",
+        # Every string of 50 bytes, as hex digits cut out of blocks with an overlap.
+        "op11_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     b AS (SELECT r, doc_id, s, substring(h, 2 * s + 1, 2098) AS b FROM (SELECT *, unnest(range(0, greatest(1, length(h) // 2), 1000)) AS s FROM d)),
+     w AS (SELECT r, doc_id, s + k AS i, substring(b, 2 * k + 1, 100) AS w FROM (SELECT *, unnest(range(0, least(1000, length(b) // 2 - 49))) AS k FROM b)),
+     f AS (SELECT r, i FROM w JOIN (SELECT w, min(doc_id) AS first FROM w GROUP BY 1) USING (w) WHERE doc_id > first),
+     g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM f)),
+     s AS (SELECT r, min(i) AS low, max(i) + 50 AS high FROM g GROUP BY r, g),
+     p AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM s),
+     k AS (SELECT r, string_agg(substring(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substring(any_value(h), 2 * max(high) + 1) AS kept,
+                  sum(high - low) AS n, count(*) AS spans FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN k USING (r)""",
     }
