@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, encoding, html_text, line_dedup, packing, quality, repeats, secrets, sharding, simhash, token_counts
+from . import caps, divergence, encoding, html_text, line_dedup, packing, quality, repeats, secrets, sharding, simhash, token_counts
 from .common import Scratch, table
 
 
@@ -59,6 +59,10 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_figures(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op1: the figures that its base rules go by."""
     return quality.judge(table(spark, sf_dir, "documents")).select(
@@ -74,7 +78,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     op1_quality_rules, op2_best_fit_packing, op3_sharding, op4_simhash_near_dedup, op5_token_counts,
     op6_embedding_near_dedup, op7_line_dedup, op8_secret_scans, op9_bpe_encoding, op10_html_extraction,
-    op11_suffix_array_dedup,
+    op11_suffix_array_dedup, op13_source_divergence_audit,
 )
 
 
@@ -144,4 +148,21 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, '
                   sum(high - low) AS n, count(*) AS spans FROM p JOIN d USING (r) GROUP BY r)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN k USING (r)""",
+        "op13_source_divergence_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+     q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 1) // (total + v))::BIGINT AS q FROM kept JOIN v USING (lang)),
+     dense AS (SELECT lang, g.source, term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+     big AS (SELECT lang, source, sum(n) AS total FROM dense GROUP BY 1, 2),
+     p AS MATERIALIZED (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (big.total + v))::BIGINT AS p FROM dense JOIN big USING (lang, source) JOIN v USING (lang)),
+     pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+     every_pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+     parts AS (SELECT lang, source, 'pair' AS part, item, value FROM every_pair
+               UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
     }
