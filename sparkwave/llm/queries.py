@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, divergence, encoding, html_text, line_dedup, packing, quality, repeats, secrets, sharding, simhash, token_counts
+from . import caps, conversations, divergence, encoding, html_text, line_dedup, packing, quality, repeats, secrets, sharding, simhash, token_counts
 from .common import Scratch, table
 
 
@@ -59,6 +59,10 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_figures(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), gone_col="gone"))
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     op1_quality_rules, op2_best_fit_packing, op3_sharding, op4_simhash_near_dedup, op5_token_counts,
     op6_embedding_near_dedup, op7_line_dedup, op8_secret_scans, op9_bpe_encoding, op10_html_extraction,
-    op11_suffix_array_dedup, op13_source_divergence_audit,
+    op11_suffix_array_dedup, op12_conversation_structure_repair, op13_source_divergence_audit,
 )
 
 
@@ -165,4 +169,50 @@ WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesc
                UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
      ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+        # Costs of the rest of each conversation from its last row on, then letters from its first row on; CRC-32 bit by bit.
+        "op12_conversation_structure_repair": r"""
+WITH RECURSIVE
+     bits(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+     crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+     o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+     h AS (SELECT o.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS how FROM o, crc),
+     d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+           FROM (SELECT *, unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE how <> 0)),
+     p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM d),
+     f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM p),
+     x AS MATERIALIZED (SELECT *, left(role, 1) AS c, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000 ELSE 0 END AS bar FROM f),
+     ids AS (SELECT conv_id, coalesce(max(n), 0) AS n FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN x USING (conv_id) GROUP BY 1),
+     v(conv_id, i, v0, v1, v2, v3) AS (
+       SELECT conv_id, n::BIGINT, 0::BIGINT, 10::BIGINT, 5::BIGINT, 0::BIGINT FROM ids
+       UNION ALL
+       SELECT conv_id, i, least(b0, 5 + least(b2, 5 + b3)), least(b1, 5 + least(b2, 5 + b3)), least(b2, 5 + b3), least(b3, 5 + b2)
+       FROM (SELECT conv_id, x.i, least(2 + v0, bar + late + least(1 + v2, CASE c WHEN 's' THEN v1 WHEN 'u' THEN v2 ELSE 1000 END)) AS b0,
+                    least(2 + v1, bar + late + least(1 + v2, CASE c WHEN 'u' THEN v2 ELSE 1000 END)) AS b1,
+                    least(2 + v2, bar + late + least(1 + v3, CASE c WHEN 'a' THEN v3 ELSE 1000 END)) AS b2,
+                    least(2 + v3, bar + late + least(1 + v2, CASE c WHEN 'u' THEN v2 ELSE 1000 END)) AS b3
+             FROM v JOIN x USING (conv_id) WHERE x.i = v.i - 1)),
+     vs AS MATERIALIZED (SELECT conv_id, i, [v0, v1, v2, v3] AS v FROM v),
+     e(conv_id, i, s, audit, out) AS (
+       SELECT conv_id, 0::BIGINT, 0, '', []::VARCHAR[] FROM ids
+       UNION ALL
+       SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END,
+              CASE letter WHEN 'D' THEN s WHEN 'K' THEN CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE s WHEN 2 THEN 3 ELSE 2 END END,
+              audit || letter,
+              CASE letter WHEN 'D' THEN out WHEN 'K' THEN list_append(out, role || ':' || text) ELSE list_append(out, CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END) END
+       FROM (SELECT e.*, x.c, x.role, x.text,
+                    CASE WHEN x.i IS NOT NULL AND a.v[s + 1] = 2 + b.v[s + 1] THEN 'D'
+                         WHEN a.v[s + 1] = 5 + a.v[CASE s WHEN 2 THEN 4 ELSE 3 END] THEN 'I'
+                         WHEN (c = 's' AND s = 0 AND a.v[1] = late + b.v[2]) OR (c = 'u' AND s <> 2 AND a.v[s + 1] = late + b.v[3]) OR (c = 'a' AND s = 2 AND a.v[3] = late + b.v[4]) THEN 'K'
+                         ELSE 'R' END AS letter
+             FROM e JOIN vs a ON a.conv_id IS NOT DISTINCT FROM e.conv_id AND a.i = e.i LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM e.conv_id AND x.i = e.i
+                  LEFT JOIN vs b ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND b.i = e.i + 1
+             WHERE x.i IS NOT NULL OR s IN (1, 2))),
+     z AS (SELECT conv_id, audit, out FROM (SELECT e.*, row_number() OVER (PARTITION BY conv_id ORDER BY length(audit) DESC) AS last FROM e) WHERE last = 1),
+     nb AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM x) WHERE pair IS NOT NULL GROUP BY 1),
+     g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM x GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, vs.v[1]::BIGINT AS cost, audit, sha256(array_to_string(out, chr(10))) AS repaired_sha256
+FROM z JOIN vs USING (conv_id) LEFT JOIN g USING (conv_id) LEFT JOIN nb USING (conv_id) WHERE vs.i = 0""",
     }
