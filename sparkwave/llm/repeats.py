@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, prepare
 
 #: Texts are hashed in slabs of so many window starts; a slab's place fits in SLAB_BITS.
-SLAB, SLAB_BITS = 1 << 20, 20
+SLAB, SLAB_BITS = 1 << 17, 17
 #: Windows that a task sorts at a time.
 SORTED = 2_000_000
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]
@@ -36,15 +36,19 @@ MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]
 def words(data: np.ndarray) -> np.ndarray:
     """Eight bytes from each place on, as a number in the order of the bytes; the last seven places are left out."""
     a = data.astype(np.uint64)
-    a = a[:-1] << np.uint64(8) | a[1:]
-    a = a[:-2] << np.uint64(16) | a[2:]
-    return a[:-4] << np.uint64(32) | a[4:]
+    for width in (1, 2, 4):
+        b = a[:-width] << np.uint64(8 * width)
+        b |= a[width:]
+        a = b
+    return a
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ h >> np.uint64(32)
+    """The numbers, mixed in place."""
+    h ^= h >> np.uint64(32)
     h *= np.uint64(MULTIPLIERS[2])
-    return h ^ h >> np.uint64(29)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -52,7 +56,9 @@ def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
     w, n = words(data), len(data) - k + 1
     h = w[:n] * np.uint64(MULTIPLIERS[0])
     for at in [*range(8, k - 8, 8), k - 8]:
-        h = mixed(h) + w[at : at + n] * np.uint64(MULTIPLIERS[1])
+        h ^= h >> np.uint64(32)
+        h += w[at : at + n]
+        h *= np.uint64(MULTIPLIERS[1])
     return mixed(h)
 
 
@@ -86,22 +92,27 @@ class Anchors:
         part = data[at : at + SLAB + self.length - 1]
         h = kmer_hashes(part, self.k)
         bits = np.uint64(SLAB_BITS + 1)  # a place needs one bit more: a slab has the last windows' bytes too
-        v = (h >> bits + np.uint64(1)) << bits
+        v = h >> bits + np.uint64(1)
+        v <<= bits
         v |= np.arange(len(h), dtype=np.uint64)
-        v |= self.demoted(h).astype(np.uint64) << np.uint64(63)
+        frequent_ = self.demoted(h)
+        v[frequent_] |= np.uint64(1 << 63)
         span, width = self.length - self.k + 1, 1
         while 2 * width <= span:  # least of 1, 2, 4, ... k-mers from each place on
             v = np.minimum(v[:-width], v[width:])
             width *= 2
         n = len(part) - self.length + 1
         v = np.minimum(v[:n], v[span - width : span - width + n])
-        place = (v & np.uint64((1 << SLAB_BITS + 1) - 1)).astype(np.int64)
-        start = np.arange(n)
-        owner = np.searchsorted(ends, start + at, side="right")
-        fits = start + at + self.length <= ends[owner]
-        new = np.empty(n, bool)
+        place = (v & np.uint64((1 << SLAB_BITS + 1) - 1)).astype(np.int32)
+        new, fits = np.empty(n, bool), np.ones(n, bool)
         new[:1] = True
-        new[1:] = (place[1:] != place[:-1]) | (fits[1:] != fits[:-1]) | (owner[1:] != owner[:-1])
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        for end in (ends[np.searchsorted(ends, at, side="right") :] - at).tolist():  # windows over a text's end are none
+            if end - self.length >= n:
+                break
+            fits[max(0, end - self.length + 1) : max(0, end)] = False
+            new[max(0, end - self.length + 1) : end - self.length + 2] = True
+            new[end : end + 1] = True
         first = np.flatnonzero(new)
         last = np.append(first[1:], n) - 1
         kept = fits[first]
@@ -154,6 +165,13 @@ def window_keys(data: np.ndarray, starts: np.ndarray, length: int) -> list[np.nd
     return [w[starts + at] for at in places(length)]
 
 
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of their starts, without those that overlap."""
+    high = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.append(True, start[1:] >= high[:-1]))
+    return start[new], high[np.append(new[1:], len(high)) - 1]
+
+
 def places(length: int) -> list[int]:
     return [*range(0, length - 8, 8), length - 8]
 
@@ -352,15 +370,15 @@ def _kept(docs, length, id_col, text_col, unit_bytes, sample, least, scratch, wi
                 known[s] = d
         asked = np.array([known[s] == d for s, d in zip(spans, docs_)], bool)
         done = chosen[~asked]
-        out = {"bucket": [], "unit": [], "off": [], "size": [], "doc": [], "data": [], "from": [], "to": []}
+        out = {"bucket": [], "unit": [], "off": [], "size": [], "doc": [], "h": [], "data": [], "from": [], "to": []}
         n = key[0].as_py()
 
-        def put(bucket, off, size, doc, data, start, end):
-            for name, v in zip(out, (bucket, n, off, size, doc, data, start, end)):
+        def put(bucket, off, size, doc, h, data, start, end):
+            for name, v in zip(out, (bucket, n, off, size, doc, h, data, start, end)):
                 out[name].append(v)
 
         if len(done):
-            put(n % buckets, b"", b"", b"", b"", first[done].astype("<u4").tobytes(), (last[done] + length).astype("<u4").tobytes())
+            put(n % buckets, b"", b"", b"", b"", b"", first[done].astype("<u4").tobytes(), (last[done] + length).astype("<u4").tobytes())
         pick = np.flatnonzero(asked)
         of_bucket = where[back[chosen[pick]]]
         order = pick[np.argsort(of_bucket, kind="stable")]
@@ -373,6 +391,7 @@ def _kept(docs, length, id_col, text_col, unit_bytes, sample, least, scratch, wi
                 first[seg].astype("<u4").tobytes(),
                 (last[seg] - first[seg] + length).astype("<u2").tobytes(),
                 unit.id_of[text[seg]].astype("<i8").tobytes(),
+                h[seg].astype("<u4").tobytes(),
                 b"".join([spans[r] for r in rows.tolist()]),
                 b"",
                 b"",
@@ -383,39 +402,49 @@ def _kept(docs, length, id_col, text_col, unit_bytes, sample, least, scratch, wi
     def factors(key, table):
         """Runs of windows that a smaller document has, by unit; what is decided passes through."""
         rows = table.to_pylist()
-        off = [np.frombuffer(r["off"], "<u4").astype(np.int64) for r in rows]
-        size = [np.frombuffer(r["size"], "<u2").astype(np.int64) for r in rows]
-        doc = np.concatenate([np.frombuffer(r["doc"], "<i8") for r in rows])
-        unit = np.repeat(np.array([r["unit"] for r in rows]), [len(x) for x in off])
-        off, size = np.concatenate(off), np.concatenate(size)
-        data = np.frombuffer(b"".join([r["data"] for r in rows]), np.uint8)
         found = {"unit": [r["unit"] for r in rows if r["from"]], "from": [r["from"] for r in rows if r["from"]], "to": [r["to"] for r in rows if r["to"]]}
-        if len(off):
-            n = size - length + 1
-            seg = np.repeat(np.arange(len(off)), n)
+        off, size, doc, h = (np.concatenate([np.frombuffer(r[c], t) for r in rows]).astype(np.int64) for c, t in (("off", "<u4"), ("size", "<u2"), ("doc", "<i8"), ("h", "<u4")))
+        unit = np.repeat(np.array([r["unit"] for r in rows]), [len(r["off"]) // 4 for r in rows])
+        raw = b"".join([r["data"] for r in rows])
+        begin = np.cumsum(size) - size
+        # Equal segments are decided as a whole: all but those of the smallest document go.
+        known: dict[bytes, int] = {}
+        spans = [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
+        for s, d in zip(spans, doc.tolist()):
+            if d < known.get(s, d + 1):
+                known[s] = d
+        least = np.array([known[s] for s in spans], np.int64)
+        later = np.flatnonzero(doc > least)
+        starts, ends = [off[later]], [off[later] + size[later]]
+        owners = [unit[later]]
+        # The others can only share windows with segments that differ but have the same anchor.
+        asked = np.flatnonzero(doc == least)
+        _, back, count = np.unique(h[asked], return_inverse=True, return_counts=True)
+        asked = asked[count[back] > 1]
+        if len(asked):
+            data = np.frombuffer(raw, np.uint8)
+            n = size[asked] - length + 1
+            seg = np.repeat(asked, n)
             step = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-            starts = (np.cumsum(size) - size)[seg] + step
-            gone = np.zeros(len(starts), bool)
-            parts = -(-len(starts) // SORTED)
-            keys = window_keys(data, starts, length) if parts == 1 else None
-            part = None
-            if parts > 1:  # equal windows stay together
-                part = (mixed(kmer_hashes(data, 8)[starts] + kmer_hashes(data, 8)[starts + length - 8]) % np.uint64(parts)).astype(np.int64)
+            at = begin[seg] + step
+            gone, parts = np.zeros(len(at), bool), -(-len(at) // SORTED)
+            part = h[seg] % parts  # equal windows stay together
             for p in range(parts):
-                at = slice(None) if parts == 1 else np.flatnonzero(part == p)
-                ks = keys if parts == 1 else window_keys(data, starts[at], length)
-                gone[at] = longest_previous(ks, doc[seg[at]], length) >= length
-            at = np.flatnonzero(gone)
-            place, where = off[seg[at]] + step[at], unit[seg[at]]
-            order = np.lexsort((place, where))
-            place, where = place[order], where[order]
-            for u in np.unique(where).tolist():
-                p = place[where == u]
-                new = np.flatnonzero(np.append(True, p[1:] > p[:-1] + 1))
-                end = p[np.append(new[1:], len(p)) - 1] + length
-                found["unit"].append(u)
-                found["from"].append(p[new].astype("<u4").tobytes())
-                found["to"].append(end.astype("<u4").tobytes())
+                chosen = np.flatnonzero(part == p)
+                gone[chosen] = longest_previous(window_keys(data, at[chosen], length), doc[seg[chosen]], length) >= length
+            hit = np.flatnonzero(gone)
+            starts.append(off[seg[hit]] + step[hit])
+            ends.append(off[seg[hit]] + step[hit] + length)
+            owners.append(unit[seg[hit]])
+        starts, ends, owners = np.concatenate(starts), np.concatenate(ends), np.concatenate(owners)
+        order = np.lexsort((starts, owners))
+        starts, ends, owners = starts[order], ends[order], owners[order]
+        cuts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else []
+        for i, j in zip(cuts, [*cuts[1:], len(owners)]):
+            low, high = merged(starts[i:j], ends[i:j])
+            found["unit"].append(int(owners[i]))
+            found["from"].append(low.astype("<u4").tobytes())
+            found["to"].append(high.astype("<u4").tobytes())
         return pa.table({"unit": pa.array(found["unit"], pa.int32()), "from": pa.array(found["from"], pa.binary()), "to": pa.array(found["to"], pa.binary())})
 
     def cut(key, table, gone):
@@ -445,7 +474,7 @@ def _kept(docs, length, id_col, text_col, unit_bytes, sample, least, scratch, wi
     asks = dealt.groupBy("unit").applyInArrow(ask, "bucket int, unit int, h binary")
     answers = asks.groupBy("bucket").applyInArrow(answer, "unit int, bucket int, bits binary")
     sent = dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
-        send, "bucket int, unit int, off binary, size binary, doc binary, data binary, from binary, to binary"
+        send, "bucket int, unit int, off binary, size binary, doc binary, h binary, data binary, from binary, to binary"
     )
     runs = sent.groupBy("bucket").applyInArrow(factors, "unit int, from binary, to binary")
     schema = "a long, b long, first long, removed long, spans long, sha string" + ", kept binary" * with_bytes
