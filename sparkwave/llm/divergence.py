@@ -47,39 +47,42 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return place, pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(values))
 
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n, docs of a task's documents."""
-    con = database()
-    con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
-
-    def add(rows: list[tuple]) -> None:
-        place, term = terms([t for _, _, t in rows])
-        names = pa.table({"place": pa.array(range(len(rows)), pa.int64()), "lang": pa.array([r[0] for r in rows], pa.string()), "source": pa.array([r[1] for r in rows], pa.string())})
-        each = pa.table({"place": place, "term": term})
-        con.register("names", names)
-        con.register("each", each)
-        con.execute(
-            "INSERT INTO held SELECT lang, source, term, sum(n), count(*) FROM (SELECT place, term, count(*) AS n FROM each GROUP BY ALL) JOIN names USING (place) GROUP BY lang, source, term"
-        )
-
-    def handed() -> Iterator[pa.RecordBatch]:
-        found = con.execute("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY lang, source, term").to_arrow_table()
-        yield from found.to_batches(max_chunksize=20_000)
-        con.execute("DELETE FROM held")
-
-    rows, size = [], 0
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            rows.append(row)
-            size += len(row[2])
-            if size >= CUT:
-                add(rows)
-                rows, size = [], 0
-                if con.execute("SELECT count(*) FROM held").fetchone()[0] > HELD:
-                    yield from handed()
-    if rows:
-        add(rows)
-    yield from handed()
+def count_terms(cut: int = CUT, most: int = HELD):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """lang, source, term, n, docs of a task's documents."""
+        con = database()
+        con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)").fetchall()
+
+        def add(rows: list[tuple]) -> int:
+            place, term = terms([t for _, _, t in rows])
+            names = {"place": pa.array(range(len(rows)), pa.int64()), "lang": pa.array([r[0] for r in rows], pa.string()), "source": pa.array([r[1] for r in rows], pa.string())}
+            con.register("names", pa.table(names))
+            con.register("each", pa.table({"place": place, "term": term}))
+            return con.execute(
+                "INSERT INTO held SELECT lang, source, term, sum(n), count(*) FROM (SELECT place, term, count(*) AS n FROM each GROUP BY ALL) JOIN names USING (place) GROUP BY lang, source, term"
+            ).fetchall()[0][0]
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            found = con.execute("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY lang, source, term").to_arrow_table()
+            con.execute("DELETE FROM held").fetchall()
+            yield from found.to_batches(max_chunksize=20_000)
+
+        rows, size, held = [], 0, 0
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                rows.append(row)
+                size += len(row[2])
+                if size >= cut:
+                    held += add(rows)
+                    rows, size = [], 0
+                    if held > most:
+                        yield from handed()
+                        held = 0
+        if rows:
+            add(rows)
+        yield from handed()
+
+    return run
 
 
 def kept_terms(least_docs: int):
@@ -153,7 +156,7 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: str =
     total = groups.agg(F.sum("bytes")).head()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
-    counts = rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
+    counts = rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(count_terms(), "lang string, source string, term string, n long, docs long")
     sharded = counts.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
     kept = scratch.save(sharded.groupBy("shard").applyInArrow(kept_terms(least_docs), "shard int, lang string, source string, term string, n long"), "kept")
 

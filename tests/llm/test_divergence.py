@@ -62,3 +62,14 @@ def test_query_equals_sql(spark, sf):
 def test_terms_are_cut_at_any_byte_that_is_no_letter():
     place, found = divergence.terms(["Ab1cD".encode(), b"", "éÉ\x7fz ".encode()])
     assert place.tolist() == [0, 0, 2, 2] and found.to_pylist() == ["ab", "cd", "éÉ", "z"]
+
+
+def test_counts_are_handed_on_in_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 6, "source": ["a", "b"] * 3, "text": [b"one two", b"one", b"Two two", b"", b"three", b"one one"]})
+    found = Counter()
+    for b in divergence.count_terms(cut=4, most=2)(iter([batch, batch])):
+        for r in b.to_pylist():
+            found[r["source"], r["term"]] += complex(r["n"], r["docs"])
+    assert found == {("a", "one"): 2 + 2j, ("a", "two"): 6 + 4j, ("a", "three"): 2 + 2j, ("b", "one"): 6 + 4j}
