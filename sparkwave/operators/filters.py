@@ -1,4 +1,4 @@
-"""Filters over samples tables: moving average and median as window functions, recursive filters as a block scan.
+"""Filters over samples tables: moving average and median by blocks with a halo, recursive filters as a block scan.
 
 A recursive filter needs its own earlier output, but it is linear. With the cascade as a state space (the last two
 inputs, and the last two outputs of every section), a block of L samples that starts from state s gives
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from sparkwave.operators.blocks import in_block, rolling
+from sparkwave.operators import sliding
+from sparkwave.operators.blocks import by_block
 from sparkwave.operators.design import Section
 from sparkwave.session import importable
 from sparkwave.sources.samples import COLUMNS
@@ -35,17 +36,21 @@ LENGTH, GROUP = 256, 4096
 
 
 def moving_average(samples: DataFrame, size: int, col: str = "x") -> DataFrame:
-    """x becomes the mean of the last ``size`` samples, of as many as there are at the start; a gap in idx counts as missing samples."""
+    """x becomes the mean of the last ``size`` samples, of as many as there are at the start; a gap in idx counts as missing samples.
+
+    Null samples are left out, a window with a NaN has NaN. The work doesn't grow with ``size``.
+    """
     _positive(size)
-    return _replaced(samples, size - 1, col, F.avg(col).over(in_block().rangeBetween(1 - size, 0)))
+    return by_block(samples, size - 1, lambda idx, x, real: [sliding.means(idx, x, real, size)], [col], col)
 
 
 def median_filter(samples: DataFrame, size: int, col: str = "x") -> DataFrame:
-    """x becomes the median of the last ``size`` samples, of as many as there are at the start; a gap in idx counts as missing samples."""
+    """x becomes the median of the last ``size`` samples, of as many as there are at the start; a gap in idx counts as missing samples.
+
+    Null samples are left out, NaN is above all others. The work doesn't grow with ``size``.
+    """
     _positive(size)
-    held = F.array_sort(F.collect_list(col).over(in_block().rangeBetween(1 - size, 0)))
-    middle = F.transform(F.array(held), lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2)
-    return _replaced(samples, size - 1, col, middle[0])
+    return by_block(samples, size - 1, lambda idx, x, real: [sliding.medians(idx, x, real, size)], [col], col)
 
 
 def _positive(size: int) -> None:
@@ -53,10 +58,6 @@ def _positive(size: int) -> None:
         raise ValueError("the window must hold a sample at least")
 
 
-def _replaced(samples: DataFrame, before: int, col: str, value) -> DataFrame:
-    return rolling(samples, before, {"_y": value}).withColumn(col, F.col("_y")).select(*(f"`{c}`" for c in samples.columns))
-
-
 def step(sections: list[Section], state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One sample: (output, next state). State: last two inputs, then last two outputs of each section."""
     after, v = [x + np.zeros_like(state[0]), state[0]], x

@@ -195,7 +195,6 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 3.0::DOUBLE"
         ),
         "plot_columns": plain(f"SELECT idx, {', '.join(r(f'max(x) FILTER (channel = {c})', f'ch{c}') for c in range(16))} FROM samples GROUP BY 1"),
-        "median_filter_5": plain(f"SELECT channel, idx, {r('median(x) OVER (PARTITION BY channel ORDER BY idx ROWS 4 PRECEDING)', 'y')} FROM samples"),
         "raw_vs_processed": of_sections(
             q.SECTIONS["highpass_20"],
             f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'x')} FROM samples s JOIN {{last}} f USING (channel, idx)"
@@ -264,8 +263,9 @@ def oracle_sql() -> dict[str, str]:
     out |= {
         f"moving_average_{n}": plain(
             f"SELECT channel, idx, {r(f'avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y', 6)} FROM samples"
-        ) for n in (3, 10)
+        ) for n in (3, 10, 1000)
     }
+    out |= {f"median_filter_{n}": plain(f"SELECT channel, idx, {r(f'median(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y')} FROM samples") for n in (5, 101)}
     out |= {n: of_sections(DESIGNS.get(n, s)) for n, s in q.SECTIONS.items()}
     both = f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'y')} FROM samples s JOIN {{last}} f USING (channel, idx)"
     out |= {n: of_sections(p.sections(q.RATE), both) for n, p in q.PIPELINES.items() if n != "pipeline_profile_realtime"}

@@ -108,8 +108,8 @@ def moving_average(size):
     return lambda spark, d: rounded(filters.moving_average(events(spark, d), size).select("channel", "idx", F.col("x").alias("y")), {"y": 6})
 
 
-def median_filter_5(spark, d):
-    return rounded(filters.median_filter(events(spark, d), 5).select("channel", "idx", F.col("x").alias("y")))
+def median_filter(size):
+    return lambda spark, d: rounded(filters.median_filter(events(spark, d), size).select("channel", "idx", F.col("x").alias("y")))
 
 
 SECTIONS = {
@@ -373,12 +373,12 @@ def pipeline_with_own_stage(spark, d):
 
 def queries() -> dict:
     plain = [
-        emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, median_filter_5, raw_vs_processed, sliding_windows_64, time_features,
+        emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, raw_vs_processed, sliding_windows_64, time_features,
         stat_features, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
         stream_pipeline_equals_batch, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
     out = {f.__name__: f for f in plain}
-    out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10)}
+    out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10, 1000)} | {f"median_filter_{n}": median_filter(n) for n in (5, 101)}
     out |= {n: (lambda spark, d, s=s: filtered(events(spark, d), s)) for n, s in SECTIONS.items()}
     return out | {n: run_pipeline(p) for n, p in PIPELINES.items()}
