@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwave.functions import complexity
 from sparkwave.session import importable
 
 # The frequency bands of surface EMG, in Hz.
 EMG_BANDS = [("Low", 10.0, 60.0), ("Mid", 60.0, 150.0), ("High", 150.0, 300.0)]
 #: Spectral features in the order of the result.
 FEATURES = ["mean_frequency", "median_frequency", "peak_frequency", "spectral_centroid", "spectral_spread", "spectral_entropy", "total_power", "peak_magnitude"]
-EXTENSIONS = ["spectral_edge_95"]
+EXTENSIONS = ["spectral_edge_95", *complexity.NAMES]
 #: A window shorter than this has no spectrum.
 LEAST = 4
 
@@ -110,24 +111,28 @@ def spectral_struct(col: str, rate: float, bands=EMG_BANDS, names: list[str] = F
     """Struct of the spectral features ``names`` and band_powers of an array column.
 
     A window of fewer than 4 samples has the values of one without power; one with a null or non-finite sample has nulls.
-    ``entropy`` among the names is that of the histogram, without such samples.
+    ``entropy`` among the names is that of the histogram, without such samples; those of ``complexity`` are null where they aren't defined.
     """
-    spectral = [n for n in names if n != "entropy"]
+    spectral = [n for n in names if n != "entropy" and n not in complexity.OF]
+    others = [n for n in names if n in complexity.OF]
 
     def run(arrays: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({**{k: np.zeros(len(arrays)) for k in names}, "band_powers": pd.Series([{}] * len(arrays), dtype=object)})
-        for i, a in enumerate(arrays):
-            if a is None or not np.isfinite(np.asarray(a, float)).all():
-                out.loc[i, spectral] = np.nan
-                out.at[i, "band_powers"] = None
-        for places, x in _by_length(arrays):
-            for k, v in describe(power(x), rate, x.shape[1], bands, spectral).items():
-                out.iloc[places, out.columns.get_loc(k)] = v
-        if "entropy" in names:
-            sizes = arrays.map(lambda a: 0 if a is None else len(a)).to_numpy()
-            for n in np.unique(sizes[sizes > 0]):
-                at = np.flatnonzero(sizes == n)
-                out.iloc[at, out.columns.get_loc("entropy")] = histogram_entropy(np.stack([np.asarray(arrays.iloc[i], float) for i in at]))
-        return out
+        sizes = np.array([0 if a is None else len(a) for a in arrays])
+        good = np.array([a is not None and bool(np.isfinite(np.asarray(a, float)).all()) for a in arrays], bool)
+        found = {k: np.where(good, 0.0, np.nan) if k in spectral else np.full(len(arrays), np.nan) if k in others else np.zeros(len(arrays)) for k in names}
+        powers = np.empty(len(arrays), object)
+        powers[:] = [{} if g else None for g in good]
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == n)
+            x = np.stack([np.asarray(arrays.iloc[i], float) for i in at])
+            if "entropy" in names:
+                found["entropy"][at] = histogram_entropy(x)
+            at, x = at[good[at]], x[good[at]]
+            for k in others if len(at) else []:
+                found[k][at] = complexity.OF[k](x)
+            if n >= LEAST and len(at):
+                for k, v in describe(power(x), rate, n, bands, spectral).items():
+                    (powers if k == "band_powers" else found[k])[at] = v
+        return pd.DataFrame({**found, "band_powers": pd.Series(powers, dtype=object)})
 
     return F.pandas_udf(run, ", ".join([*(f"{k} double" for k in names), "band_powers map<string,double>"]))(F.col(col))

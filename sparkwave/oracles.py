@@ -93,6 +93,24 @@ ent AS (SELECT channel, k, -sum(c / 64.0 * log2(c / 64.0)) AS entropy FROM h GRO
 sf AS (SELECT mom.*, coalesce(entropy, 0) AS entropy FROM mom LEFT JOIN ent USING (channel, k))"""
 
 
+#: All pairs of templates; the parsing one bit at a time: ``low`` is where the phrase begins, ``upto`` the last bit read.
+COMPLEXITY = """t AS MATERIALIZED (
+  SELECT channel, k, j, x AS a, lead(x, 1) OVER v AS b, lead(x, 2) OVER v AS c, 0.2 * stddev_pop(x) OVER (PARTITION BY channel, k) AS r FROM full_w WINDOW v AS (PARTITION BY channel, k ORDER BY j)),
+pr AS (SELECT s.channel, s.k, s.j AS i, t.j, s.c IS NOT NULL AND t.c IS NOT NULL AS prolonged, abs(s.c - t.c) <= s.r AS three FROM t s JOIN t USING (channel, k) WHERE s.b IS NOT NULL AND t.b IS NOT NULL AND abs(s.a - t.a) <= s.r AND abs(s.b - t.b) <= s.r),
+near AS (SELECT channel, k, i, count(*) AS two, count(*) FILTER (prolonged) AS going, count(*) FILTER (prolonged AND three) AS three FROM pr GROUP BY 1, 2, 3),
+en AS (
+  SELECT channel, k, CASE WHEN sum(three) FILTER (three > 0) > 62 AND sum(going) > 62 THEN ln((sum(going) - 62) / (sum(three) - 62)) END AS sample_entropy,
+         avg(ln(two / 63.0)) - avg(ln(three / 62.0)) FILTER (three > 0) AS approximate_entropy
+  FROM near GROUP BY 1, 2),
+bits AS (SELECT channel, k, string_agg(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY j) AS s FROM (SELECT *, median(x) OVER (PARTITION BY channel, k) AS m FROM full_w) GROUP BY 1, 2),
+lz(channel, k, s, upto, low, n) AS (
+  SELECT channel, k, s, 0, 1, 0 FROM bits
+  UNION ALL
+  SELECT channel, k, s, upto + 1, CASE WHEN old THEN low ELSE upto + 2 END, CASE WHEN old THEN n ELSE n + 1 END
+  FROM (SELECT *, contains(left(s, upto), s[low:upto + 1]) AS old FROM lz WHERE upto < 64)),
+cx AS (SELECT channel, k, sample_entropy, approximate_entropy, (n + CASE WHEN low <= 64 THEN 1 ELSE 0 END) * log2(64) / 64 AS lempel_ziv FROM lz JOIN en USING (channel, k) WHERE upto = 64)"""
+
+
 def spectra(source: str, keys: str) -> list[str]:
     """Power of bins 0 to 31 of 64-sample windows by the definition of the transform, and features of them. Bands: Low 10-60, Mid 60-150, High 150-300 Hz."""
     return [
@@ -210,6 +228,17 @@ def oracle_sql() -> dict[str, str]:
             [SAMPLES, *windowed("samples"), STATISTICS],
             f"SELECT {SHAPE}, {rounded(['skewness', 'kurtosis', 'entropy', 'energy', 'power'], q.EXACT)} FROM sf"
         ),
+        "complexity_features": with_([SAMPLES, *windowed("samples"), COMPLEXITY], f"SELECT channel, k, {rounded(q.complexity.NAMES, dict.fromkeys(q.complexity.NAMES, 6))} FROM cx"),
+        # The Hilbert transformer as a sum over its taps, 32 to both sides.
+        "instantaneous_frequency": with_(
+            [
+                SAMPLES,
+                "taps AS (SELECT k, CASE WHEN k % 2 <> 0 THEN 2 / (pi() * k) * (0.54 + 0.46 * cos(pi() * k / 32)) ELSE 0 END AS h FROM range(-32, 33) r(k))",
+                "hs AS (SELECT s.channel, s.idx, any_value(s.x) AS x, coalesce(sum(h * e.x), 0) AS h FROM samples s, taps LEFT JOIN samples e ON e.channel = s.channel AND e.idx = s.idx - k GROUP BY 1, 2)",
+                "z AS (SELECT *, lag(x) OVER v AS x1, lag(h) OVER v AS h1 FROM hs WINDOW v AS (PARTITION BY channel ORDER BY idx))",
+            ],
+            f"SELECT channel, idx, {r('sqrt(x * x + h * h)', 'amplitude')}, {r('atan2(h * x1 - x * h1, x * x1 + h * h1) * 1000.0::DOUBLE / (2 * pi())', 'frequency')} FROM z",
+        ),
         "spectrum_64": with_(dft, f"SELECT k, bin, {r('f', 'freq')}, {r('p', 'p')} FROM sp"),
         "spectral_features": with_(dft, f"SELECT k, {rounded([*SPECTRAL_NAMES, 'spectral_edge_95'], {})} FROM qf"),
         "band_powers": with_(

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwave.functions import spectrum
+from sparkwave.functions import complexity, spectrum
 from sparkwave.functions.patterns import PRESETS, mean_activation
-from sparkwave.operators import design, features, filters, reshape, windows
+from sparkwave.operators import analytic, design, features, filters, reshape, windows
 from sparkwave.plans import profiles, spec
 from sparkwave.sources import samples as sources
 from sparkwave.sources.emg import Emg, Noise
@@ -168,6 +168,14 @@ def stat_features(spark, d):
     return rounded(features.features(events(spark, d), SIZE, OVERLAP, RATE, features.STATISTICS), EXACT)
 
 
+def complexity_features(spark, d):
+    return rounded(features.features(events(spark, d), SIZE, OVERLAP, RATE, complexity.NAMES).select("channel", "k", *complexity.NAMES), dict.fromkeys(complexity.NAMES, 6))
+
+
+def instantaneous_frequency(spark, d):
+    return rounded(analytic.instantaneous(events(spark, d), RATE).select("channel", "idx", "amplitude", "frequency"))
+
+
 def spectrum_64(spark, d):
     p = spectrum.power_spectrum(vectors(spark, d))
     return rounded(p.select("k", F.posexplode("p").alias("bin", "p")).select("k", "bin", (F.col("bin") * RATE / SIZE).alias("freq"), "p"))
@@ -374,7 +382,7 @@ def pipeline_with_own_stage(spark, d):
 def queries() -> dict:
     plain = [
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, raw_vs_processed, sliding_windows_64, time_features,
-        stat_features, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
+        stat_features, complexity_features, instantaneous_frequency, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
         stream_pipeline_equals_batch, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
