@@ -11,7 +11,8 @@ pre-tokens of those that are new, hence ``ChunkMemo``. The memos are bounded: th
 
 Characters are letters, digits and cases by Unicode tables, and those of Python, of its ``regex`` module and of the
 library are of different versions. They agree on what Python's table assigns (tests ask the library for every code
-point); a chunk with any other character is normalised and split by the library itself.
+point) as long as nothing is to be composed or put in order; a chunk that isn't normalised, or has any other character,
+is normalised and split by the library itself.
 """
 
 from __future__ import annotations
@@ -99,10 +100,11 @@ class BytePairs:
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
         if not text.isascii():
-            if any(unicodedata.category(c) == "Cn" for c in text):
+            # Marks and compositions that the library's older table lacks change nothing in normalised text.
+            if not unicodedata.is_normalized("NFC", text) or any(unicodedata.category(c) == "Cn" for c in text):
                 return self.library_split(text)
             # One character at a time, as the library does: a final sigma is no special case.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.replace("Σ", "σ")
         low = text.lower()
         return [low] if low.isalpha() else self.pieces.findall(low)
 

@@ -4,13 +4,14 @@ Paragraphs pass points for their length and commas to their nearest ancestors (a
 grandparent, then ever less); containers are discounted by link density. The best container, or the article element
 around it, is kept with siblings that score or read like it. Page furniture is taken out beforehand, by element, role,
 class or id; classes, ids and forms only hint at furniture, so what they name stays if it holds an article or most of
-the page's points. All steps take time in proportion to the page, however deep or broken it is.
+the page's points, unless the article is plainly elsewhere: reader comments and sidebars go however long they are.
+All steps take time in proportion to the page, however deep or broken it is: the scanner looks at no character twice.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,11 @@ CLOSED_BY = {
 # Words in class names and ids, and roles, of what isn't the article.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay "
-    "sidebar aside widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar masthead header footer comment comments disqus replies respond reactions share sharing social "
+    "sidebar aside widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar masthead header footer comment comments disqus replies respond responses reactions share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login search skip".split()
 )
+#: Those of reader comments: one among other words is enough.
+COMMENTS = frozenset("comment comments disqus replies respond responses reactions".split())
 NEIGHBOUR = frozenset("has with without no".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 WORDS = re.compile(r"[a-z]+")
@@ -65,11 +68,11 @@ def is_furniture(tag: str, attrs) -> bool:
 
 
 def named_as(tag: str, attrs) -> int:
-    """By class or id: 2 if a name has words of furniture alone, 1 if it has one among others (of a paragraph that is 0: share-price). A form: 2."""
+    """By class or id: 2 if a name has words of furniture alone, or one of comments; 1 if it has one among others (of a paragraph that is 0: share-price). A form: 2."""
     if tag == "form":
         return 2
     found = [
-        2 if FURNITURE.issuperset(words) else 1 for name,
+        2 if FURNITURE.issuperset(words) or COMMENTS.intersection(words) else 1 for name,
         value in attrs if name in ("class", "id") and value for words in names_of(value) if FURNITURE.intersection(words)
     ]
     most = max(found, default=0)
@@ -77,14 +80,93 @@ def named_as(tag: str, attrs) -> int:
 
 
 def names_of(value: str):
-    """Words of each name in a class or id; a name such as has-sidebar tells of a neighbour and is left out."""
+    """Words of each name in a class or id; a name such as has-sidebar or page-with-comments tells of a neighbour and is left out."""
     for name in value.split():
         words = WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        if words and words[0] not in NEIGHBOUR:
+        if words and not NEIGHBOUR.intersection(words[:-1]):
             yield words
 
 
-class Tree(HTMLParser):
+# Elements whose content is text up to their end tag; in the last two character references count.
+RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
+REFERENCES = frozenset("textarea title".split())
+OPENING = re.compile(r"<([A-Za-z/!?])")
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=][^\s/>=]*|=[^\s/>=]*)(\s*=\s*)?)?")
+UNQUOTED = re.compile(r"[^\s>]*")
+COMMENT_END = re.compile(r"--!?>")
+ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+LONG_NUMBER = re.compile(r"&#(?:[xX][0-9a-fA-F]{8,}|[0-9]{8,});?")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+
+
+def characters(text: str) -> str:
+    """Character references decoded; a number beyond all characters is U+FFFD."""
+    return unescape(LONG_NUMBER.sub("\ufffd", ZEROS.sub(r"&#\1", text))) if "&" in text else text
+
+
+def attributes(html: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes of a tag from behind its name, and the place behind the tag; -1 if it doesn't end."""
+    out = []
+    while True:
+        m = ATTRIBUTE.match(html, at)
+        at = m.end()
+        if m[1] is None:
+            at = html.find(">", at) if at < len(html) else -1  # at once, but for the end of the page
+            return out, at + 1 if at >= 0 else -1
+        value = ""
+        if m[2] is not None:
+            quote = html[at : at + 1]
+            if quote in ("'", '"'):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return out, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                value = UNQUOTED.match(html, at)[0]
+                at += len(value)
+        out.append((m[1].lower(), characters(value)))
+
+
+def tokens(html: str):
+    """("data", text), ("start", name, attributes) and ("end", name) of a page, in one pass.
+
+    A tag or comment that doesn't end takes the rest of the page, as in browsers, so nothing is looked at again.
+    """
+    at, n = 0, len(html)
+    while at < n:
+        opening = OPENING.search(html, at)
+        if not opening:
+            yield "data", characters(html[at:])
+            return
+        sign, follows = opening.start(), opening[1]
+        name = TAG_NAME.match(html, sign + 1 + (follows == "/"))
+        if sign > at:
+            yield "data", characters(html[at:sign])
+        if name:
+            found, at = attributes(html, name.end())
+            if at < 0:
+                return
+            tag = name[0].lower()
+            if follows == "/":
+                yield "end", tag
+                continue
+            yield "start", tag, found
+            if tag in RAW:
+                end = RAW_END[tag].search(html, at)
+                inside = html[at : end.start() if end else n]
+                if inside:
+                    yield "data", characters(inside) if tag in REFERENCES else inside
+                at = end.start() if end else n
+        elif html.startswith("<!--", sign):
+            end = COMMENT_END.search(html, sign + 2)
+            at = end.end() if end else n
+        else:
+            end = html.find(">", sign)
+            at = end + 1 if end >= 0 else n
+
+
+class Tree:
     """A forgiving tree: implied ends, unknown ends and missing ends as browsers treat them, in outline.
 
     ``path`` holds the open elements, ``depths`` where on it each name stands and where blocks do: an end finds its
@@ -92,7 +174,6 @@ class Tree(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", None, False)
         self.path, self.depths = [self.root], {}
         self.named: list[Node] = []  # may be taken out for a class or id, or as a form
@@ -129,9 +210,6 @@ class Tree(HTMLParser):
                 self.depths.setdefault(name, []).append(len(self.path))
             self.path.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
-
     def end_implied(self, tags, until):
         depth = self.deepest(tags)
         if depth > self.deepest(until):
@@ -142,11 +220,14 @@ class Tree(HTMLParser):
         if depth and (tag in BLOCKS or depth > self.deepest(("",))):  # the end of an inline element doesn't close a block
             self.close_to(depth)
 
-    def handle_data(self, data):
-        self.path[-1].inside.append(data)
-
-    def unknown_decl(self, data):
-        pass
+    def feed(self, html: str) -> None:
+        for kind, *what in tokens(html):
+            if kind == "data":
+                self.path[-1].inside.append(what[0])
+            elif kind == "start":
+                self.handle_starttag(*what)  # a slash at its end means nothing in HTML
+            else:
+                self.handle_endtag(*what)
 
 
 def walk(top: Node):
@@ -226,51 +307,95 @@ def clear(root: Node) -> None:
             item.score, item.points, item.chars, item.linked = 0.0, 0.0, 0, 0
 
 
-def beside(root: Node, held: list[Node]) -> set[int]:
-    """Nodes beside which one of ``held`` with text stands: not all of those are around the node."""
-    counted = {id(x) for x in held if x.chars}
-    out, around = set(), 0
-    for item, _, entering in walk(root):
-        if isinstance(item, Node):
-            if entering and around < len(counted):
-                out.add(id(item))
-            around += (1 if entering else -1) * (id(item) in counted)
-    return out
+#: Characters beside links that are an article's, and no stray line.
+SOME = 140
+#: Containers, from the outside in, that may turn out to be the page itself.
+WRAPPERS = 5
 
 
-def take_out(root: Node, named: list[Node]) -> None:
-    """Removes ``named``, but none that holds a main element, an article or most of the page's paragraph points.
+def holders(root: Node) -> set[int]:
+    """Nodes around a main element or an article of the page.
 
-    Articles inside articles, those that are named as furniture themselves, and those with under a fifth of the best
-    one's points (teasers) don't count. What a whole name tells of (ad, not ad-free) goes whatever its points are if an
-    article or main element with text stands beside it.
+    Articles inside articles or among comments, those that are named as furniture themselves, and those with under a
+    fifth of the best one's points (teasers) don't count.
     """
-    score(root)
     articles, mains, depth = [], [], 0
     for item, _, entering in walk(root):
-        if isinstance(item, Node) and item.tag == "article":
+        if isinstance(item, Node) and (item.tag == "article" or item.named == 2 and item.tag != "form"):
             depth += 1 if entering else -1
             if entering and depth == 1 and not item.named:
                 articles.append(item)
         elif isinstance(item, Node) and item.tag == "main" and entering:
             mains.append(item)
-    best, holding = max((x.points for x in articles), default=0.0), set()
-    held = [*mains, *(x for x in articles if x.points >= 0.2 * best)]
-    for at in held:
-        while at is not None and id(at) not in holding:
-            holding.add(id(at))
+    best, out = max((x.points for x in articles), default=0.0), set()
+    for at in [*(x for x in mains if x.chars), *(x for x in articles if x.chars and x.points >= 0.2 * best)]:
+        while at is not None and id(at) not in out:
+            out.add(id(at))
             at = at.parent
-    aside = beside(root, held)
-    out = [x for x in named if id(x) not in holding and (2 * x.points <= root.points or x.named == 2 and id(x) in aside)]
+    return out
+
+
+def outside(root: Node, closed: set[int]) -> int:
+    """Characters that are in no link and in none of the nodes ``closed``."""
+    chars, shut = 0, 0
+    for item, _, entering in walk(root):
+        if isinstance(item, Node):
+            shut += (1 if entering else -1) * (id(item) in closed or item.tag == "a")
+        elif not shut:
+            chars += len("".join(item.split()))
+    return chars
+
+
+def take_out(root: Node, named: list[Node]) -> None:
+    """Removes ``named``, but none that holds a main element or an article, and not what is most of the page.
+
+    What a whole name tells of (ad, not ad-free), and comments, go whatever their length if an article's text is left
+    without them. Where none is, the largest one around most of the page's points is its wrapper, and stays.
+    """
+    score(root)
+    holding = holders(root)
+    undecided = {id(x): x for x in named if id(x) not in holding}
+    plain = outside(root, set(undecided)) >= SOME
+    for _ in range(WRAPPERS):
+        if plain or holding:
+            break
+        large = max((x for x in undecided.values() if 2 * x.points > root.points), key=lambda x: x.points, default=None)
+        if large is None:
+            break
+        del undecided[id(large)]
+        plain = outside(root, set(undecided)) >= SOME
+    out = [x for x in undecided.values() if 2 * x.points <= root.points or x.named == 2 and (plain or holding)]
     clear(root)
     for x in out:
         x.removed = True
 
 
+def drop_replies(root: Node) -> None:
+    """Articles inside an article that has text of its own are replies to it or teasers, but for those with headings."""
+    depth, own, inner, nested = 0, 0, [], None
+    for item, _, entering in walk(root):
+        if isinstance(item, str):
+            own += len("".join(item.split())) if depth == 1 else 0
+            continue
+        if item.tag == "article":
+            depth += 1 if entering else -1
+            if entering and depth == 1:
+                own, inner = 0, []
+            elif entering and depth == 2:
+                nested = [item, False]
+                inner.append(nested)
+            elif not entering and depth == 0 and own >= SOME:
+                for x, headed in inner:
+                    x.removed = not headed
+        elif item.tag in HEADINGS and depth > 1 and nested:
+            nested[1] = True
+
+
 def main_nodes(root: Node, named: list[Node]) -> list[Node]:
     """The nodes whose text is the article, in page order; ``named`` ones are taken out unless nothing is left then."""
     if named:
         take_out(root, named)
+    drop_replies(root)
     keep_headings(root)
     scored = score(root)
     if not scored and (out := [x for x in named if x.removed]):
@@ -330,7 +455,6 @@ def main_text(html: str | None) -> str:
         return ""
     tree = Tree()
     tree.feed(html)
-    tree.close()
     return "\n\n".join(blocks(main_nodes(tree.root, tree.named)))
 
 

@@ -174,6 +174,29 @@ def test_a_page_without_any_other_line_is_left_empty(spark):
     assert {(r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(df).collect()} == {("", 2)}
 
 
+def test_a_page_of_many_boilerplate_lines_takes_time_in_proportion(spark):
+    from time import perf_counter
+
+    page = "\n".join(f"line {i}" for i in range(20_000))
+    df = spark.createDataFrame([(0, "s", page), (1, "s", page + "\n\nown"), (2, "t", page)], "doc_id long, source string, text string")
+    began = perf_counter()
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(df).collect()}
+    assert got == {0: ("", 20_000), 1: ("\nown", 20_000), 2: (page, 0)} and perf_counter() - began < 8
+
+
+def test_a_hot_host_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOST_PAGES", 10)
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"h{i % 30}", f"menu\nown {i}", i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n long, _h string")
+    kept = {r.doc_id: (r.text, r.n_dropped, r.n, r._h) for r in line_dedup.drop_boilerplate(df, broadcast_lines=0).collect()}
+    assert kept == {i: (f"own {i}", 1, i, "x") for i in range(300)}
+    from sparkwave.llm.common import fresh
+
+    side = spark.createDataFrame([("hot", ["1:2"])], "_host string, _bad array<string>")
+    parts = line_dedup.spread(df.withColumnRenamed("_h", "other"), side, F.col("source"), F.col("text"), "_host", "_part").where("source = 'hot'").groupBy("_part").count().collect()
+    assert len(parts) == 10 and max(r["count"] for r in parts) < 30 and fresh(df, "_h") == ["__h"]
+
+
 # 10: pages
 LONG = "This is a long paragraph, with commas, and with enough words in it to be scored as content, surely."
 PAGES = [
@@ -242,6 +265,94 @@ def test_broken_pages_take_time_in_proportion(n):
         assert perf_counter() - began < 3, html[:40]
 
 
+@pytest.mark.parametrize("shape", ["<a ", '<a href="', "<!--", "<!-- x --", "<", "</", "<script>", "<a b='", "&#9", "&#" + "9" * 99_999, "&#x0", "<title>", "<![CDATA[", "<a =", "<p/", "<?", "<svg><a x=1 ", "&amp", "<!-->", "<b c=d e "])
+def test_two_hundred_kilobytes_of_broken_tags_take_under_a_second(shape):
+    from time import perf_counter
+
+    page = (shape * (200_000 // len(shape) + 1))[:200_000]
+    began = perf_counter()
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>" + page).startswith(LONG)
+    assert perf_counter() - began < 1
+
+
+REPLY = "I have read all of this, and I must say, it is rather longer than it had to be, as these things are."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<main><article>{}</article><ol class='comment-list'>{}</ol></main>",
+        "<article>{}<div id='post-comments'>{}</div></article>",
+        "<article>{}<div class='responses'>{}</div></article>",
+        "<article>{}<div class='responses'><article>{}</article></div></article>",
+        "<article>{}<div class='below'><article>{}</article></div></article>",
+        "<div class=text>{}</div><div class='sidebar'>{}</div>",
+        "<div class=text>{}</div><section class='comments'>{}</section>",
+        "<main><article>{}</article><section class='comments'><article class=c-item>{}</article></section></main>",
+        "<form><div class=text>{}</div><div class='comments'>{}</div></form>",
+    ],
+)
+@pytest.mark.parametrize("times", [1, 8, 40])
+def test_comments_and_sidebars_go_however_long_they_are(html, times):
+    text = f"<h1>T</h1><p>{LONG}</p><p>{LONG} Second.</p>"
+    assert html_text.main_text(html.format(text, f"<p>{REPLY}</p>" * times)) == f"T\n\n{LONG}\n\n{LONG} Second."
+
+
+def test_tokens_of_odd_pages():
+    got = list(html_text.tokens("a < b &lt;&#0065;&#99999999;<P CLASS=\"x>y\" id=q hidden/>t</P ><!-- <b> --!>u<script>if (a<b) '</p>'</script><title>&amp;<b></title></ >v<br"))
+    assert got == [("data", "a < b <A\ufffd"), ("start", "p", [("class", "x>y"), ("id", "q"), ("hidden", "")]), ("data", "t"), ("end", "p"), ("data", "u"), ("start", "script", []), ("data", "if (a<b) '</p>'"), ("end", "script"), ("start", "title", []), ("data", "&<b>"), ("end", "title"), ("data", "v")]
+
+
+def test_scores_equal_a_plain_recursion():
+    rng = np.random.default_rng(6)
+    tags = ["div", "p", "a", "b", "ul", "li", "section", "td", "pre", "span", "nav", "h2", "blockquote"]
+    for _ in range(300):
+        html, open_ = "", []
+        for _ in range(int(rng.integers(1, 60))):
+            kind = rng.random()
+            if kind < 0.4:
+                open_.append(str(rng.choice(tags)))
+                html += f"<{open_[-1]}>"
+            elif kind < 0.6 and open_:
+                html += f"</{open_.pop()}>"
+            else:
+                html += " ".join(["word,", "a", "longer"][int(i)] for i in rng.integers(0, 3, int(rng.integers(1, 20))))
+        tree = html_text.Tree()
+        tree.feed(html)
+        found = {id(n): n.score for n in html_text.score(tree.root)}
+        want = {}
+
+        def own(node):
+            """Characters and commas of a node's inline text."""
+            chars = commas = 0
+            for x in node.inside:
+                if isinstance(x, str):
+                    text = " ".join(x.split())
+                    chars, commas = chars + len(text), commas + text.count(",")
+                elif not x.removed and x.tag not in html_text.BLOCKS:
+                    a, b = own(x)
+                    chars, commas = chars + a, commas + b
+            return chars, commas
+
+        def visit(node):
+            chars, commas = own(node)
+            scored = node.tag in html_text.SCORED
+            if chars and (scored or node.tag in html_text.BLOCKS and chars >= 25):
+                at = node.parent if scored else node
+                for level in range(html_text.LEVELS):
+                    if at is None:
+                        break
+                    share = 1 if level == 0 else 1 / 2 if level == 1 else 1 / (3 * level)
+                    want[id(at)] = want.get(id(at), 0) + (1 + commas + min(chars / 100, 3)) * share
+                    at = at.parent
+            for x in node.inside:
+                if not isinstance(x, str) and not x.removed:
+                    visit(x)
+
+        visit(tree.root)
+        assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-9 for k, v in want.items()), html
+
+
 def test_articles_of_the_pages_table(spark, sf):
     """Each page has one article element without furniture inside: its text is the answer."""
     import re

@@ -202,6 +202,38 @@ def test_ids_of_every_code_point(library):
             assert own.encode(text) == library[0](text), (form, at)
 
 
+def test_ids_of_marks_beside_marks_and_of_decomposed_forms(library):
+    """Every mark before and after 20 marks of different classes, and every decomposed form, alone and in words."""
+    import unicodedata
+
+    import public_tokenizers
+
+    own = bpe.BytePairs(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if unicodedata.combining(c)]
+    classes_ = {unicodedata.combining(c): c for c in reversed(marks)}
+    chosen = ["\u0301", "\u0323", "\u3099", "\u0334", *[c for k, c in sorted(classes_.items()) if c not in "\u0301\u0323\u3099\u0334"][::3]][:20]
+    pairs = [f"{form}{x}{y}" for m in marks for o in chosen for x, y in ((m, o), (o, m)) for form in ("a", "q")]
+    forms = [unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xAC00), *range(0xAC00, 0xD7A4, 29), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]) if unicodedata.normalize("NFD", c) != c]
+    for texts in (pairs, [p + "b" for p in pairs[::7]], forms, [f"x{f}y" for f in forms], [f + "\u0301" for f in forms]):
+        for at in range(0, len(texts), 5000):
+            text = " ".join(texts[at : at + 5000])
+            if own.encode(text) != library[0](text):
+                assert not [t for t in texts[at : at + 5000] if own.encode(t) != library[0](t)]
+
+
+def test_ids_of_random_texts_with_marks(library):
+    import public_tokenizers
+
+    own = bpe.BytePairs(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(12)
+    alphabet = list("aeiouAEst 1'\n\u0301\u0323\u0c3c\u07fd\u0898\u1abf\u11935\u0334éñ한\u1112\u1161\u11abΣ.") + ["\U00011935\U00011930", "\U00011938", "token", " "]
+    lines = ["".join(rng.choice(alphabet, int(rng.integers(1, 12)))) for _ in range(50_000)]
+    for at in range(0, len(lines), 500):
+        text = " ".join(lines[at : at + 500])
+        if own.encode(text) != library[0](text):
+            assert not [t for t in lines[at : at + 500] if own.encode(t) != library[0](t)]
+
+
 # 8: secrets
 def test_base_spans(docs, awkward):
     for rows in (docs, awkward):
