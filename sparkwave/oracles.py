@@ -210,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "time_vector": plain(f"SELECT channel, idx, {r('idx / 1000.0::DOUBLE', 't')} FROM samples"),
         "recent_window": plain(
-            f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 3.0::DOUBLE"
+            f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx / 1000.0::DOUBLE >= (SELECT max(idx) / 1000.0::DOUBLE FROM samples) - 0.2::DOUBLE"
         ),
         "plot_columns": plain(f"SELECT idx, {', '.join(r(f'max(x) FILTER (channel = {c})', f'ch{c}') for c in range(16))} FROM samples GROUP BY 1"),
         "raw_vs_processed": of_sections(
@@ -278,8 +278,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sample_violations": "SELECT (user_id % 20)::INT AS channel, count(*) AS n, count(DISTINCT event_id) AS distinct, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1 HAVING NOT (count(*) = count(DISTINCT event_id) AND min(event_id) = 0 AND max(event_id) = count(*) - 1 AND (any_value(user_id) % 20) BETWEEN 0 AND 15)",
         "latest_chunk": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 = (SELECT max(idx) // 100 FROM samples)"),
-        "buffer_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 > (SELECT max(idx) // 100 FROM samples) - 100"),
-        "plot_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples QUALIFY row_number() OVER (PARTITION BY channel ORDER BY idx DESC) <= 3000"),
+        "buffer_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples WHERE idx // 100 > (SELECT max(idx) // 100 FROM samples) - 3"),
+        "plot_tail": plain(f"SELECT channel, idx, {r('x', 'x')} FROM samples QUALIFY row_number() OVER (PARTITION BY channel ORDER BY idx DESC) <= 50"),
         "config_latency": with_(
             config([p() for n, p in profiles.PROFILES.items() if n != "custom"]),
             f"SELECT profile, pipeline, {r('sum(CASE kind WHEN $$filter$$ THEN coalesce(ord, 2) * 0.1::DOUBLE ELSE coalesce(size, 256) / 1000.0::DOUBLE END)', 'latency')}, count(*) AS stages FROM ch JOIN pr USING (profile, processor) GROUP BY 1, 2"
@@ -301,7 +301,15 @@ def oracle_sql() -> dict[str, str]:
     smooth = f"sm AS (SELECT channel, idx, avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS 2 PRECEDING) AS x FROM {last})"
     out["pipeline_profile_realtime"] = with_([SAMPLES, *realtime, smooth], both.format(last="sm"))
     out["stream_filter_equals_batch"] = out["pipeline_realtime"]
-    out["stream_pipeline_equals_batch"] = out["pipeline_profile_realtime"]
+    out["stream_pipeline_equals_batch"] = out["stream_state_equals_batch"] = out["pipeline_profile_realtime"]
+    figures = ", ".join([r("avg(value)", "mean"), r("sqrt(avg(value * value))", "rms"), r("min(value)", "min_value"), r("max(value)", "max_value")])
+    out["session_features"] = f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS g FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS new FROM e))
+SELECT user_id, min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS n, {figures} FROM g GROUP BY user_id, g"""
+    out["tumbling_features"] = f"""WITH e AS (SELECT user_id, epoch_us(ts) // 21600000000 AS w, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT user_id, w * 21600000000 AS start_us, (w + 1) * 21600000000 AS end_us, count(*) AS n, {figures} FROM e GROUP BY user_id, w"""
+    out["paired_streams"] = f"""SELECT (user_id % 16)::INT AS channel, event_id AS idx, {r('value', 'x_raw')}, {r('CASE WHEN event_id % 7 <> 3 THEN greatest(20.0, least(60.0, value))::DOUBLE END', 'x')}, event_id % 7 <> 3 AS success
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"""
     gapped = "gapped AS MATERIALIZED (SELECT channel, idx AS place, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS idx, x FROM samples WHERE idx >= 40 AND idx % 7 <> 3)"
     late, end = recursion(q.SECTIONS["highpass_20"], "gapped", "g")
     out["highpass_with_gaps"] = with_([SAMPLES, gapped, *late], f"SELECT channel, place AS idx, {r('f.x', 'y')} FROM {end} f JOIN gapped USING (channel, idx)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,7 +15,8 @@ from sparkwave.operators import analytic, design, features, filters, reshape, wi
 from sparkwave.plans import profiles, spec
 from sparkwave.sources import samples as sources
 from sparkwave.sources.emg import Emg, Noise
-from sparkwave.streaming import live
+from sparkwave.streaming import eventtime, live, stateful
+from sparkwave.streaming.fanout import Folder
 
 RATE = 1000.0
 SIZE, OVERLAP = 64, 0.5
@@ -97,7 +99,7 @@ def time_vector(spark, d):
 
 
 def recent_window(spark, d):
-    return rounded(reshape.recent(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
+    return rounded(reshape.recent(events(spark, d), 0.2, last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def plot_columns(spark, d):
@@ -279,11 +281,11 @@ def latest_chunk(spark, d):
 
 
 def buffer_tail(spark, d):
-    return rounded(reshape.buffer_tail(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
+    return rounded(reshape.buffer_tail(events(spark, d), 3, last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def plot_tail(spark, d):
-    return rounded(reshape.plot_tail(events(spark, d), last=last(spark, d)).select("channel", "idx", "x"))
+    return rounded(reshape.plot_tail(events(spark, d), 50, last=last(spark, d)).select("channel", "idx", "x"))
 
 
 def config_latency(spark, d):
@@ -296,41 +298,117 @@ def config_unknown_processors(spark, d):
     return profiles.unknown_processors(*profiles.tables(spark, [broken, profiles.research()]))
 
 
-def in_order(rows: DataFrame, ts: str, path: str, parts: int = 4, most_rows: int = 1_000_000) -> int:
-    """Writes ``rows`` as ``parts`` successive runs of time, each as so many files, which is returned: for streams that read a run at a time."""
+def in_order(rows: DataFrame, ts: str, path: str, parts: int = 3, most_rows: int = 1_000_000, most_files: int = 64) -> int:
+    """Writes ``rows`` as successive runs of time, each as so many files, which is returned: for streams that read a run at a time.
+
+    There are ``parts`` runs at least, and so many that one has at most ``most_files`` files of about ``most_rows`` rows.
+    """
     at = sources.seconds(rows, ts)
-    edges = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)]), F.count("*")).head()
-    files = max(1, -(-edges[1] // (parts * most_rows)))
-    bounds = [None, *(edges[0] or []), None]
+    count = rows.count()
+    parts = max(parts, -(-count // (most_files * most_rows)))
+    edges = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).head()[0]
+    files = max(1, -(-count // (parts * most_rows)))
+    bounds = [None, *(edges or []), None]
     for low, high in zip(bounds, bounds[1:]):
         part = rows if low is None else rows.where(at > low)
         (part if high is None else part.where(at <= high)).repartition(files).write.mode("append").parquet(path)
     return files
 
 
-def streamed(spark: SparkSession, d: str, sink_of) -> DataFrame:
-    """The events as a stream of several micro-batches into ``sink_of(order, bucket, out)``; the rows it has written."""
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; it goes when the driver exits."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="sparkwave-")
     out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    events_ = spark.read.parquet(f"{d}/events.parquet").where("user_id is not null and ts is not null").select("user_id", "ts", "event_id", "value")
-    files = in_order(events_, "ts", f"{out}/in")
-    stream = spark.readStream.schema(events_.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/in")
-    rows = stream.select(
-        F.lit("events").alias("signal_id"),
-        F.pmod("user_id", F.lit(16)).cast("int").alias("channel"),
-        "ts",
-        "event_id",
-        F.col("value").alias("x")
-    )
+
+    def clear() -> None:
+        try:
+            Folder(spark, out).delete()
+        except Exception:  # noqa: BLE001  the session may have ended
+            pass
+
+    atexit.register(clear)
+    return out
+
+
+def dated_events(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, ts (a point in time), event_id, value of the events that have a user and a time."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id is not null and ts is not null")
+    return e.select("user_id", eventtime.instant(e, "ts").alias("ts"), "event_id", "value")
+
+
+def live_events(rows: DataFrame, path: str, closing: bool = False) -> DataFrame:
+    """``rows`` written in runs of time, and read as a stream of as many micro-batches; ``closing``: a last row of user -1 a year later ends all windows."""
+    spark = rows.sparkSession
+    files = in_order(rows, "ts", path)
+    if closing:
+        end = rows.agg((F.max("ts") + F.expr("interval 1 year")).alias("ts")).where("ts is not null")
+        end.select(*[F.col("ts") if c == "ts" else F.lit(-1 if c == "user_id" else None).cast(t).alias(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def written(stream: DataFrame, out: str) -> DataFrame:
+    """Runs a stream to its end into Parquet; what has been written. Input and checkpoint are deleted."""
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for name in ("checkpoint", "in", "in-2"):
+        Folder(stream.sparkSession, out).delete(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def as_samples(stream: DataFrame) -> DataFrame:
+    return stream.select(F.lit("events").alias("signal_id"), F.pmod("user_id", F.lit(16)).cast("int").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
+
+
+def streamed(spark: SparkSession, d: str, sink_of) -> DataFrame:
+    """The events as a stream of several micro-batches into ``sink_of(order, bucket, out)``; the rows it has written."""
+    out = folder(spark)
+    rows = as_samples(live_events(dated_events(spark, d), f"{out}/in"))
     sink = sink_of(["ts", "event_id"], F.floor(sources.seconds(rows, "ts") / 3600), out)
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for name in Folder(spark, out).names():
+        if name != "rows":
+            Folder(spark, out).delete(name)
     return rounded(sink.rows(spark).select("channel", "idx", "x_raw", F.col("x").alias("y")))
 
 
+def stream_state_equals_batch(spark, d):
+    """The same pipeline with what it remembers in Spark's state store."""
+    out = folder(spark)
+    rows = as_samples(live_events(dated_events(spark, d), f"{out}/in"))
+    done = stateful.stream_channels(rows, PIPELINES["pipeline_profile_realtime"], ["ts", "event_id"], RATE)
+    return rounded(written(done, out).select("channel", "idx", "x_raw", F.col("x").alias("y")))
+
+
+def _events_by_time(spark, d, of, size):
+    out = folder(spark)
+    found = of(live_events(dated_events(spark, d), f"{out}/in", closing=True), ["user_id"], "ts", size, late="10 minutes")
+    done = written(found, out).where("user_id >= 0")
+    return rounded(done.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", "mean", "rms", "min_value", "max_value"))
+
+
+def session_features(spark, d):
+    """Sessions of users, closed by half an hour without an event, from a stream."""
+    return _events_by_time(spark, d, eventtime.sessions, "30 minutes")
+
+
+def tumbling_features(spark, d):
+    return _events_by_time(spark, d, eventtime.tumbling, "6 hours")
+
+
+def paired_streams(spark, d):
+    """Raw samples beside clamped ones, which come a second later; every seventh is lost."""
+    out, e = folder(spark), dated_events(spark, d)
+    done = e.where("event_id % 7 <> 3").select("user_id", (F.col("ts") + F.expr("interval 1 second")).alias("ts"), "event_id", F.greatest(F.lit(20.0), F.least(F.lit(60.0), "value")).alias("value"))
+    raw, processed = (
+        as_samples(live_events(rows, f"{out}/{name}", closing=True).where("user_id >= 0 or event_id is null")).withColumnRenamed("event_id", "idx") for rows, name in ((e, "in"), (done, "in-2"))
+    )
+    both = written(eventtime.paired_streams(raw, processed, within="10 seconds", late="1 minute"), out).where("idx is not null")
+    return rounded(both.select("channel", "idx", "x_raw", "x", "success"))
+
+
 def stream_filter_equals_batch(spark, d):
     return streamed(spark, d, lambda order, bucket, out: live.BlockSink(spec.realtime().sections(RATE), order, bucket, out, RATE))
 
@@ -384,7 +462,7 @@ def queries() -> dict:
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, raw_vs_processed, sliding_windows_64, time_features,
         stat_features, complexity_features, instantaneous_frequency, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
-        stream_pipeline_equals_batch, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
+        stream_pipeline_equals_batch, stream_state_equals_batch, session_features, tumbling_features, paired_streams, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10, 1000)} | {f"median_filter_{n}": median_filter(n) for n in (5, 101)}

@@ -23,6 +23,7 @@ from sparkwave.plans.spec import Pipeline
 from sparkwave.session import importable
 from sparkwave.sources.emg import Emg
 from sparkwave.sources.samples import KEY, indexed
+from sparkwave.streaming.fanout import Folder
 
 OUT = "signal_id string, channel int, idx long, t double, x_raw double, x double"
 
@@ -70,7 +71,7 @@ class BlockSink:
     """For foreachBatch: filters micro-batches of any size as a block scan and writes them; no task has a whole channel.
 
     ``out``, in shared storage, gets a folder of rows (OUT) for each micro-batch, and each channel's sample count and
-    cascade state after it. A micro-batch that is run again starts from the same states and replaces its folder.
+    cascade state after it, of the last two micro-batches. One that is run again starts from the same states and replaces its folder.
     Columns, sorting and idx are as in ``stream_cascade``; ``bucket`` is a column that rises with ``order``.
     """
 
@@ -90,17 +91,25 @@ class BlockSink:
         )
         raw = placed.withColumn("x_raw", F.col("x"))
         done = carried(raw, self.sections, self.rate, was) if self.sections else raw.withColumn("state", F.array().cast("array<double>"))
-        # Few rows: one a channel that has ever been seen.
         before = was.select(*KEY, F.col("seen").alias("_seen"))
         idx = F.coalesce("_seen", F.lit(0)) + F.col("idx")
-        done = done.join(F.broadcast(before), KEY, "left").select(
+        done = done.join(before, KEY, "left").select(
             "signal_id", "channel", idx.cast("long").alias("idx"), (idx / F.lit(self.rate)).alias("t"), "x_raw", "x", "state"
         )
         done.write.mode("overwrite").parquet(f"{self.out}/rows/{number}")
         written = spark.read.schema(OUT + ", state array<double>").parquet(f"{self.out}/rows/{number}")
         ends = written.where("state is not null").groupBy(*KEY).agg((F.max("idx") + 1).alias("seen"), F.max_by("state", "idx").alias("state"))
         both = ends.unionByName(was.join(ends.select(*KEY), KEY, "left_anti").select(*ends.columns))
-        both.coalesce(1).write.mode("overwrite").parquet(f"{self.out}/states/{number}")
+        both.write.mode("overwrite").parquet(f"{self.out}/states/{number}")
+        _forget(spark, f"{self.out}/states", number - 1)
+
+
+def _forget(spark: SparkSession, path: str, least: int) -> None:
+    """Deletes the folders of micro-batches before number ``least``: none of them comes again."""
+    folder = Folder(spark, path)
+    for name in folder.names():
+        if name.isdigit() and int(name) < least:
+            folder.delete(name)
 
 
 class PipelineSink:
@@ -113,6 +122,8 @@ class PipelineSink:
 
     A micro-batch that fails is written raw with success false if the pipeline allows bypass, and raises otherwise.
     While ``bypass`` is set, rows are written raw and nothing is remembered. Columns and idx are as in ``BlockSink``.
+    A user's own stage gets a micro-batch's samples only: one that looks back differs from batch where a micro-batch begins.
+    Working folders are deleted once a micro-batch is written; what is remembered is kept for the last two.
     """
 
     def __init__(self, pipeline: Pipeline, order: list[str], bucket: Column, out: str, rate: float = 1000.0, bypass: bool = False):
@@ -143,20 +154,25 @@ class PipelineSink:
         spark = batch.sparkSession
         was = self._memory(spark, "seen", number, "signal_id string, channel int, seen long")
         placed = indexed(batch, KEY, self.order, self.bucket).select(*KEY, "idx", F.col("x").cast("double").alias("x"))
-        before = F.broadcast(was.withColumnRenamed("seen", "_seen"))  # one row a channel
+        before = was.withColumnRenamed("seen", "_seen")
         idx = (F.coalesce("_seen", F.lit(0)) + F.col("idx")).cast("long")
         placed = placed.join(before, KEY, "left").select(*KEY, idx.alias("idx"), (idx / F.lit(self.rate)).alias("t"), F.col("x").alias("x_raw"), "x")
         placed = self._saved(placed, "placed", number)
         now = placed.groupBy(*KEY).agg((F.max("idx") + 1).alias("seen"))
-        seen = self._saved(now.unionByName(was.join(now, KEY, "left_anti")).coalesce(1), "seen", number)
-        done = placed
+        seen = self._saved(now.unionByName(was.join(now, KEY, "left_anti")), "seen", number)
+        done, found = placed, []
         if not self.bypass:
             try:
                 for i, step in enumerate(self.steps):
-                    done = self._step(i, step, done, was, seen, number)
+                    done = self._step(i, step, done, was, seen, number, found)
+                for i, rows in enumerate(found):  # all steps have gone well
+                    self._saved(rows, f"features-{i}", number)
                 self._saved(done.select(*KEY, "idx", "t", "x_raw", "x").withColumn("success", F.lit(True)), "rows", number)
+                self._tidy(spark, number)
                 return
             except Exception as e:
+                for i in range(len(found)):
+                    Folder(spark, f"{self.out}/features-{i}").delete(str(number))
                 self.errors.append(f"batch {number}: {e}")
                 if not self.pipeline.bypass_on_error:
                     raise
@@ -165,15 +181,23 @@ class PipelineSink:
                 continue
             self._saved(self._memory(spark, f"memory-{i}", number, STATE if isinstance(step, list) else TAIL), f"memory-{i}", number)
         self._saved(placed.withColumn("success", F.lit(self.bypass)), "rows", number)
+        self._tidy(spark, number)
+
+    def _tidy(self, spark: SparkSession, number: int) -> None:
+        for i in range(len(self.steps)):
+            Folder(spark, f"{self.out}/step-{i}").delete()
+            _forget(spark, f"{self.out}/memory-{i}", number - 1)
+        Folder(spark, f"{self.out}/placed").delete()
+        _forget(spark, f"{self.out}/seen", number - 1)
 
-    def _step(self, i: int, step, samples: DataFrame, was: DataFrame, seen: DataFrame, number: int) -> DataFrame:
+    def _step(self, i: int, step, samples: DataFrame, was: DataFrame, seen: DataFrame, number: int, features_: list[DataFrame]) -> DataFrame:
         spark, memory = samples.sparkSession, f"memory-{i}"
         if isinstance(step, list):
             start = self._memory(spark, memory, number, STATE)
             sections = [x for s in step for x in s.sections(self.rate, self.pipeline.cascade)]
             done = self._saved(carried(samples, sections, self.rate, start), f"step-{i}", number)
             ends = done.where("state is not null").groupBy(*KEY).agg(F.max_by("state", "idx").alias("state"))
-            self._saved(ends.unionByName(start.join(ends.select(*KEY), KEY, "left_anti")).coalesce(1), memory, number)
+            self._saved(ends.unionByName(start.join(ends.select(*KEY), KEY, "left_anti")), memory, number)
             return done.drop("state")
         if step.kind == "own":
             return step.own(samples, self.rate)
@@ -184,14 +208,14 @@ class PipelineSink:
             f"step-{i}",
             number
         )
-        end = F.broadcast(seen.withColumnRenamed("seen", "_end"))
+        end = seen.withColumnRenamed("seen", "_end")
         self._saved(both.join(end, KEY).where(F.col("idx") > F.col("_end") - size).select(*KEY, "idx", "x"), memory, number)
         if step.kind == "features":
             p = dict(step.params)
-            before = F.broadcast(was.withColumnRenamed("seen", "_seen"))
+            before = was.withColumnRenamed("seen", "_seen")
             found = features.features(both.select(*KEY, "idx", "x"), p["size"], p["overlap"], self.rate, p["enabled"])
             found = found.join(before, KEY, "left").where(F.col("end_sample") > F.coalesce("_seen", F.lit(0))).drop("_seen")
-            self._saved(found, f"features-{sum(not isinstance(s, list) and s.kind == 'features' for s in self.steps[:i])}", number)
+            features_.append(found)
             return samples
         return {"moving_average": moving_average, "median": median_filter}[step.kind](both, size).where("_new").drop("_new")
 

@@ -327,6 +327,33 @@ def test_a_failing_micro_batch_is_written_raw(spark, tmp_path):
     assert all(r.success for r in rows) and rows[3].x == x[3] and abs(rows[710].x - x[709:712].mean() - 1) < 1e-9
 
 
+def test_working_folders_go(spark, tmp_path):
+    """After ten micro-batches there are rows, features, and what the last two remember."""
+    x = np.random.default_rng(10).normal(0, 1, 1000)
+    p = spec.pipeline("p").add("highpass", cutoff=20.0).add("moving_average", size=5).add("features", size=64, enabled=["mean"])
+    sink = live.PipelineSink(p, ["at"], F.expr("at div 100"), str(tmp_path / "out"))
+    blocks = live.BlockSink(spec.realtime().sections(1000.0), ["at"], F.expr("at div 100"), str(tmp_path / "blocks"))
+    s = table(spark, x).withColumnRenamed("idx", "at").persist()
+    for n in range(10):
+        for each in (sink, blocks):
+            each(s.where(f"at div 100 = {n}"), n)
+    left = {str(f.relative_to(tmp_path)) for f in tmp_path.glob("*/*/*") if f.is_dir()}
+    both = {f"out/{d}/{n}" for d in ("seen", "memory-0", "memory-1", "memory-2") for n in (8, 9)} | {f"blocks/states/{n}" for n in (8, 9)}
+    assert left == both | {f"{d}/{n}" for d in ("out/rows", "out/features-0", "blocks/rows") for n in range(10)}
+    want = p.apply(table(spark, x)).samples.orderBy("idx").collect()
+    assert all(abs(a.x - b.x) < 1e-9 for a, b in zip(sink.rows(spark).orderBy("idx").collect(), want, strict=True))
+
+
+def test_features_of_a_failed_batch_are_not_written(spark, tmp_path):
+    def fails(s, rate):
+        raise RuntimeError("no")
+
+    p = spec.pipeline("p").add("features", size=8, enabled=["mean"]).add_stage("fails", fails)
+    sink = live.PipelineSink(p.bypass(), ["at"], F.expr("at div 100"), str(tmp_path / "out"))
+    sink(table(spark, range(50)).withColumnRenamed("idx", "at"), 0)
+    assert sink.rows(spark).where("not success").count() == 50 and not (tmp_path / "out" / "features-0").exists()
+
+
 def test_several_queries(spark, tmp_path):
     table(spark, X).write.parquet(str(tmp_path / "in"))
     seen = {"a": 0, "b": 0}
