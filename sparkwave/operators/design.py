@@ -16,6 +16,8 @@ class DesignError(ValueError):
 def _warped(cutoff: float | None, rate: float) -> float:
     if cutoff is None:
         raise DesignError("a cutoff frequency is required")
+    if not cutoff > 0:
+        raise DesignError(f"cutoff {cutoff} Hz must be above 0")
     if cutoff >= rate / 2:
         raise DesignError(f"cutoff {cutoff} Hz must be below half the sampling rate {rate} Hz")
     return math.tan(math.pi * cutoff / rate)
@@ -54,6 +56,8 @@ def bandpass(low: float, high: float, rate: float, order: int = 2, cascade: bool
 
 
 def notch(frequency: float, rate: float, q: float = 30.0) -> list[Section]:
+    if not (0 < frequency < rate / 2 and q > 0):
+        raise DesignError(f"a notch needs a frequency between 0 and half the sampling rate {rate} Hz, and a quality above 0: {frequency} Hz, {q}")
     w = 2 * math.pi * frequency / rate
     alpha = math.sin(w) / (2 * q)
     a0 = 1 + alpha

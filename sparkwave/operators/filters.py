@@ -159,7 +159,8 @@ NAME, LONG, FLOATS = StringType(), LongType(), ArrayType(DoubleType())
 
 
 def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataFrame | None = None) -> DataFrame:
-    spark, length = importable(samples.sparkSession), LENGTH
+    importable(samples.sparkSession)
+    length = LENGTH
     system = Cascade(sections)
     of_channel = ("channel", samples.schema["channel"].dataType)
     key = [("signal_id", NAME), of_channel]
@@ -242,7 +243,6 @@ def _scan(samples: DataFrame, sections: list[Section], rate: float, start: DataF
             yield pa.RecordBatch.from_arrays(columns, names=["signal_id", "channel", "idx", "more", "y", "state"][: len(columns)])
 
     done = blocks.join(states, ["signal_id", "channel", "block"]).select("signal_id", "channel", "idx", "x", "more", "s", "gs", "seen")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     filtered = done.mapInArrow(outputs, _fields(*key, ("idx", ArrayType(LONG)), ("more", kept), ("y", FLOATS), *([("state", FLOATS)] if ending else [])))
     each = filtered.select(
         "signal_id",

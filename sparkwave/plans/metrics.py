@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from sparkwave.operators.reshape import signal_quality
 from sparkwave.plans.profiles import Constraints
@@ -43,6 +48,10 @@ class Timer:
         if error is not None:
             self.metrics.success, self.metrics.error = False, str(error) or kind.__name__
 
+    def memory(self, n: int) -> None:
+        """What the step has taken, as its maker knows or has measured it; Spark doesn't tell it of one step."""
+        self.metrics.memory_bytes = max(0, int(n))
+
     def quality(self, before: float | None = None, after: float | None = None) -> None:
         """Scores outside 0 to 1 are taken to the nearer end."""
         clamp = lambda v: min(1.0, max(0.0, v))
@@ -105,3 +114,68 @@ def measured(pipeline: Pipeline, samples: DataFrame, rate: float = 1000.0, quali
         if stage.kind != "features":
             before, kept, score = whole, (*kept, stage), timer.metrics.output_quality
     return found
+
+
+class Watch:
+    """Counts rows and numbers after every step of a pipeline in the one run of its plan, whatever action that is.
+
+    ``result = pipeline.apply(samples, rate, watch := Watch())``; after an action on ``result.samples``, ``watch.metrics()``
+    has the qualities before and after each step, and ``watch.rows`` its rows. Steps are fused by Spark, so there is
+    no time of one step: ``took`` is the time from the plan to the first call of ``metrics``.
+    """
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+        self.began, self.took, self.rows = time.perf_counter(), 0.0, {}
+
+    def __call__(self, name: str, samples: DataFrame) -> DataFrame:
+        if samples.isStreaming:
+            return samples.observe(f"{name}", *_counts())
+        self.seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return samples.observe(self.seen[name], *_counts())
+
+    def metrics(self) -> dict[str, Metrics]:
+        """By step, once an action has run; waits for it otherwise."""
+        found = {name: seen.get for name, seen in self.seen.items()}
+        self.took = self.took or time.perf_counter() - self.began
+        self.rows = {name: f["rows"] for name, f in found.items()}
+        score = {name: f["numbers"] / f["rows"] if f["rows"] else 1.0 for name, f in found.items()}
+        names = list(found)
+        return {name: Metrics(0, 0, score[before], score[name]) for before, name in zip(names, names[1:])}
+
+
+def _counts() -> list:
+    number = F.coalesce(F.abs("x") < F.lit(float("inf")), F.lit(False)) & ~F.isnan(F.coalesce("x", F.lit(0.0)))
+    return [F.count(F.lit(1)).alias("rows"), F.count(F.when(number, 1)).alias("numbers")]
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the last ``most`` progress reports of every query: ``spark.streams.addListener(progress)``."""
+
+    def __init__(self, most: int = 10_000):
+        self.most, self.reports = most, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.reports.setdefault(str(event.id), deque(maxlen=self.most))
+
+    def onQueryProgress(self, event) -> None:
+        self.reports.setdefault(str(event.progress.id), deque(maxlen=self.most)).append(json.loads(event.progress.json))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query_id) -> list[dict]:
+        return list(self.reports.get(str(query_id), ()))
+
+    def slow_batches(self, query_id, limit_ms: float) -> list[str]:
+        """Advice, not an error: micro-batches that took more than twice the limit, however long ago."""
+        return [f"batch {p['batchId']} took {p['batchDuration']} ms, more than twice {limit_ms} ms" for p in self.of(query_id) if p["batchDuration"] > 2 * limit_ms]
+
+    def quality(self, query_id, name: str) -> float:
+        """Share of the samples that ``Watch`` has counted under ``name`` in a stream that are numbers; 1 without any."""
+        found = [p["observedMetrics"][name] for p in self.of(query_id) if name in (p.get("observedMetrics") or {})]
+        rows = sum(f["rows"] for f in found)
+        return sum(f["numbers"] for f in found) / rows if rows else 1.0

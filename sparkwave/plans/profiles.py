@@ -76,6 +76,8 @@ class Profile:
     on_error: str = "strict"
     processors: dict[str, Processor] = field(default_factory=dict)
     pipelines: dict[str, Chain] = field(default_factory=dict)
+    #: With on_error "fallback": by processor, the one that runs in its place where it can't; without one it is left out.
+    fallbacks: dict[str, str] = field(default_factory=dict)
 
     def add(self, name: str, kind: str, **params) -> Profile:
         self.processors[name] = Processor(name, kind, params)
@@ -138,11 +140,17 @@ class Profile:
         return Profile(**d)
 
     def to_pipeline(self, name: str) -> Pipeline:
-        """The runnable pipeline of a chain. Processors that are disabled stay, disabled; ``fallback`` is bypass."""
+        """The runnable pipeline of a chain. Processors that are disabled stay, disabled.
+
+        With on_error ``fallback`` a processor that can't run is replaced by the one that ``fallbacks`` names for it, or left out.
+        """
         self.validate()
         out = Pipeline(name, bypass_on_error=self.on_error != "strict", max_latency_ms=self.max_latency_ms)
         for n in self.pipelines[name].processors:
             out = out.add(self.processors[n].kind, n, **self.processors[n].params)
+            other = self.processors.get(self.fallbacks.get(n, ""))
+            if self.on_error == "fallback" and other is not None:
+                out = out.with_fallback(out.stages[-1].name, other.kind, **other.params)
             out = out.enable(out.stages[-1].name, self.processors[n].enabled and self.pipelines[name].enabled)
         return out
 

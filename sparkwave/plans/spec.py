@@ -39,6 +39,11 @@ class Stage:
     enabled: bool = True
     own: Own | None = field(default=None, compare=False)
     own_check: Callable[[float], None] | None = field(default=None, compare=False)
+    #: Of kind "nested": a whole pipeline. Of its stages, once they are dealt out: whether filters are true cascades.
+    inner: Pipeline | None = None
+    cascade: bool | None = None
+    #: What runs in place of a stage that can't.
+    fallback: Stage | None = None
 
     @staticmethod
     def of(kind: str, name: str = "", **params) -> Stage:
@@ -52,7 +57,7 @@ class Stage:
         return replace(self, params=Stage.of(self.kind, **{**dict(self.params), **params}).params)
 
     def sections(self, rate: float, cascade: bool = False) -> list[Section]:
-        p = dict(self.params)
+        p, cascade = dict(self.params), cascade if self.cascade is None else self.cascade
         if self.kind == "highpass":
             return design.highpass(p["cutoff"], rate, p["order"], cascade)
         if self.kind == "lowpass":
@@ -63,6 +68,9 @@ class Stage:
 
     def check(self, rate: float, cascade: bool = False, bandpass: bool = False) -> None:
         """Raises DesignError if the stage can't run at this rate."""
+        if self.kind == "nested":
+            self.inner.normalised(rate)
+            return
         if self.kind == "own":
             if self.own is None:
                 raise DesignError(f"{self.name}: the stage's function isn't known here")
@@ -81,9 +89,17 @@ class Stage:
         elif dict(self.params)["size"] < 1:
             raise DesignError(f"{self.name}: the window must hold a sample at least")
 
+    def more(self) -> dict:
+        """What ``Pipeline.export`` has of the stage besides its parameters."""
+        out = {"inner": self.inner.export()} if self.inner else {}
+        back = self.fallback
+        return out | ({"fallback": {"name": back.name, "kind": back.kind, "params": dict(back.params), "enabled": True}} if back else {})
+
     def latency_us(self) -> int:
         """Nominal delay: 10 µs a section, 50 µs for a notch, half a window or a whole one at 1 kHz."""
         p = dict(self.params)
+        if self.kind == "nested":
+            return self.inner.latency_us() if self.inner.enabled else 0
         if self.kind == "own":
             return p["latency_us"]
         return {
@@ -132,6 +148,18 @@ class Pipeline:
             raise ValueError("a stage needs a name")
         return self._append(Stage("own", (("latency_us", latency_us),), name, True, own, check))
 
+    def add_pipeline(self, inner: Pipeline, name: str = "") -> Pipeline:
+        """Adds a whole pipeline as one stage, with its own bypass, latency limit, cascades and switches.
+
+        A stage of it that can't run is left out if the inner pipeline allows bypass; else the inner pipeline fails, and is
+        left out as a whole if this one allows it. Its features come after those of earlier stages.
+        """
+        return self._append(Stage("nested", (), name or inner.name, inner=inner))
+
+    def with_fallback(self, name: str, kind: str, **params) -> Pipeline:
+        """Where the stage ``name`` can't run, one of ``kind`` runs in its place."""
+        return self._put(name, replace(self.stage(name), fallback=Stage.of(kind, f"{name}_fallback", **params)))
+
     def _append(self, stage: Stage) -> Pipeline:
         name, taken, n = stage.name, {s.name for s in self.stages}, 2
         while stage.name in taken:
@@ -172,7 +200,8 @@ class Pipeline:
         return [s.name for s in self.stages]
 
     def kinds(self) -> list[str]:
-        return ["feature_extractor" if s.kind == "features" else "filter" for s in self.stages]
+        """filter, feature_extractor, post_processor (a user's own stage) or analyzer (a pipeline of its own)."""
+        return [{"features": "feature_extractor", "own": "post_processor", "nested": "analyzer"}.get(s.kind, "filter") for s in self.stages]
 
     def latency_us(self) -> int:
         return sum(s.latency_us() for s in self.stages if s.enabled)
@@ -187,17 +216,26 @@ class Pipeline:
             raise ValueError("the latency limit must be positive")
         if not self.stages:
             raise ValueError("a pipeline needs a stage")
+        for s in self.stages:
+            if s.kind == "nested":
+                s.inner.validate()
 
     def export(self) -> dict:
         """Everything that makes the pipeline, for JSON."""
-        stages = [{"name": s.name, "kind": s.kind, "params": dict(s.params), "enabled": s.enabled} for s in self.stages]
+        stages = [{"name": s.name, "kind": s.kind, "params": dict(s.params), "enabled": s.enabled} | s.more() for s in self.stages]
         rest = {k: getattr(self, k) for k in ("name", "bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass", "enabled")}
         return rest | {"stages": stages, "latency_us": self.latency_us()}
 
     @staticmethod
     def restore(d: dict, own: dict[str, Own] | None = None) -> Pipeline:
         """The pipeline that ``export`` described; ``own`` has the functions of users' stages by name."""
-        stages = tuple(Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"], (own or {}).get(s["name"])) for s in d["stages"])
+
+        def stage(s: dict) -> Stage:
+            inner = Pipeline.restore(s["inner"], own) if "inner" in s else None
+            fallback = stage(s["fallback"]) if "fallback" in s else None
+            return Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"], (own or {}).get(s["name"]), inner=inner, fallback=fallback)
+
+        stages = tuple(map(stage, d["stages"]))
         return Pipeline(d["name"], stages, *(d[k] for k in ("bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")), d.get("enabled", True))
 
     # running
@@ -205,29 +243,52 @@ class Pipeline:
         """Steps of the plan, neighbouring recursive filters as a list, and warnings."""
         steps: list = []
         warnings = []
+
+        def put(s: Stage) -> None:
+            if s.kind in RECURSIVE and steps and isinstance(steps[-1], list):
+                steps[-1].append(s)
+            else:
+                steps.append([s] if s.kind in RECURSIVE else s)
+
         for s in (s for s in self.stages if s.enabled):
             try:
+                if s.kind == "nested":
+                    found, said = s.inner.normalised(rate) if s.inner.enabled else ([], [])
+                    warnings += [f"{s.name}/{w}" for w in said]
+                    if not s.inner.meets_latency():
+                        warnings.append(f"{s.name}: {s.inner.latency_us()} us are more than its {s.inner.max_latency_ms} ms")
+                    for x in (x for step in found for x in (step if isinstance(step, list) else [step])):
+                        put(replace(x, name=f"{s.name}/{x.name}", cascade=s.inner.cascade if x.cascade is None else x.cascade))
+                    continue
                 s.check(rate, self.cascade, self.allow_bandpass)
             except (DesignError, ValueError) as e:
+                if s.fallback is not None:
+                    s.fallback.check(rate, self.cascade, self.allow_bandpass)
+                    warnings.append(f"{s.fallback.name} in place of {s.name}: {e}")
+                    put(s.fallback)
+                    continue
                 if not self.bypass_on_error:
                     raise
                 warnings.append(f"{s.name} bypassed: {e}")
                 continue
-            if s.kind in RECURSIVE and steps and isinstance(steps[-1], list):
-                steps[-1].append(s)
-            else:
-                steps.append([s] if s.kind in RECURSIVE else s)
+            put(s)
         return steps, warnings
 
     def sections(self, rate: float) -> list[Section]:
         """Sections of all recursive stages: what a stream keeps state for."""
         return [x for step in self.normalised(rate)[0] if isinstance(step, list) for s in step for x in s.sections(rate, self.cascade)]
 
-    def apply(self, samples: DataFrame, rate: float = 1000.0) -> Result:
-        """The pipeline over a samples table of one sampling rate; one that isn't enabled hands samples on."""
+    def apply(self, samples: DataFrame, rate: float = 1000.0, watch: Callable[[str, DataFrame], DataFrame] | None = None) -> Result:
+        """The pipeline over a samples table of one sampling rate; one that isn't enabled hands samples on.
+
+        ``watch`` gets the samples that go in (as "input") and those after each step, by the names of its stages joined
+        with "+", and gives them back: ``metrics.Watch`` counts them in the one run.
+        """
         steps, warnings = self.normalised(rate) if self.enabled else ([], [])
-        now, found = samples.withColumn("x_raw", F.col("x")), []
+        watch = watch or (lambda name, df: df)
+        now, found = watch("input", samples.withColumn("x_raw", F.col("x"))), []
         for step in steps:
+            was = now
             if isinstance(step, list):
                 now = filters.recursive(now, [x for s in step for x in s.sections(rate, self.cascade)], rate)
             elif step.kind == "features":
@@ -237,6 +298,8 @@ class Pipeline:
                 now = step.own(now, rate)
             else:
                 now = {"moving_average": filters.moving_average, "median": filters.median_filter}[step.kind](now, dict(step.params)["size"])
+            if now is not was:
+                now = watch("+".join(s.name for s in (step if isinstance(step, list) else [step])), now)
         return Result(now, found, warnings, [s.name for step in steps for s in (step if isinstance(step, list) else [step])])
 
 

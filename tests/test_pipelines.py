@@ -1,15 +1,18 @@
 """Pipelines, profiles, and streams against batch."""
 
+import json
 import math
+import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkwave import queries
-from sparkwave.operators import filters
+from sparkwave.operators import design, filters
 from sparkwave.operators.design import DesignError
-from sparkwave.plans import profiles, spec
+from sparkwave.plans import metrics, profiles, spec
 from sparkwave.streaming import live
 from tests_support import recursion, values
 
@@ -394,3 +397,85 @@ def test_stream_of_nulls_and_non_numbers_equals_batch(spark, tmp_path):
         assert np.allclose([r.x for r in got], want, atol=1e-9, equal_nan=True)
     raw = [r.x_raw for r in sorted(out, key=lambda r: r.idx)]
     assert raw[100] is None and math.isnan(raw[500]) and raw[:100] == x[:100]
+
+
+def test_metrics_of_one_run(spark):
+    x = np.random.default_rng(11).normal(50, 9, 700).tolist()
+    x[300], x[200] = math.nan, None
+    rows = spark.createDataFrame([("s", 0, i, i / 1000.0, v) for i, v in enumerate(x)], SCHEMA)
+    p = spec.pipeline("p").add("moving_average", size=3).add("highpass", cutoff=20.0).add("notch", frequency=50.0).add("features", size=64, enabled=["mean"]).add("median", size=5)
+    watch = metrics.Watch()
+    result = p.apply(rows, 1000.0, watch)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one run", "")
+    result.samples.write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got, want = watch.metrics(), metrics.measured(p, rows, 1000.0, qualities=True)
+    assert list(got) == ["moving_average", "highpass+notch", "median"] and set(watch.rows.values()) == {700}
+    assert got["moving_average"].input_quality == want["moving_average"].input_quality == 698 / 700
+    for mine, theirs in (("moving_average", "moving_average"), ("highpass+notch", "notch"), ("median", "median")):
+        assert abs(got[mine].output_quality - want[theirs].output_quality) < 1e-12
+    assert len(jobs.getJobIdsForGroup("one run")) > 0 and watch.took > 0
+    with metrics.Timer() as t:
+        t.memory(5)
+    assert t.metrics.memory_bytes == 5
+
+
+def test_metrics_of_a_stream_by_a_listener(spark, tmp_path):
+    x = [math.nan if i % 10 == 0 else float(i) for i in range(1000)]
+    for n in range(4):
+        table(spark, x[n * 250 : n * 250 + 250]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    progress, watch = metrics.Progress(), metrics.Watch()
+    spark.streams.addListener(progress)
+    try:
+        stream = watch("input", spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if len([p for p in progress.of(q.id) if p["numInputRows"]]) == 4:
+                break
+            time.sleep(0.1)
+        assert sum(p["numInputRows"] for p in progress.of(q.id)) == 1000
+        assert progress.quality(q.id, "input") == 0.9 and progress.quality(q.id, "other") == 1.0
+        assert len(progress.slow_batches(q.id, 0.001)) >= 4 and progress.slow_batches(q.id, 1e9) == []
+    finally:
+        spark.streams.removeListener(progress)
+
+
+def test_pipelines_in_pipelines_keep_their_own_rules(spark):
+    x = np.random.default_rng(12).normal(50, 9, 400)
+    s = table(spark, x)
+    lenient = spec.pipeline("in").add("lowpass", cutoff=900.0).add("highpass", cutoff=20.0, order=4).bypass()
+    lenient = replace(lenient, cascade=True, max_latency_ms=0.001)
+    outer = spec.pipeline("out").add("notch", frequency=50.0).add_pipeline(lenient).add("features", size=64, enabled=["mean"])
+    result = outer.apply(s)
+    assert result.stages == ["notch", "in/highpass", "features"] and result.warnings[0].startswith("in/lowpass bypassed") and "more than its" in result.warnings[1]
+    sections = design.notch(50.0, 1000.0) + design.highpass(20.0, 1000.0, 4, cascade=True)
+    assert np.allclose(values(result.samples), recursion(sections, x), atol=1e-9)
+    strict = outer.add_pipeline(lenient.bypass(False), "strict")
+    with pytest.raises(design.DesignError):
+        strict.apply(s)
+    assert strict.bypass().apply(s).stages == result.stages and outer.kinds() == ["filter", "analyzer", "feature_extractor"]
+    assert spec.Pipeline.restore(json.loads(json.dumps(strict.export()))) == strict
+    assert spec.pipeline("o").add_pipeline(replace(lenient, enabled=False)).apply(s).stages == []
+    with pytest.raises(ValueError):
+        spec.pipeline("o").add_pipeline(spec.pipeline("empty")).validate()
+
+
+def test_fallback_stages_run_in_place(spark):
+    x = np.random.default_rng(13).normal(50, 9, 200)
+    p = spec.pipeline("p").add("lowpass", cutoff=600.0).with_fallback("lowpass", "moving_average", size=4)
+    result = p.apply(table(spark, x))
+    assert result.stages == ["lowpass_fallback"] and "in place of lowpass" in result.warnings[0]
+    assert np.allclose(values(result.samples), [x[max(0, i - 3) : i + 1].mean() for i in range(200)])
+    assert spec.Pipeline.restore(json.loads(json.dumps(p.export()))) == p and p.apply(table(spark, x), 2000.0).stages == ["lowpass"]
+    profile = profiles.Profile("f", on_error="fallback").add("low", "lowpass", cutoff=600.0).add("smooth", "moving_average", size=4).add("bad", "notch", frequency=-1.0).chain("c", ["low", "bad"])
+    profile.fallbacks["low"] = "smooth"
+    back = profiles.Profile.from_json(profile.to_json())
+    assert back.to_pipeline("c").apply(table(spark, x)).stages == ["low_fallback"]
+
+
+@pytest.mark.parametrize("make", [lambda: design.notch(0.0, 1000.0), lambda: design.notch(500.0, 1000.0), lambda: design.notch(50.0, 1000.0, 0.0), lambda: design.lowpass(0.0, 1000.0), lambda: design.highpass(-5.0, 1000.0)])
+def test_frequencies_that_cannot_be(make):
+    with pytest.raises(design.DesignError):
+        make()
