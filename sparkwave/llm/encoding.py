@@ -29,7 +29,7 @@ def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", te
 
         return run
 
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, ids binary", make)
+    return map_rows(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, ids binary", make)
 
 
 def decode(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -64,6 +64,6 @@ def round_trip(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id"
 
     return map_rows(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+            F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
         ), f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", make
     )

@@ -476,6 +476,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     return map_rows(
         pages.select(
-            F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
+            F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")
         ), f"page_id {dict(pages.dtypes)[id_col]}, url string, text string, n_chars long", make
     )

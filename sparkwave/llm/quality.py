@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: i
         F.min("quality").alias("q"), F.max("quality").alias("r")
     ).where("q = r")
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text")
     runs = map_rows(texts, f"doc_id {dict(texts.dtypes)['doc_id']}, q int, masks array<int>, sizes array<int>", _runs(most_lines))
     got = runs.groupBy("doc_id").agg(F.min(F.struct("q", "masks", "sizes")).alias("run")).select("run.*").collect()
     return learn([(min(max(r.q, 0), 1), r.masks, r.sizes) for r in got])
@@ -172,7 +172,7 @@ def judge(docs: DataFrame, chain: Chain = PRIOR, least_share: float = 0.5, id_co
         return run
 
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_content_lines long, content_share double, kept boolean"
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, {schema}", make)
+    return map_rows(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, {schema}", make)
 
 
 def retain(docs: DataFrame, chain: Chain = PRIOR, least_share: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -203,7 +203,7 @@ def label_lines(docs: DataFrame, chain: Chain = PRIOR, id_col: str = "doc_id", t
         return run
 
     return map_rows(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
         f"doc_id {dict(docs.dtypes)[id_col]}, line long, is_content boolean",
         make
     )

@@ -138,8 +138,9 @@ def find_secrets(docs: DataFrame, novelty: float = 0.72, id_col: str = "doc_id",
 
     Spans are of whole matches, in code points, end exclusive. Null texts are empty and have none. Null ids and repeated
     rows give a row each; an empty table gives an empty result; extra columns are left out. Texts are scanned whole, in
-    time that grows with their length. Matches of one kind that
-    start together can't occur; of several kinds they are listed in the order of KINDS.
+    time that grows with their length. Matches of one kind that start
+    together can't occur; of several kinds they are listed in the order of KINDS. Candidates of novelty are runs that
+    begin within 48 characters after a sensitive word; they are measured against the 256 characters on both sides.
     """
 
     def make():
@@ -152,7 +153,7 @@ def find_secrets(docs: DataFrame, novelty: float = 0.72, id_col: str = "doc_id",
         return run
 
     schema = "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, {schema}", make)
+    return map_rows(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, {schema}", make)
 
 
 def redact(text: str | None, novelty: float = 0.72, mark: str = "[secret]") -> str | None:

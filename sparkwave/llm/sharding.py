@@ -70,11 +70,11 @@ def shuffled_shards(
     tasks = min(buckets, most_tasks)
 
     shard, grown = shards_of(key, shards, seed)
-    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_record"), shard.alias("_shard"), grown.alias("_grown"), record.alias("_hash"))
-    spread = F.lit(0).cast("long")
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_record"), shard.alias("_shard"), grown.alias("_grown"), record.alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    spread = F.lit(0).cast("long")  # _place is taken before any shuffle: a task that runs again gives the same
     if n_hot:
         rows = rows.join(side(hot.withColumn("_hot", F.lit(True)), n_hot), "_hash", "left")
-        spread = F.when(F.col("_hot"), F.monotonically_increasing_id()).otherwise(0)
+        spread = F.when(F.col("_hot"), F.col("_place")).otherwise(0)
     rows = rows.withColumn("_spread", spread)
     number = F.col("_shard") * F.lit(per_shard).cast("long") + F.pmod(F.xxhash64(F.lit(seed + 2), "_hash", "_spread"), F.lit(per_shard))
     rows = rows.withColumn("_number", number).withColumn("_task", F.expr(f"cast(_number * {tasks} div {buckets} as int)"))

@@ -107,6 +107,6 @@ def test_reduced_queries_equal_sql(spark, sf, name):
 
 
 def test_every_query_runs(spark, sf):
-    assert len(queries.queries()) == 12
+    assert len(queries.queries()) == 15
     for name, query in queries.queries().items():
         assert query(spark, sf).count() > 0, name
