@@ -308,6 +308,8 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS g FROM (SELE
 SELECT user_id, min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS n, {figures} FROM g GROUP BY user_id, g"""
     out["tumbling_features"] = f"""WITH e AS (SELECT user_id, epoch_us(ts) // 21600000000 AS w, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
 SELECT user_id, w * 21600000000 AS start_us, (w + 1) * 21600000000 AS end_us, count(*) AS n, {figures} FROM e GROUP BY user_id, w"""
+    out["chunk_file_slice"] = f"""SELECT (i % 4)::INT AS channel, vec_id * 16 + i // 4 AS idx, {r('(vec_id * 16 + i // 4) / 1000.0::DOUBLE', 't')}, {r('x', 'x')}
+FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) WHERE vec_id * 16 + i // 4 BETWEEN 125 AND 524"""
     out["paired_streams"] = f"""SELECT (user_id % 16)::INT AS channel, event_id AS idx, {r('value', 'x_raw')}, {r('CASE WHEN event_id % 7 <> 3 THEN greatest(20.0, least(60.0, value))::DOUBLE END', 'x')}, event_id % 7 <> 3 AS success
 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"""
     gapped = "gapped AS MATERIALIZED (SELECT channel, idx AS place, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS idx, x FROM samples WHERE idx >= 40 AND idx % 7 <> 3)"

@@ -13,6 +13,7 @@ from sparkwave.functions import complexity, spectrum
 from sparkwave.functions.patterns import PRESETS, mean_activation
 from sparkwave.operators import analytic, design, features, filters, reshape, windows
 from sparkwave.plans import profiles, spec
+from sparkwave.sources import chunk_files
 from sparkwave.sources import samples as sources
 from sparkwave.sources.emg import Emg, Noise
 from sparkwave.streaming import eventtime, live, stateful
@@ -409,6 +410,14 @@ def paired_streams(spark, d):
     return rounded(both.select("channel", "idx", "x_raw", "x", "success"))
 
 
+def chunk_file_slice(spark, d):
+    """Chunks of 25 turns of four channels of embeddings, written by signal and run, of which a slice is read back."""
+    out = folder(spark)
+    whole = sources.from_chunks(chunks(spark, d), RATE)
+    chunk_files.write(whole, f"{out}/chunks", turns=25, run=8)
+    return rounded(chunk_files.read_samples(spark, f"{out}/chunks", RATE, signals=["embeddings"], first=5, last=20, run=8))
+
+
 def stream_filter_equals_batch(spark, d):
     return streamed(spark, d, lambda order, bucket, out: live.BlockSink(spec.realtime().sections(RATE), order, bucket, out, RATE))
 
@@ -462,7 +471,7 @@ def queries() -> dict:
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, raw_vs_processed, sliding_windows_64, time_features,
         stat_features, complexity_features, instantaneous_frequency, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
-        stream_pipeline_equals_batch, stream_state_equals_batch, session_features, tumbling_features, paired_streams, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
+        stream_pipeline_equals_batch, stream_state_equals_batch, session_features, tumbling_features, paired_streams, chunk_file_slice, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"moving_average_{n}": moving_average(n) for n in (3, 10, 1000)} | {f"median_filter_{n}": median_filter(n) for n in (5, 101)}
