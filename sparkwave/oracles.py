@@ -292,8 +292,9 @@ def oracle_sql() -> dict[str, str]:
     out |= {
         f"moving_average_{n}": plain(
             f"SELECT channel, idx, {r(f'avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y', 6)} FROM samples"
-        ) for n in (3, 10, 1000)
+        ) for n in (3, 10)
     }
+    out["moving_average_1000"] = plain(f"SELECT channel, idx, {r('avg(sqrt(abs(x))) OVER (PARTITION BY channel ORDER BY idx ROWS 999 PRECEDING)', 'y', 6)} FROM samples")
     out |= {f"median_filter_{n}": plain(f"SELECT channel, idx, {r(f'median(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y')} FROM samples") for n in (5, 101)}
     out |= {n: of_sections(DESIGNS.get(n, s)) for n, s in q.SECTIONS.items()}
     both = f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'y')} FROM samples s JOIN {{last}} f USING (channel, idx)"
