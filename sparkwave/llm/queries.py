@@ -178,8 +178,8 @@ WITH RECURSIVE
      h AS (SELECT o.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS how FROM o, crc),
      d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
            FROM (SELECT *, unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE how <> 0)),
-     p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n,
-                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM d),
+     k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM d),
+     p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM k),
      f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM p),
      x AS MATERIALIZED (SELECT *, left(role, 1) AS c, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000 ELSE 0 END AS bar FROM f),
      ids AS (SELECT conv_id, coalesce(max(n), 0) AS n FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN x USING (conv_id) GROUP BY 1),
