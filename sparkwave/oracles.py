@@ -245,6 +245,10 @@ def oracle_sql() -> dict[str, str]:
             [SAMPLES, *windowed("samples"), *spectra("full_w", "channel, k")],
             f"SELECT channel, k, {rounded(['low', 'mid', 'high'])} FROM qf"
         ),
+        "bands_out_of_range": with_(
+            [SAMPLES, *windowed("samples"), *spectra("full_w", "channel, k")],
+            f"SELECT channel, k, {r('sum(p) FILTER (bin >= 28)', 'top', 0)}, 0.0::DOUBLE AS beyond FROM sp GROUP BY channel, k"
+        ),
         "feature_summary": with_(
             [SAMPLES, *windowed("samples"), TIME, *spectra("full_w", "channel, k")],
             f"SELECT channel, k, 64::BIGINT AS window_size, zero_crossings, {rounded(['rms', 'mav', 'mean_frequency', 'spectral_centroid', 'total_power'], q.LARGE | q.EXACT)} FROM tf JOIN qf USING (channel, k)"
@@ -298,7 +302,8 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"median_filter_{n}": plain(f"SELECT channel, idx, {r(f'median(x) OVER (PARTITION BY channel ORDER BY idx ROWS {n - 1} PRECEDING)', 'y')} FROM samples") for n in (5, 101)}
     out |= {n: of_sections(DESIGNS.get(n, s)) for n, s in q.SECTIONS.items()}
     both = f"SELECT channel, idx, {r('s.x', 'x_raw')}, {r('f.x', 'y')} FROM samples s JOIN {{last}} f USING (channel, idx)"
-    out |= {n: of_sections(p.sections(q.RATE), both) for n, p in q.PIPELINES.items() if n != "pipeline_profile_realtime"}
+    out |= {n: of_sections(p.sections(q.RATE), both) for n, p in q.PIPELINES.items() if n not in ("pipeline_profile_realtime", "pipeline_fallback")}
+    out["pipeline_fallback"] = plain(f"SELECT channel, idx, {r('x', 'x_raw')}, {r('avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS 3 PRECEDING)', 'y')} FROM samples")
     smooth = f"sm AS (SELECT channel, idx, avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS 2 PRECEDING) AS x FROM {last})"
     out["pipeline_profile_realtime"] = with_([SAMPLES, *realtime, smooth], both.format(last="sm"))
     out["stream_filter_equals_batch"] = out["pipeline_realtime"]

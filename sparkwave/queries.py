@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,11 @@ PIPELINES = {
     "pipeline_standard": spec.pipeline_for(spec.ServiceSpec("standard")),
     "pipeline_research": spec.pipeline_for(spec.ServiceSpec("research")),
     "pipeline_profile_realtime": profiles.realtime().to_pipeline("realtime"),
+    # A pipeline as a stage of another: its high-pass is a true cascade, its low-pass can't run at this rate and is left out.
+    "pipeline_nested": spec.pipeline("nested").add("notch", frequency=50.0).add_pipeline(
+        replace(spec.pipeline("inner").add("lowpass", cutoff=900.0).add("highpass", cutoff=20.0, order=4).bypass(), cascade=True)
+    ),
+    "pipeline_fallback": spec.pipeline("fallback").add("lowpass", cutoff=600.0).with_fallback("lowpass", "moving_average", size=4),
 }
 
 
@@ -199,6 +205,12 @@ def band_powers(spark, d):
     return rounded(bands(features.features(events(spark, d), SIZE, OVERLAP, RATE, ["band_powers"])).select("channel", "k", "low", "mid", "high"), LARGE)
 
 
+def bands_out_of_range(spark, d):
+    """A band that reaches to half the rate, and one beyond."""
+    found = features.features(events(spark, d), SIZE, OVERLAP, RATE, ["band_powers"], [("Top", 450.0, 600.0), ("Beyond", 600.0, 700.0)])
+    return rounded(found.select("channel", "k", *[F.col("band_powers")[n].alias(n.lower()) for n in ("Top", "Beyond")]), {"top": 0})
+
+
 def feature_summary(spark, d):
     return rounded(features.summary(features.features(events(spark, d), SIZE, OVERLAP, RATE, features.SUMMARY)), LARGE | EXACT)
 
@@ -475,7 +487,7 @@ def pipeline_with_own_stage(spark, d):
 def queries() -> dict:
     plain = [
         emg_features, deinterleave, reinterleave, channel_stats, time_slice, time_vector, recent_window, plot_columns, raw_vs_processed, sliding_windows_64, time_features,
-        stat_features, complexity_features, instantaneous_frequency, spectrum_64, spectral_features, band_powers, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
+        stat_features, complexity_features, instantaneous_frequency, spectrum_64, spectral_features, band_powers, bands_out_of_range, feature_summary, pattern_presets, activation_patterns, simulate_clean, simulate_powerline, simulate_noisy, simulate_metadata,
         chunk_stats, buffer_stats, chunk_start_times, processing_stats, signal_lengths, sample_violations, latest_chunk, buffer_tail, plot_tail, config_latency, config_unknown_processors, stream_filter_equals_batch,
         stream_pipeline_equals_batch, stream_state_equals_batch, session_features, tumbling_features, paired_streams, chunk_file_slice, highpass_with_gaps, one_channel, clamped, windows_of_one, signal_quality, expected_samples, pipeline_with_own_stage,
     ]
