@@ -27,6 +27,8 @@ KINDS: dict[str, dict] = {
     "median": {"size": None},
     "features": {"size": None, "overlap": 0.5, "enabled": None},
 }
+#: What a stage is to the pipeline, in the order of ``by_kind``.
+ROLES = ("filter", "feature_extractor", "analyzer", "post_processor")
 #: A user's own stage: (samples, rate) -> samples, a DataFrame to DataFrame step like any other of the plan.
 Own = Callable[[DataFrame, float], DataFrame]
 
@@ -44,6 +46,8 @@ class Stage:
     cascade: bool | None = None
     #: What runs in place of a stage that can't.
     fallback: Stage | None = None
+    #: One of ROLES, for a user's own stage or a pipeline of its own.
+    role: str = "filter"
 
     @staticmethod
     def of(kind: str, name: str = "", **params) -> Stage:
@@ -91,7 +95,7 @@ class Stage:
 
     def more(self) -> dict:
         """What ``Pipeline.export`` has of the stage besides its parameters."""
-        out = {"inner": self.inner.export()} if self.inner else {}
+        out = ({"inner": self.inner.export()} if self.inner else {}) | ({"role": self.role} if self.role != "filter" else {})
         back = self.fallback
         return out | ({"fallback": {"name": back.name, "kind": back.kind, "params": dict(back.params), "enabled": True}} if back else {})
 
@@ -138,15 +142,17 @@ class Pipeline:
         """Adds a stage; a second one of the same name is numbered, so that names stay unique."""
         return self._append(Stage.of(kind, name, **params))
 
-    def add_stage(self, name: str, own: Own, check: Callable[[float], None] | None = None, latency_us: int = 1000) -> Pipeline:
+    def add_stage(self, name: str, own: Own, check: Callable[[float], None] | None = None, latency_us: int = 1000, role: str = "filter") -> Pipeline:
         """Adds a user's stage. It gets the samples and the rate, and returns samples with the columns it got (``x`` changed).
 
         ``check`` gets the rate when a plan is made and raises DesignError if the stage can't run at it; ``latency_us`` is
-        the stage's nominal delay.
+        the stage's nominal delay, ``role`` one of ROLES.
         """
         if not name:
             raise ValueError("a stage needs a name")
-        return self._append(Stage("own", (("latency_us", latency_us),), name, True, own, check))
+        if role not in ROLES:
+            raise ValueError(f"a stage is one of {ROLES}")
+        return self._append(Stage("own", (("latency_us", latency_us),), name, True, own, check, role=role))
 
     def add_pipeline(self, inner: Pipeline, name: str = "") -> Pipeline:
         """Adds a whole pipeline as one stage, with its own bypass, latency limit, cascades and switches.
@@ -192,16 +198,16 @@ class Pipeline:
         return replace(self, stages=tuple(stage if s.name == name else s for s in self.stages))
 
     def by_kind(self) -> Pipeline:
-        """Filters before feature stages, otherwise in order."""
-        return replace(self, stages=tuple(sorted(self.stages, key=lambda s: s.kind == "features")))
+        """Filters, then feature stages, analyzers and post-processors, otherwise in order."""
+        return replace(self, stages=tuple(s for _, _, s in sorted((ROLES.index(k), i, s) for i, (k, s) in enumerate(zip(self.kinds(), self.stages)))))
 
     # what it says about itself
     def names(self) -> list[str]:
         return [s.name for s in self.stages]
 
     def kinds(self) -> list[str]:
-        """filter, feature_extractor, post_processor (a user's own stage) or analyzer (a pipeline of its own)."""
-        return [{"features": "feature_extractor", "own": "post_processor", "nested": "analyzer"}.get(s.kind, "filter") for s in self.stages]
+        """The stages' roles."""
+        return ["feature_extractor" if s.kind == "features" else s.role for s in self.stages]
 
     def latency_us(self) -> int:
         return sum(s.latency_us() for s in self.stages if s.enabled)
@@ -233,7 +239,7 @@ class Pipeline:
         def stage(s: dict) -> Stage:
             inner = Pipeline.restore(s["inner"], own) if "inner" in s else None
             fallback = stage(s["fallback"]) if "fallback" in s else None
-            return Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"], (own or {}).get(s["name"]), inner=inner, fallback=fallback)
+            return Stage(s["kind"], tuple(s["params"].items()), s["name"], s["enabled"], (own or {}).get(s["name"]), inner=inner, fallback=fallback, role=s.get("role", "filter"))
 
         stages = tuple(map(stage, d["stages"]))
         return Pipeline(d["name"], stages, *(d[k] for k in ("bypass_on_error", "max_latency_ms", "cascade", "allow_bandpass")), d.get("enabled", True))

@@ -235,6 +235,15 @@ def test_own_stages(spark):
     assert nested.names() == ["highpass", "twice", "twice_2"]
 
 
+def test_roles_of_own_stages():
+    same = lambda s, rate: s
+    p = spec.pipeline("p").add_stage("post", same, role="post_processor").add("features", size=64).add_stage("look", same, role="analyzer").add("notch", frequency=50.0)
+    assert p.kinds() == ["post_processor", "feature_extractor", "analyzer", "filter"] and p.by_kind().names() == ["notch", "features", "look", "post"]
+    assert spec.Pipeline.restore(json.loads(json.dumps(p.export()))).kinds() == p.kinds()
+    with pytest.raises(ValueError):
+        p.add_stage("odd", same, role="echo")
+
+
 def test_runtime_configuration(spark):
     c = spec.default_emg()
     c.validate()
@@ -455,7 +464,7 @@ def test_pipelines_in_pipelines_keep_their_own_rules(spark):
     strict = outer.add_pipeline(lenient.bypass(False), "strict")
     with pytest.raises(design.DesignError):
         strict.apply(s)
-    assert strict.bypass().apply(s).stages == result.stages and outer.kinds() == ["filter", "analyzer", "feature_extractor"]
+    assert strict.bypass().apply(s).stages == result.stages and outer.kinds() == ["filter", "filter", "feature_extractor"]
     assert spec.Pipeline.restore(json.loads(json.dumps(strict.export()))) == strict
     assert spec.pipeline("o").add_pipeline(replace(lenient, enabled=False)).apply(s).stages == []
     with pytest.raises(ValueError):
