@@ -63,7 +63,7 @@ def count_terms(cut: int = CUT, most: int = HELD):
             ).fetchall()[0][0]
 
         def handed() -> Iterator[pa.RecordBatch]:
-            found = con.execute("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY lang, source, term").to_arrow_table()
+            found = con.sql("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY lang, source, term").to_arrow_table()
             con.execute("DELETE FROM held").fetchall()
             yield from found.to_batches(max_chunksize=20_000)
 
@@ -90,7 +90,7 @@ def kept_terms(least_docs: int):
         """Counts of a shard's terms in enough documents of their language: a row for each source, and one without a source for the language."""
         con = database()
         con.register("counted", table)
-        return con.execute(
+        return con.sql(
             f"""
             WITH s AS (SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM counted GROUP BY ALL),
                  t AS (SELECT lang, term, sum(n)::BIGINT AS n FROM s GROUP BY ALL HAVING sum(docs) >= {least_docs})
@@ -106,7 +106,7 @@ def partial_sums(top: int):
         con = database()
         con.register("kept", kept)
         con.register("totals", totals)
-        return con.execute(
+        return con.sql(
             f"""
             WITH g AS (SELECT lang, source, total, 1 + {SCALE} // total AS p0 FROM totals),
                  k AS MATERIALIZED (
