@@ -32,3 +32,7 @@ def kept(spark, folder, name):
 
 def test_recent_window_keeps_three_seconds(spark, long):
     assert kept(spark, long, "recent_window") == {3: (7250, 10_250, 3001), 5: (7250, 8399, 1150)}
+
+
+def test_buffer_tail_keeps_a_hundred_chunks(spark, long):
+    assert kept(spark, long, "buffer_tail") == {3: (300, 10_250, 9951), 5: (300, 8399, 8100)}
