@@ -36,3 +36,7 @@ def test_recent_window_keeps_three_seconds(spark, long):
 
 def test_buffer_tail_keeps_a_hundred_chunks(spark, long):
     assert kept(spark, long, "buffer_tail") == {3: (300, 10_250, 9951), 5: (300, 8399, 8100)}
+
+
+def test_plot_tail_keeps_three_thousand_points(spark, long):
+    assert kept(spark, long, "plot_tail") == {3: (7251, 10_250, 3000), 5: (5400, 8399, 3000)}
